@@ -100,15 +100,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def log_length() -> Column:
+    return F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1)))
+
+
 def transformed(stats: DataFrame) -> DataFrame:
     """Adds FEATURES: each is of similar spread for short and long texts.
 
-    Mean word length is taken as a logarithm times the square root of the
-    number of words (up to 100), as a mean of n words spreads like 1 / sqrt(n);
-    counts are taken as square roots of their rates."""
+    The logarithm of the mean word length, less its median in the group
+    (``center``), is multiplied by the square root of the number of words (up to
+    400), as a mean of n words spreads like 1 / sqrt(n); counts are taken as
+    square roots of their rates."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return (
-        stats.withColumn("f_length", F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n) * F.sqrt(F.least(n, F.lit(100.0))))
+        stats.withColumn("f_length", (log_length() - F.col("center")) * F.sqrt(F.least(n, F.lit(400.0))))
         .withColumn("f_symbols", F.sqrt(F.col("n_symbols") / n))
         .withColumn("f_lines", F.sqrt(F.col("n_dup_lines") / F.sqrt(n)))
         .withColumn("f_repeats", F.sqrt(F.col("n_repeat_words") / n))
@@ -210,28 +215,28 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "text",
         ("lang", "source"),
     )
-    stats = materialize(transformed(base.withColumn("base_failed", base_failed())))
-    passed = stats.where(~F.col("base_failed"))
+    stats = materialize(base.withColumn("base_failed", base_failed()))
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
     fine = F.concat(lang, F.lit("\n"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
-    small = passed.groupBy(lang.alias("l"), fine.alias("f")).count()
+    passed = stats.where(~F.col("base_failed")).withColumn("fine", fine)
+    small = passed.groupBy(lang.alias("l"), "fine").count()
     coarse = small.where(F.col("count") < MIN_GROUP).groupBy("l").agg(F.sum("count").alias("pooled"))
-    keys = (
-        small.join(coarse, "l", "left")
-        .select(
-            F.col("f").alias("fine"),
-            F.when(F.col("count") >= MIN_GROUP, F.col("f"))
+    keys = materialize(
+        small.join(coarse, "l", "left").select(
+            "fine",
+            F.when(F.col("count") >= MIN_GROUP, F.col("fine"))
             .when(F.col("pooled") >= MIN_GROUP, F.col("l"))
             .otherwise(F.lit("*"))
             .alias("group_key"),
         )
     )
-    keys = materialize(keys)
-    keyed = passed.withColumn("fine", fine).join(keys, "fine")
-    estimates = mcd_estimates(keyed.select("group_key", *FEATURES))
-    wide = stats.withColumn("fine", F.when(~F.col("base_failed"), fine)).join(
-        keys.join(materialize(estimates), "group_key"), "fine", "left"
-    )
+    keyed = passed.join(keys, "fine")
+    centers = keyed.groupBy("group_key").agg(F.percentile_approx(log_length(), 0.5, 2000).alias("center"))
+    keys = materialize(keys.join(centers, "group_key"))
+    rows = materialize(transformed(passed.join(keys, "fine")).select("group_key", *FEATURES))
+    estimates = materialize(mcd_estimates(rows))
+    groups = keys.join(estimates, "group_key")
+    wide = transformed(stats.withColumn("fine", F.when(~F.col("base_failed"), fine)).join(groups, "fine", "left"))
     distance = F.when(~F.col("base_failed"), _squared_distance("m", "c"))
     return wide.withColumn("distance2", distance).select(
         F.col("id").alias(id_col),

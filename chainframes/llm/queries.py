@@ -5,11 +5,13 @@ from __future__ import annotations
 from .chat import OP3_SQL, op3_chat
 from .fingerprint import op5_fingerprint
 from .mixing import OP4_SQL, op4_mixing
+from .quality import op10_quality
 
 QUERIES = {
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL = {
     "op3_chat": OP3_SQL,
