@@ -6,11 +6,13 @@ from .chat import OP3_SQL, op3_chat
 from .fingerprint import op5_fingerprint
 from .mixing import OP4_SQL, op4_mixing
 from .quality import op10_quality
+from .simhash import op9_simhash
 
 QUERIES = {
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL = {
