@@ -5,10 +5,12 @@ from __future__ import annotations
 from .chat import OP3_SQL, op3_chat
 from .fingerprint import op5_fingerprint
 from .mixing import OP4_SQL, op4_mixing
+from .packing import op1_packing
 from .quality import op10_quality
 from .simhash import op9_simhash
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
