@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat
 from .fingerprint import op5_fingerprint
+from .language import op6_language
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op1_packing
 from .quality import op10_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
+    "op6_language": op6_language,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
