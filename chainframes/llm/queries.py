@@ -9,9 +9,11 @@ from .mixing import OP4_SQL, op4_mixing
 from .packing import op1_packing
 from .quality import op10_quality
 from .simhash import op9_simhash
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
