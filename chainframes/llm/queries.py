@@ -9,6 +9,7 @@ from .mixing import OP4_SQL, op4_mixing
 from .packing import op1_packing
 from .quality import op10_quality
 from .simhash import op9_simhash
+from .substrings import OP8_SQL, op8_substrings
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -18,10 +19,12 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
     "op6_language": op6_language,
+    "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 ORACLE_SQL = {
     "op3_chat": OP3_SQL,
     "op4_mixing": OP4_SQL,
+    "op8_substrings": OP8_SQL,
 }
