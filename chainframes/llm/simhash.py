@@ -151,12 +151,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; of rows that repeat
-    such an id, one stays."""
-    found = near_duplicates(docs, id_col)
-    first = found.where(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component, one of each.
+
+    A row without an id goes by a negative number made from its text's hash, so
+    of such rows with one text one stays; before rows with ids it is the one."""
+    own = F.coalesce(F.col(id_col), -1 - F.xxhash64(text_col).bitwiseAND((1 << 62) - 1))
+    keyed = docs.withColumn("__key", own)
+    found = near_duplicates(keyed.select("__key", text_col), "__key", text_col)
+    first = found.where(F.col("__key") == F.col("component")).groupBy("__key").agg(F.count("*").alias("n"))
+    first = materialize(first)
+    kept = keyed.join(first.select("__key"), "__key", "left_semi")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["__key"])
+    return kept.drop("__key")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
