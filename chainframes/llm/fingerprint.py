@@ -35,10 +35,13 @@ def shingle_hashes(hashes: Column, k: int = SHINGLE_WORDS) -> Column:
 
 
 def sketch(shingles: Column, scale: int = SCALE) -> Column:
-    """Distinct kept hashes in order.  ``shingles`` must be a plain column."""
-    top = F.lit((1 << HASH_BITS) // scale)
-    least = F.array_min(shingles)
-    return F.array_sort(F.array_distinct(F.filter(shingles, lambda h: (h < top) | (h == least))))
+    """Distinct kept hashes in order.  ``shingles`` must be a plain column.
+
+    The smallest hash is found outside the filter's lambda, which would find it
+    anew for every hash."""
+    below = F.filter(shingles, lambda h: h < (1 << HASH_BITS) // scale)
+    kept = F.concat(below, F.array(F.array_min(shingles)))
+    return F.when(F.size(shingles) == 0, shingles).otherwise(F.array_sort(F.array_distinct(kept)))
 
 
 def likeness(a: Column, b: Column) -> Column:
