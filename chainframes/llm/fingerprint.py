@@ -18,6 +18,8 @@ HASH_BITS = 48
 SHINGLE_WORDS = 3
 #: One hash in so many is kept.
 SCALE = 8
+#: Bucket tables up to so many rows (of 32 bytes) are broadcast.
+BROADCAST_BUCKETS = 200_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -124,6 +126,9 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], rows_per_bucket:
             F.when(F.col("__up").isNotNull(), F.col("__up")).otherwise(F.coalesce("__above.p", "__lowest.p")).alias("__host_part"),
         )
     )
+    # One row per bucket: sent to every executor while that is small, so that no
+    # text is shuffled to find the first rows of buckets.
+    hosts = F.broadcast(hosts) if coarse * per <= BROADCAST_BUCKETS else hosts
     guests = dealt.join(hosts, "__id").select(
         *docs.select(id_col, *carried).columns,
         "__id",
