@@ -73,7 +73,7 @@ class EpochTable:
 
     def read(self, schema: T.StructType, progress: DataFrame, rollbacks: DataFrame) -> DataFrame:
         """Visible rows; of rows with one key the earliest epoch's."""
-        full = T.StructType(list(schema)).add("block_bucket", "bigint").add("epoch", "bigint")
+        full = T.StructType([*schema, T.StructField("block_bucket", T.LongType()), T.StructField("epoch", T.LongType())])
         rows = self.spark.read.schema(full).option("basePath", self.path).parquet(self.path)
         done = rows.join(progress.select("epoch").distinct(), "epoch", "left_semi")
         shown = visible(done, rollbacks)

@@ -79,6 +79,7 @@ def sql_kind(solidity: str) -> str:
     return "text"
 
 
+_DDL = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
 SPARK_KINDS = {
     "boolean": T.BooleanType(), "text": T.StringType(), "bigint": T.LongType(),
     "numeric": T.StringType(), "bytea": T.BinaryType(),
@@ -229,13 +230,15 @@ def context_fields(entry: EventSpec | CallSpec | TransferSpec) -> tuple[str, ...
 
 def table_schema(entry: EventSpec | CallSpec | TransferSpec) -> T.StructType:
     """The columns of an entry's table."""
-    schema = T.StructType().add("id", "bigint", False).add("block_number", "bigint", False).add("tx_hash", "string", False).add("tx_index", "int", False)
+    fields = [("id", "bigint"), ("block_number", "bigint"), ("tx_hash", "string"), ("tx_index", "int")]
     if isinstance(entry, EventSpec):
-        schema = schema.add("log_index", "int", False).add("contract_address", "string", False)
-    for name in context_fields(entry):
-        schema = schema.add(name, CONTEXT_FIELDS[name], name == "tx_to")
+        fields += [("log_index", "int"), ("contract_address", "string")]
+    fields += [(name, CONTEXT_FIELDS[name]) for name in context_fields(entry)]
     if isinstance(entry, TransferSpec):
-        return schema.add("from_address", "string", False).add("to_address", "string", False).add("value", "string", False)
+        fields += [("from_address", "string"), ("to_address", "string"), ("value", "string")]
+    schema = T.StructType([T.StructField(name, _DDL[kind], name == "tx_to") for name, kind in fields])
+    if isinstance(entry, TransferSpec):
+        return schema
     column_names([p.name for p in entry.params if not p.column])
     for p in entry.params:
         schema = schema.add(p.out, spark_type(p.type), False)

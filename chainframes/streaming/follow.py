@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from chainframes.operators import match, messages, reorg, tables
 from chainframes.operators.decode import decode_ok, param_columns
 from chainframes.operators.flatten import with_row_id
-from chainframes.plans.specs import EventSpec, IndexSpec
+from chainframes.plans.specs import EventSpec, IndexSpec, spark_type
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -68,9 +68,14 @@ class Index:
     def rollbacks(self) -> DataFrame:
         return self._state("rollbacks", ROLLBACKS)
 
-    def _visible_state(self, name: str, schema: str) -> DataFrame:
+    def _visible_state(self, name: str, schema: str, but: int | None = None) -> DataFrame:
+        """Rows of finished epochs (but one, which is being written) that no
+        rollback hides."""
         done = self.progress().select("epoch").distinct()
-        rows = self._state(name, f"{schema}, epoch bigint").join(done, "epoch", "left_semi")
+        rows = self._state(name, f"{schema}, epoch bigint")
+        if but is not None:
+            rows = rows.where(F.col("epoch") != but)
+        rows = rows.join(done, "epoch", "left_semi")
         if "block_number" in rows.columns:
             return tables.visible(rows, self.rollbacks())
         return tables.visible(rows.withColumn("block_number", F.col("created_block")), self.rollbacks()).drop("block_number")
@@ -78,8 +83,8 @@ class Index:
     def hashes(self) -> DataFrame:
         return tables.current_hashes(self._visible_state("hashes", HASHES))
 
-    def children(self) -> DataFrame:
-        rows = self._visible_state("children", CHILDREN)
+    def children(self, but: int | None = None) -> DataFrame:
+        rows = self._visible_state("children", CHILDREN, but)
         first = F.min(F.struct("created_block", "contract")).alias("first")
         return rows.groupBy("address").agg(first).select("first.contract", "address", "first.created_block")
 
@@ -91,14 +96,9 @@ class Index:
         return max(kept or 0, back or 0) if kept or back else 0
 
     def entry_schema(self, e: EventSpec) -> T.StructType:
-        from chainframes.plans.specs import spark_type
-
-        schema = T.StructType()
-        for name, kind in (("id", "bigint"), ("block_number", "bigint"), ("tx_hash", "string"), ("tx_index", "int"), ("log_index", "int"), ("contract_address", "string")):
-            schema = schema.add(name, kind)
-        for p in e.params:
-            schema = schema.add(p.out, spark_type(p.type))
-        return schema
+        """What an event table holds."""
+        fixed = T.StructType.fromDDL("id bigint, block_number bigint, tx_hash string, tx_index int, log_index int, contract_address string")
+        return T.StructType([*fixed, *(T.StructField(p.out, spark_type(p.type)) for p in e.params)])
 
     def table(self, name: str) -> DataFrame:
         """The visible rows of one event table."""
@@ -133,7 +133,7 @@ class Index:
                 self._reorganise(blocks, span["low"], epoch)
             logs = logs.join(blocks.select("block_number", "block_hash"), ["block_number", "block_hash"], "left_semi") if "block_hash" in logs.columns else logs
             found = self.spec.registry(self.spark)
-            known = self.children()
+            known = self.children(but=epoch)
             if self.spec.factories:
                 fresh = match.factory_children(logs, self.spec.factories)
                 self._write("children", fresh.select("contract", "address", "created_block"), epoch)
