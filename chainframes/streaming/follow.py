@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,20 +48,36 @@ def partition_sender(deliver: Callable[[Iterator[Row]], None]) -> Handler:
 
 
 class Index:
-    """The tables of an index in a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, root: str, spec: IndexSpec, sinks: Sequence[Sink] = (), handlers: dict[str, Handler] | None = None):
+    """The tables of an index in a folder that all executors share.
+
+    ``handlers`` get each entry's rows of a batch, by table name.  ``canonical``
+    gives ``(block_number, block_hash)`` of the chain as it is now; it is asked
+    only when a batch contradicts what is stored without reaching down to a
+    common block."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        spec: IndexSpec,
+        sinks: Sequence[Sink] = (),
+        handlers: dict[str, Handler] | None = None,
+        canonical: Callable[[], DataFrame] | None = None,
+    ):
         self.spark, self.root, self.spec = spark, root.rstrip("/"), spec
-        self.sinks, self.handlers = list(sinks), dict(handlers or {})
+        self.sinks, self.handlers, self.canonical = list(sinks), dict(handlers or {}), canonical
 
     # -- state ---------------------------------------------------------------
 
     def _state(self, name: str, schema: str) -> DataFrame:
+        """A state table; empty before its first epoch."""
         path = f"{self.root}/_{name}"
-        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        try:
+            return self.spark.read.schema(schema).option("basePath", path).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", path).parquet(path)
 
     def progress(self) -> DataFrame:
         return self._state("progress", PROGRESS)
@@ -161,11 +178,11 @@ class Index:
         if against["bad"] is None:
             return
         last = stored.agg(F.max("block_number").alias("b")).first()["b"]
-        below = stored.where(F.col("block_number") < against["bad"]).agg(F.max("block_number").alias("b")).first()["b"]
-        agreed = against["same"] if against["same"] is not None and against["same"] < against["bad"] else None
-        ancestor = agreed if agreed is not None else None
+        ancestor = against["same"] if against["same"] is not None and against["same"] < against["bad"] else None
+        if ancestor is None and self.canonical:
+            ancestor = reorg.require_ancestor(stored, self.canonical(), last)
         if ancestor is None or ancestor < last - reorg.MAX_DEPTH:
-            raise reorg.ReorgTooDeep(f"block {against['bad']} differs and no common block is known within {reorg.MAX_DEPTH} of {last} (next lower stored: {below})")
+            raise reorg.ReorgTooDeep(f"block {against['bad']} differs and no common block is known within {reorg.MAX_DEPTH} blocks of {last}")
         self._write("rollbacks", self.spark.createDataFrame([(ancestor,)], "ancestor bigint"), epoch)
 
     def _entry(self, e: EventSpec, logs: DataFrame, registry: DataFrame, epoch: int) -> DataFrame:

@@ -52,6 +52,15 @@ def test_batches_replay_and_reorganisation(spark, index):
     assert index.rollbacks().count() == 1 and len(moves(index)) == 22
 
 
+def test_the_chain_is_asked_for_a_common_block(spark, tmp_path):
+    now = [(n, str(n) if n < 14 else f"f{n}") for n in range(25)]
+    index = Index(spark, str(tmp_path / "i"), SPEC, canonical=lambda: spark.createDataFrame(now, "block_number long, block_hash string"))
+    run(index, spark, [block(n) for n in range(20)], 0)
+    run(index, spark, [block(n, "f", 500 + n) for n in range(18, 22)], 1)
+    assert moves(index) == {n: n for n in range(14)} | {n: 500 + n for n in range(18, 22)}
+    assert [tuple(r) for r in index.gaps().collect()] == [(14, 17)]
+
+
 def test_too_deep_changes_nothing(spark, index):
     run(index, spark, [block(n) for n in range(100)], 0)
     with pytest.raises(ReorgTooDeep):
@@ -121,6 +130,7 @@ def test_stream_of_files(spark, tmp_path):
     arrive([block(n, "f", 50 + n, parent="6" if n == 7 else None) for n in (7, 8, 9)])
     catch_up()
     assert moves(index) == {n: n for n in range(7)} | {n: 50 + n for n in (7, 8, 9)}
+    assert metrics.failed == 0 and (metrics.batches == 0 or metrics.input_rows > 0)
     spark.streams.removeListener(metrics)
 
 
