@@ -64,8 +64,8 @@ class ToxicityModel:
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, list[float]]:
         """Sum of -log E over significant segments, and all E values."""
-        values = [self.k * max(n, 1) * math.exp(-self.lam * s) for _, _, s in segments]
-        return sum(-math.log(e) for e in values if e < MAX_E), values
+        logs = [math.log(self.k * max(n, 1)) - self.lam * s for _, _, s in segments]
+        return sum(-x for x in logs if x < math.log(MAX_E)), [math.exp(x) for x in logs]
 
     def probability(self, evidence: float) -> float:
         z = self.slope * math.log1p(evidence) + self.intercept
