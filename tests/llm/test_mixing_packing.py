@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainframes.llm.mixing import mix_sources
-from chainframes.llm.packing import SpellingTokenizer, few_document_patterns, pack_documents, pack_histogram, piece_bounds, ranked
+from chainframes.llm.packing import IdTokenizer, byte_alphabet, few_document_patterns, pack_documents, pack_histogram, piece_bounds, ranked
 
 tokens = pytest.importorskip("public_tokenizers")
 PATH = tokens.path("byte_bpe_50k.json")
@@ -84,12 +84,16 @@ def test_spellings_do_not_change_tokens():
 
     plain = Tokenizer.from_file(PATH)
     plain.encode_special_tokens = True
-    fast = SpellingTokenizer(PATH, cache=8)
+    fast = IdTokenizer(PATH, cache=8)
     odd = ["", "  ", " a  b", "a \n b", "x  y  z ", "foo\n\n bar \t", "it's 'll  've", " a　 b", "a\x1c b \x1c c", "\x85 a \x85", "<|endoftext|> hi", "日本 語 123 456", "é  è\r\n  q   ", "a ​ b"]
     for text, ids in zip(odd, fast.encode_all(odd), strict=True):
         assert list(np.frombuffer(ids, "<u4")) == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_alphabet_covers_all_bytes():
+    assert sorted(byte_alphabet().values()) == list(range(256)) and byte_alphabet()["Ġ"] == 0x20
+
+
 def test_pack_documents(make_docs, prose):
     from tokenizers import Tokenizer
 
