@@ -11,6 +11,7 @@ pieces find their place in it by their rank among pieces of their length.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -334,14 +335,13 @@ def _place(slots: dict[int, tuple[np.ndarray, ...]]) -> Callable[[Iterator[pd.Da
     return run
 
 
-def ranked(pieces: DataFrame, rows_per_bucket: int = 50_000) -> DataFrame:
+def ranked(pieces: DataFrame, buckets: int | None = None) -> DataFrame:
     """Adds ``rank``, 0 .. n-1 among the pieces of one length.
 
-    Pieces of a length are dealt to hash buckets, ranked inside a bucket, and
-    shifted by the sizes of the buckets before, so that one very frequent
-    length is not one task."""
-    n = pieces.count()
-    buckets = max(1, -(-n // rows_per_bucket))
+    Pieces of a length are dealt to hash buckets (by default as many as the
+    square root of all pieces), ranked inside a bucket, and shifted by the sizes
+    of the buckets before, so that one very frequent length is not one task."""
+    buckets = buckets or max(1, math.isqrt(pieces.count()))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("size"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

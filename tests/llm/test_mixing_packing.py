@@ -122,6 +122,6 @@ def test_pack_edges(make_docs):
 
 def test_ranks_in_buckets(spark):
     pieces = spark.range(1000).select(F.col("id"), F.lit(0).alias("piece"), (F.col("id") % 2).alias("length"), F.col("id").alias("ids_crc32"))
-    got = ranked(pieces, rows_per_bucket=30).toPandas()
+    got = ranked(pieces, 30).toPandas()
     for _, rows in got.groupby("length"):
         assert sorted(rows["rank"]) == list(range(500))
