@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .attribution import op7_token_counts
 from .chat import OP3_SQL, op3_chat
 from .fingerprint import op5_fingerprint
 from .language import op6_language
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_fingerprint": op5_fingerprint,
     "op6_language": op6_language,
+    "op7_token_counts": op7_token_counts,
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
