@@ -1,12 +1,12 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two 64-bit fingerprints link at three or fewer differing bits.  Leave out the
-16-bit quarter that holds one of the differing bits: at most two differ in the
-48 bits left, so both fingerprints lie within one bit of a common value.  Every
-distinct fingerprint therefore emits, for each quarter left out, all values
-within half that radius (itself and 48 one-bit variants, 196 rows in all);
+third of the bits that holds one of the differing ones: at most two differ in
+what is left, so both fingerprints lie within one bit of a common value.  Every
+distinct fingerprint therefore emits, for each third left out, all values
+within half that radius (itself and its one-bit variants, 131 rows in all);
 rows are shuffled on the variant, and fingerprints that meet are verified by
-their full distance.  A random meeting needs 48 equal bits, so false candidates
+their full distance.  A random meeting needs 42 equal bits, so false candidates
 stay rare at any size, and no row count depends on how alike the documents are.
 """
 
@@ -26,7 +26,8 @@ from .components import connected_components
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
-_BITS, _QUARTER = 64, 16
+_BITS = 64
+_CUTS = (0, 21, 42, 64)
 
 
 def _signed(x: int) -> int:
@@ -63,11 +64,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _variants() -> list[tuple[int, int]]:
-    """(and-mask, xor-value) pairs: the quarter left out holds a constant."""
+    """(and-mask, xor-value) pairs: the bits left out hold a constant."""
     out = []
-    for q in range(_BITS // _QUARTER):
-        hole = ((1 << _QUARTER) - 1) << (q * _QUARTER)
-        keep, tag = ~hole & ((1 << 64) - 1), (q + 1) << (q * _QUARTER)
+    for q, (low, high) in enumerate(zip(_CUTS, _CUTS[1:], strict=False)):
+        hole = ((1 << (high - low)) - 1) << low
+        keep, tag = ~hole & ((1 << 64) - 1), (q + 1) << low
         flips = [0] + [1 << b for b in range(_BITS) if not hole >> b & 1]
         out += [(_signed(keep), _signed(tag ^ f)) for f in flips]
     return out
@@ -87,8 +88,8 @@ def _linked_stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _meet(radius: int):
-    """Streams rows in key order; a bucket holds at most the 49 variants' values
-    times what the left-out quarter can be, and is handled as one array."""
+    """Streams rows in key order; a bucket holds at most the 44 variants' values
+    times what the bits left out can be, and is handled as one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
