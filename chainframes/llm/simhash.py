@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +24,45 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 from .components import connected_components
 
-SHINGLE_WORDS = 3
-SEED = 42
 RADIUS = 3
 _BITS = 64
 _CUTS = (0, 21, 42, 64)
 
 
+class Scheme(NamedTuple):
+    """What a fingerprint is made of: runs of ``words`` words, each as often as
+    it occurs or (``distinct``) once, hashed with ``seed``."""
+
+    words: int = 3
+    seed: int = 42
+    distinct: bool = False
+
+
+SHINGLES = Scheme()
+#: Two fingerprints of a text's set of words.  An edit changes fewer single words
+#: than runs of them, and unrelated texts share few distinct words, so that near
+#: copies (0.8 and more of their runs of five words in common) mostly differ in
+#: three bits or fewer in one of the two.
+WORD_SETS = (Scheme(1, 42, True), Scheme(1, 43, True))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def simhash(text: str | None, k: int = SHINGLE_WORDS) -> int:
+def simhash(text: str | None, scheme: Scheme = SHINGLES) -> int:
     """The signed 64-bit fingerprint of one text (null or no word: 0)."""
     from xxhash import xxh64_intdigest
 
+    k = scheme.words
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    runs = zip(*(words[i:] for i in range(k))) if len(words) >= k else [words]
-    n = max(1, len(words) - k + 1)
-    hashes = np.fromiter(map(xxh64_intdigest, map(b" ".join, runs), repeat(SEED)), dtype="<u8", count=n)
+    runs = list(map(b" ".join, zip(*(words[i:] for i in range(k))))) if len(words) >= k else [b" ".join(words)]
+    if scheme.distinct:
+        runs = list(set(runs))
+    n = len(runs)
+    hashes = np.fromiter(map(xxh64_intdigest, runs, repeat(scheme.seed)), dtype="<u8", count=n)
     counts = np.zeros(_BITS, dtype=np.int64)
     for at in range(0, n, 4096):
         part = hashes[at : at + 4096]
@@ -52,15 +71,18 @@ def simhash(text: str | None, k: int = SHINGLE_WORDS) -> int:
     return int(bits.view("<i8")[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [simhash(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["id", "fp"])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = (SHINGLES,)) -> DataFrame:
+    """``id, fp0, fp1, ..``: a fingerprint per scheme."""
+    names = [f"fp{i}" for i in range(len(schemes))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [[simhash(t.as_py(), s) for s in schemes] for t in batch.column(1)]
+            columns = [pa.array([v[i] for v in values], pa.int64()) for i in range(len(schemes))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, f"id {dict(rows.dtypes)['id']}, fp long")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} long" for c in names))
 
 
 def _variants() -> list[tuple[int, int]]:
@@ -135,34 +157,51 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.mapInArrow(_meet(radius), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, fp, component`` with the component's
-    smallest id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = (SHINGLES,)) -> DataFrame:
+    """One row per document: ``id_col, fp0 .., component`` with the component's
+    smallest id.  With several schemes, documents link if one of them links.
 
     Null and word-free texts have fingerprint zero and link like any other.
     Copies share one node, so a text repeated without end costs one row.  Rows
     with a null id get a component like any other; a component of null ids only
     has a null name.  An empty table gives no rows."""
-    fps = materialize(fingerprints(docs, id_col, text_col))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least_id")))
-    roots = connected_components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    by_fp = materialize(named.join(names, "root").select("fp", "component"))
-    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    names = [f"fp{i}" for i in range(len(schemes))]
+    fps = materialize(fingerprints(docs, id_col, text_col, schemes))
+    texts = materialize(fps.groupBy(*names).agg(F.min("id").alias("least_id")))
+    if len(names) == 1:
+        first = F.col("fp0")
+        edges = links(texts.select(F.col("fp0").alias("fp")))
+    else:
+        # a node per scheme and fingerprint; a text ties its own together
+        node = {c: F.xxhash64(F.lit(c), F.col(c)) for c in names}
+        first = node["fp0"]
+        edges = None
+        for c in names:
+            found = links(texts.select(F.col(c).alias("fp")).distinct())
+            found = found.select(*[F.xxhash64(F.lit(c), F.col(x)).alias(x) for x in ("u", "v")])
+            edges = found if edges is None else edges.unionByName(found)
+        for c in names[1:]:
+            edges = edges.unionByName(texts.select(first.alias("u"), node[c].alias("v")))
+    roots = connected_components(edges)
+    texts = texts.withColumn("first", first)
+    named = texts.join(roots, texts["first"] == roots["node"], "left").withColumn("root", F.coalesce("root", "first")).select(*names, "least_id", "root")
+    components = named.groupBy("root").agg(F.min("least_id").alias("component"))
+    by_text = materialize(named.join(components, "root").select(*names, "component"))
+    return fps.join(by_text, names).select(F.col("id").alias(id_col), *names, "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = WORD_SETS) -> DataFrame:
     """The rows of ``docs`` whose id names their component, one of each.
 
     A row without an id goes by a negative number made from its text's hash, so
     of such rows with one text one stays; before rows with ids it is the one."""
     own = F.coalesce(F.col(id_col), -1 - F.xxhash64(text_col).bitwiseAND((1 << 62) - 1))
     keyed = docs.withColumn("__key", own)
-    found = near_duplicates(keyed.select("__key", text_col), "__key", text_col)
+    found = near_duplicates(keyed.select("__key", text_col), "__key", text_col, schemes)
     first = found.where(F.col("__key") == F.col("component")).groupBy("__key").agg(F.count("*").alias("n"))
     first = materialize(first)
-    kept = keyed.join(first.select("__key"), "__key", "left_semi")
+    # One plan at every size: texts are dealt by id once and not sorted.
+    kept = keyed.join(first.select("__key").hint("shuffle_hash"), "__key", "left_semi")
     if not first.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["__key"])
     return kept.drop("__key")
@@ -171,6 +210,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select(
         "doc_id",
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )

@@ -6,7 +6,7 @@ import pandas as pd
 from xxhash import xxh64_intdigest
 
 from chainframes.llm.components import connected_components
-from chainframes.llm.simhash import _linked_stars, _variants, keep_one, near_duplicates
+from chainframes.llm.simhash import Scheme, _linked_stars, _variants, keep_one, near_duplicates, simhash
 from chainframes.llm.substrings import passages, remove_repeats, sliding_min
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,8 +41,8 @@ def test_near_duplicates(make_docs, prose):
     got = near_duplicates(make_docs(prose, extra=True)).collect()
     fps = [fingerprint(t) for _, t in prose]
     want = sorted(zip([i for i, _ in prose], fps, components(fps, [i for i, _ in prose]), strict=True), key=repr)
-    assert sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component) for r in got), key=repr) == want
-    assert {r.fp for r in got if r.doc_id in (401, 402, 403)} == {0}
+    assert sorted(((r.doc_id, r.fp0 & (1 << 64) - 1, r.component) for r in got), key=repr) == want
+    assert {r.fp0 for r in got if r.doc_id in (401, 402, 403)} == {0}
 
 
 def test_near_edges(make_docs):
@@ -51,6 +51,24 @@ def test_near_edges(make_docs):
     assert [(r.doc_id, r.component) for r in got] == [(None, None)] * 2
 
 
+def test_links_of_any_scheme(make_docs, prose):
+    schemes = (Scheme(1, 42, True), Scheme(2, 7))
+    got = near_duplicates(make_docs(prose), schemes=schemes).collect()
+    fps = [(simhash(t, schemes[0]), simhash(t, schemes[1])) for _, t in prose]
+    label = list(range(len(prose)))
+    for i in range(len(prose)):
+        for j in range(i):
+            if any(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True)):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for (i, _), x in zip(prose, label, strict=True):
+        least[x] = min((k for k in (least.get(x), i) if k is not None), default=None)
+    want = sorted(((i, *f, least[x]) for (i, _), f, x in zip(prose, fps, label, strict=True)), key=repr)
+    assert sorted(((r.doc_id, r.fp0, r.fp1, r.component) for r in got), key=repr) == want
+    copies = [r for r in got if r.doc_id is not None and 200 <= r.doc_id < 210]
+    assert sum(r.component == r.doc_id - 180 for r in copies) >= 5  # one word of each is changed
+
+
 def test_every_close_pair_meets():
     rng = np.random.default_rng(1)
     masks = np.array(_variants(), dtype=np.int64)
