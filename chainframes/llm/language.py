@@ -29,6 +29,8 @@ MAX_LANGUAGES = 500
 CLEAR = 0.6
 #: Learning documents per language that fit bit weights and the temperature.
 CALIBRATION_ROWS = 500
+#: Texts that a task looks at together.
+ROWS_AT_ONCE = 256
 
 _FOLD = np.arange(256, dtype=np.uint8)
 for _b in range(256):
@@ -212,25 +214,27 @@ def learn_languages(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return model
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, text_at: int, n_keep: int):
+    """Reads the text from column ``text_at`` and passes the first ``n_keep`` on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8(batch.column(1))
-            names, scores = [], []
-            for begin in range(0, batch.num_rows, 256):
-                rows = range(begin, min(begin + 256, batch.num_rows))
-                spans = [raw[at[i] : at[i + 1]] for i in rows]
+            for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                raw, at = utf8(part.column(text_at))
+                spans = [raw[at[i] : at[i + 1]] for i in range(part.num_rows)]
                 known = [bool(model.languages) and has_letter(s) for s in spans]
-                counts = np.stack([gram_counts(s) if k else np.zeros(BUCKETS) for s, k in zip(spans, known, strict=True)])
-                if model.languages:
+                names, scores = [UNKNOWN] * len(spans), [0.0] * len(spans)
+                if any(known):
+                    counts = np.stack([gram_counts(s) if k else np.zeros(BUCKETS) for s, k in zip(spans, known, strict=True)])
                     best, share = model.decode(model.margins(counts))
-                for j, k in enumerate(known):
-                    names.append(model.languages[best[j]] if k else UNKNOWN)
-                    scores.append(float(share[j]) if k else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == UNKNOWN or s < CLEAR for n, s in zip(names, scores, strict=True)], pa.bool_())],
-                [*batch.schema.names[2:], "lang_pred", "score", "ambiguous"],
-            )
+                    for j in np.flatnonzero(known).tolist():
+                        names[j], scores[j] = model.languages[best[j]], float(share[j])
+                unclear = [n == UNKNOWN or s < CLEAR for n, s in zip(names, scores, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:n_keep], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(unclear, pa.bool_())],
+                    [*part.schema.names[:n_keep], "lang_pred", "score", "ambiguous"],
+                )
 
     return run
 
@@ -241,10 +245,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     Only the text decides.  Null texts and texts without a letter are ``und``
     with score 0 and ambiguous.  Repeated rows are judged alike; an empty table
     gives no rows.  Texts are read whole, in Arrow batches."""
-    rows = docs.select(F.lit(0).alias("__pad"), F.col(text_col).alias("__text"), *keep)
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text"))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
     kinds = dict(docs.select(*keep).dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["lang_pred string", "score double", "ambiguous boolean"])
-    return rows.mapInArrow(_predict(model), schema)
+    return rows.mapInArrow(_predict(model, text_at, len(keep)), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
