@@ -171,7 +171,9 @@ def mcd_estimates(rows: DataFrame, key: str = "group_key") -> DataFrame:
     are ``percentile_approx`` with relative rank error 1/2000, so a core may
     miss ``CORE_SHARE`` by that much."""
     d = range(len(FEATURES))
-    middle = rows.groupBy(key).agg(*[F.percentile_approx(FEATURES[i], 0.5, 2000).alias(f"m{i}") for i in d])
+    # Tables of one row per group are written out, so that Spark knows their size
+    # and sends small ones to the rows instead of dealing the rows by group.
+    middle = materialize(rows.groupBy(key).agg(*[F.percentile_approx(FEATURES[i], 0.5, 2000).alias(f"m{i}") for i in d]))
     spread = (
         rows.join(middle, key)
         .groupBy(key)
@@ -194,7 +196,7 @@ def mcd_estimates(rows: DataFrame, key: str = "group_key") -> DataFrame:
     current = materialize(median_start.unionByName(mean_start))
     for _ in range(STEPS):
         measured = rows.join(current, key).withColumn("d2", _squared_distance("m", "c")).select(key, "start", "d2", *FEATURES)
-        edge = measured.groupBy(key, "start").agg(F.percentile_approx("d2", CORE_SHARE, 2000).alias("edge"))
+        edge = materialize(measured.groupBy(key, "start").agg(F.percentile_approx("d2", CORE_SHARE, 2000).alias("edge")))
         core = measured.join(edge, [key, "start"]).where("d2 <= edge")
         current = materialize(_with_estimate(_sums(core, [key, "start"]), CONSISTENCY).select(key, "start", "logdet", *ESTIMATE))
     best = F.min_by(F.struct(*ESTIMATE), F.struct("logdet", "start")).alias("best")
