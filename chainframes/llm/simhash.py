@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 from .components import connected_components
+from .shingles import similar_pairs, word_runs
 
 RADIUS = 3
 _BITS = 64
@@ -52,15 +53,24 @@ def _signed(x: int) -> int:
 
 def simhash(text: str | None, scheme: Scheme = SHINGLES) -> int:
     """The signed 64-bit fingerprint of one text (null or no word: 0)."""
+    return simhashes(text, (scheme,))[0]
+
+
+def simhashes(text: str | None, schemes: tuple[Scheme, ...]) -> list[int]:
+    """A fingerprint per scheme; runs of words are made once for each kind."""
+    kinds: dict[tuple[int, bool], list[bytes]] = {}
+    for s in schemes:
+        if (s.words, s.distinct) not in kinds:
+            runs = word_runs(text, s.words)
+            kinds[s.words, s.distinct] = list(set(runs)) if s.distinct else runs
+    return [_simhash(kinds[s.words, s.distinct], s) for s in schemes]
+
+
+def _simhash(runs: list[bytes], scheme: Scheme) -> int:
     from xxhash import xxh64_intdigest
 
-    k = scheme.words
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    if not runs:
         return 0
-    runs = list(map(b" ".join, zip(*(words[i:] for i in range(k))))) if len(words) >= k else [b" ".join(words)]
-    if scheme.distinct:
-        runs = list(set(runs))
     n = len(runs)
     hashes = np.fromiter(map(xxh64_intdigest, runs, repeat(scheme.seed)), dtype="<u8", count=n)
     counts = np.zeros(_BITS, dtype=np.int64)
@@ -77,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [[simhash(t.as_py(), s) for s in schemes] for t in batch.column(1)]
+            values = [simhashes(t.as_py(), schemes) for t in batch.column(1)]
             columns = [pa.array([v[i] for v in values], pa.int64()) for i in range(len(schemes))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
 
@@ -190,21 +200,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_text, names).select(F.col("id").alias(id_col), *names, "component")
 
 
+def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
+    """Edges ``(u, v)`` between rows' ``node`` whose components hold together all
+    texts that one of the fingerprints ``fp0 ..`` links."""
+    edges = None
+    for i in range(len(schemes)):
+        lows = materialize(texts.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("node").alias("low"), F.count("*").alias("n")))
+        alike = texts.join(lows.where("n > 1"), texts[f"fp{i}"] == lows["fp"]).select(F.col("node").alias("u"), F.col("low").alias("v"))
+        met = links(lows.select("fp"))
+        for c in ("u", "v"):
+            met = met.join(lows.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), c)
+        found = materialize(met.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).unionByName(alike.where("u <> v")))
+        edges = found if edges is None else edges.unionByName(found)
+    return edges
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = WORD_SETS) -> DataFrame:
     """The rows of ``docs`` whose id names their component, one of each.
 
-    A row without an id goes by a negative number made from its text's hash, so
-    of such rows with one text one stays; before rows with ids it is the one."""
+    Fingerprints only propose: texts link if their sets of runs of five words
+    have a Jaccard similarity of 0.8 or more.  A row without an id goes by a
+    negative number made from its text's hash, so of such rows with one text one
+    stays; before rows with ids it is the one."""
     own = F.coalesce(F.col(id_col), -1 - F.xxhash64(text_col).bitwiseAND((1 << 62) - 1))
-    keyed = docs.withColumn("__key", own)
-    found = near_duplicates(keyed.select("__key", text_col), "__key", text_col, schemes)
-    first = found.where(F.col("__key") == F.col("component")).groupBy("__key").agg(F.count("*").alias("n"))
-    first = materialize(first)
+    keyed = docs.withColumn("__key", own).withColumn("__node", F.xxhash64(text_col))
+    names = [f"fp{i}" for i in range(len(schemes))]
+    # a node per distinct text
+    fps = materialize(fingerprints(keyed.select(F.struct("__key", "__node").alias("__row"), text_col), "__row", text_col, schemes))
+    texts = materialize(fps.groupBy(F.col("id.__node").alias("node"), *names).agg(F.min("id.__key").alias("least_id")))
+    groups = connected_components(proposed_edges(texts, schemes))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    asked = materialize(groups.join(texts.select("node", "least_id"), "node"))
+    rows = keyed.select("__key", "__node", F.col(text_col).alias("text"))
+    rows = rows.join(asked, (rows["__node"] == asked["node"]) & (rows["__key"] == asked["least_id"])).select("node", "root", "text")
+    roots = connected_components(similar_pairs(rows))
+    named = texts.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("least_id").alias("__key")).groupBy("__key").agg(F.count("*").alias("n"))
+    copies = fps.groupBy(F.col("id.__key").alias("__key")).agg(F.count("*").alias("rows"))
+    first = materialize(first.join(copies, "__key"))
     # One plan at every size: texts are dealt by id once and not sorted.
     kept = keyed.join(first.select("__key").hint("shuffle_hash"), "__key", "left_semi")
-    if not first.where("n > 1").isEmpty():
+    if not first.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["__key"])
-    return kept.drop("__key")
+    return kept.drop("__key", "__node")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
