@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, dropping_shuffles, materialize
 from .components import connected_components
 from .shingles import similar_pairs, word_runs
 
@@ -40,11 +40,10 @@ class Scheme(NamedTuple):
 
 
 SHINGLES = Scheme()
-#: Two fingerprints of a text's set of words.  An edit changes fewer single words
-#: than runs of them, and unrelated texts share few distinct words, so that near
-#: copies (0.8 and more of their runs of five words in common) mostly differ in
-#: three bits or fewer in one of the two.
-WORD_SETS = (Scheme(1, 42, True), Scheme(1, 43, True))
+#: Fingerprints of a text's set of words.  An edit changes fewer single words than
+#: runs of them, so that near copies (0.8 and more of their runs of five words in
+#: common) mostly differ in three bits or fewer in one of the eight.
+WORD_SETS = tuple(Scheme(1, seed, True) for seed in range(42, 50))
 
 
 def _signed(x: int) -> int:
@@ -210,7 +209,8 @@ def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
         met = links(lows.select("fp"))
         for c in ("u", "v"):
             met = met.join(lows.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), c)
-        found = materialize(met.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).unionByName(alike.where("u <> v")))
+        with dropping_shuffles(texts.sparkSession):  # else the disk holds all schemes' variants at once
+            found = materialize(met.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).unionByName(alike.where("u <> v")))
         edges = found if edges is None else edges.unionByName(found)
     return edges
 

@@ -42,3 +42,18 @@ def test_a_large_group_of_near_copies(make_docs):
         mine[rng.randrange(200)] = f"x{i}"
         rows.append((i, " ".join(mine)))
     assert [r.doc_id for r in keep_one(make_docs(rows)).collect()] == [0]
+
+
+def test_edited_copies_go(make_docs):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(20000)}" for _ in range(60 + 3 * i)]
+        rows.append((i, " ".join(words)))
+        for k in range(len(words) // 50):
+            words[25 + 50 * k] = f"x{i}x{k}"
+        rows.append((100 + i, " ".join(words)))
+    want = kept_ids(rows)
+    assert want == list(range(60))
+    got = sorted(r.doc_id for r in keep_one(make_docs(rows)).collect())
+    assert not set(want) - set(got) and len(got) <= len(want) + 2
