@@ -216,7 +216,8 @@ def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = WORD_SETS) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, one of each.
+    """The rows of ``docs`` whose id names their component, one of each; an id
+    with several texts counts once for each of them.
 
     Fingerprints only propose: texts link if their sets of runs of five words
     have a Jaccard similarity of 0.8 or more.  A row without an id goes by a
@@ -235,13 +236,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     rows = rows.join(asked, (rows["__node"] == asked["node"]) & (rows["__key"] == asked["least_id"])).select("node", "root", "text")
     roots = connected_components(similar_pairs(rows))
     named = texts.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min("least_id").alias("__key")).groupBy("__key").agg(F.count("*").alias("n"))
-    copies = fps.groupBy(F.col("id.__key").alias("__key")).agg(F.count("*").alias("rows"))
-    first = materialize(first.join(copies, "__key"))
-    # One plan at every size: texts are dealt by id once and not sorted.
-    kept = keyed.join(first.select("__key").hint("shuffle_hash"), "__key", "left_semi")
-    if not first.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["__key"])
+    first = named.groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("row"))
+    first = first.select(F.col("row.least_id").alias("__key"), F.col("row.node").alias("__node"))
+    copies = fps.select("id.*").groupBy("__key", "__node").agg(F.count("*").alias("n"))
+    first = materialize(first.join(copies, ["__key", "__node"]))
+    # One plan at every size: texts are dealt by id and text once and not sorted.
+    kept = keyed.join(first.select("__key", "__node").hint("shuffle_hash"), ["__key", "__node"], "left_semi")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["__key", "__node"])
     return kept.drop("__key", "__node")
 
 

@@ -57,3 +57,12 @@ def test_edited_copies_go(make_docs):
     assert want == list(range(60))
     got = sorted(r.doc_id for r in keep_one(make_docs(rows)).collect())
     assert not set(want) - set(got) and len(got) <= len(want) + 2
+
+
+def test_one_id_with_two_texts(make_docs):
+    rng = random.Random(7)
+    a, b, c = (" ".join(f"w{rng.randrange(9000)}" for _ in range(90)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (3, c), (7, c), (7, a + " more")]
+    assert sorted((r.doc_id, r.text) for r in keep_one(make_docs(rows)).collect()) == sorted([(5, a), (5, b), (3, c)])
+    rows = [(3, c), (7, c), (7, b)]  # one text of 7 is a copy, the other is not
+    assert sorted((r.doc_id, r.text) for r in keep_one(make_docs(rows)).collect()) == sorted([(3, c), (7, b)])
