@@ -23,48 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
-from .packing import SpellingTokenizer
+from .packing import worker_tokenizer
 
 RULES = ("first", "last", "most", "share")
 
 
-class OffsetTokenizer(SpellingTokenizer):
-    """Holds the character spans of each spelling's tokens."""
-
-    def _learn(self, spellings: list[str], texts: list[str]) -> None:
-        """Encodes many spellings as the words of one pre-split text."""
-        found = self._tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        values = np.array(found.offsets, dtype="<i4").reshape(-1, 2).tobytes()
-        counts = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(texts))
-        begin = 0
-        for spelling, end in zip(spellings, (np.cumsum(counts) * 8).tolist(), strict=True):
-            self._young[spelling] = values[begin:end]
-            begin = end
-
-    def spans_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """(tokens, 2) starts and ends of each text's tokens in code points."""
-        cut = [self.spellings(t) for t in texts]
-        held = self._known(cut)
-        for parts in cut:
-            values = list(map(held.__getitem__, parts))
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-            sizes[0] -= 2  # the first spelling stands without a blank, but with a mark
-            begins = np.cumsum(sizes) - sizes
-            tokens = np.fromiter(map(len, values), np.int64, len(values)) // 8
-            spans = np.frombuffer(b"".join(values), dtype="<i4").reshape(-1, 2).astype(np.int64)
-            yield spans + np.repeat(begins, tokens)[:, None]
-        self._age()
-
-
-_tokenizers: dict[str, OffsetTokenizer] = {}
-
-
-def _tokenizer(path: str) -> OffsetTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = OffsetTokenizer(path)
-    return _tokenizers[path]
-
-
 def attribute(spans: np.ndarray, borders: np.ndarray, rule: str) -> tuple[np.ndarray, int]:
     """Tokens per stretch between consecutive ``borders`` (which tile the text),
     and how many tokens cross a border.  An empty span counts where it starts."""
@@ -118,7 +81,9 @@ def token_counts(
     """``keep`` columns plus ``n_tokens, n_crossing, outside, sections`` per row.
 
     ``sections`` is a column of array<struct<start int, end int>> in code
-    points, in order and disjoint; it comes back with each section's ``tokens``.
+    points, in order and disjoint, or of array<int>, the lengths of sections
+    that follow each other from the first character on.  It comes back as
+    starts and ends with each section's ``tokens``.
     Null texts count as empty and have no tokens; null or missing sections leave
     all tokens outside; empty sections have none.  Repeated rows are counted
     each; an empty table gives no rows."""
@@ -127,21 +92,22 @@ def token_counts(
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = _tokenizer(tokenizer_path)
+        encoder = worker_tokenizer(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(0).to_pylist()]
                 totals, crossings, outside, values, counts_out, lengths = [], [], [], [], [], [0]
-                for text, own, spans in zip(texts, part.column(1), encoder.spans_all(texts), strict=True):
-                    if own.is_valid and len(own.values):
+                for value, own in zip(part.column(0), part.column(1), strict=True):
+                    text = value.as_py() or ""
+                    spans = encoder.spans(text)
+                    if not own.is_valid or not len(own.values):
+                        places = np.zeros((0, 2), np.int64)
+                    elif consecutive:
+                        ends = np.cumsum(own.values.to_numpy().astype(np.int64))
+                        places = np.stack([np.r_[0, ends[:-1]], ends], axis=1)
+                    else:
                         flat = own.values
                         places = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], axis=1).astype(np.int64)
-                    else:
-                        places = np.zeros((0, 2), np.int64)
                     borders, where = tile(places, len(text))
                     counts, n = attribute(spans, borders, rule)
                     mine = np.where(where >= 0, counts[where], 0.0)
@@ -162,6 +128,7 @@ def token_counts(
                 )
 
     rows = docs.select(F.col(text_col).alias("__text"), sections.alias("__sections"), *keep)
+    consecutive = dict(rows.dtypes)["__sections"] == "array<int>"
     kinds = dict(docs.select(*keep).dtypes)
     schema = ", ".join(
         [f"`{c}` {kinds[c]}" for c in keep]
@@ -170,16 +137,11 @@ def token_counts(
     return rows.mapInArrow(run, schema)
 
 
-def line_sections(text: Column) -> Column:
-    """The lines of a text as sections; each holds its line break, so that lines
-    tile the text.  An empty text has one empty line."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-
-    def step(state: Column, line: Column) -> Column:
-        end = state["at"] + F.char_length(line) + 1
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), end.alias("end")))).alias("found"))
-
-    return F.aggregate(F.split(text, "\n"), zero, step, lambda state: state["found"])
+def line_lengths(text: Column) -> Column:
+    """The lengths of a text's lines; each holds its line break, so that lines
+    tile the text.  An empty text has one empty line, a null text none.  Lines
+    are only counted here and added up where the tokens are: linear in the text."""
+    return F.transform(F.split(text, "\n"), lambda line: F.char_length(line) + 1)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
@@ -187,7 +149,7 @@ def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = documents(spark, sf_dir).select("doc_id", text_or_empty().alias("text"))
-    found = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), line_sections(F.col("text")), rule="most")
+    found = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), line_lengths(F.col("text")), rule="most")
     return found.select("doc_id", "n_tokens", "n_crossing", F.posexplode("sections").alias("line", "s")).select(
         "doc_id", "line", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.tokens").cast("long").alias("tokens"), "n_tokens", "n_crossing"
     )

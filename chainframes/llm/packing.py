@@ -12,8 +12,8 @@ pieces find their place in it by their rank among pieces of their length.
 from __future__ import annotations
 
 import math
+import os
 import re
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -28,61 +28,13 @@ from .common import documents, materialize
 
 CAPACITY = 2048
 END_ID = 0
-#: Spellings held in memory per Python worker (two generations of half of it).
-CACHE_SPELLINGS = 240_000
+#: Shares of the fitted repeat counts that are tried; the rest is packed best-fit.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 
 
 # -- tokens ----------------------------------------------------------------
 
 
-class SpellingTokenizer:
-    """Holds something about the tokens of each spelling, as bytes.
-
-    The vocabulary's pre-tokenizer never joins text across a blank that is
-    followed by a character other than white space: that blank starts the next
-    pre-token.  Texts are cut there and each distinct spelling is encoded once,
-    while it stays in a bounded cache.  Spellings are held without their blank;
-    a text's first one, which has none, is marked by a blank before it."""
-
-    _CUT = re.compile(r" (?=\S)")
-
-    def __init__(self, path: str, cache: int = CACHE_SPELLINGS):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._half = cache // 2
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def spellings(self, text: str) -> list[str]:
-        parts = self._CUT.split(text)
-        parts[0] = f" {parts[0]}"
-        return parts
-
-    def _learn(self, spellings: list[str], texts: list[str]) -> None:
-        """Fills ``_young``; ``texts`` are the spellings as they stand in a text."""
-        raise NotImplementedError
-
-    def _known(self, cut: list[list[str]]) -> dict[str, bytes]:
-        """Makes sure that all spellings of some texts are held."""
-        young, old = self._young, self._old
-        missing = []
-        for spelling in set().union(*cut).difference(young):
-            if spelling in old:
-                young[spelling] = old[spelling]
-            else:
-                missing.append(spelling)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self._learn(part, [s[1:] if s[0] == " " else f" {s}" for s in part])
-        return young
-
-    def _age(self) -> None:
-        if len(self._young) > self._half:
-            self._old, self._young = self._young, {}
-
-
 def byte_alphabet() -> dict[str, int]:
     """The printable characters by which byte-level vocabularies write bytes:
     printable Latin-1 stands for itself, the rest for U+0100 onwards in order."""
@@ -91,55 +43,90 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
-class IdTokenizer(SpellingTokenizer):
-    """Token ids as little-endian 32-bit bytes.
+class WholeTokenizer:
+    """Ids and character spans as the ``tokenizers`` file gives them.
 
-    Spellings that are not held are merged by the ``tiktoken`` engine over the
-    very vocabulary of the ``tokenizers`` file, several times as fast; both
-    agree on every code point.  The first CHECKED spellings of each worker are
-    encoded by both, and a difference is an error."""
+    A text in which an added token (such as an end mark) is spelled out goes
+    through ``tokenizers`` itself, which gives that token's id.  All others are
+    encoded by the ``tiktoken`` engine over the very vocabulary of the file,
+    several times as fast.  Each worker encodes its first CHECKED texts by both,
+    and a difference is an error."""
 
-    CHECKED = 2000
+    CHECKED = 100
+    #: Longer texts are encoded in stretches of about so many characters, cut before
+    #: a blank that a character other than white space follows: the pre-tokenizer
+    #: never joins text across the front of that blank.
+    STRETCH = 1 << 20
+    _CUT = re.compile(r" (?=\S)")
 
-    def __init__(self, path: str, cache: int = CACHE_SPELLINGS):
-        super().__init__(path, cache)
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
+        self._tokenizer = Tokenizer.from_file(path)
+        added = self._tokenizer.get_added_tokens_decoder()
         alphabet = byte_alphabet()
-        special = set(self._tokenizer.get_added_tokens_decoder())
-        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in self._tokenizer.get_vocab().items() if i not in special}
-        engine = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._encode = engine.encode_ordinary
+        ranks = {bytes(map(alphabet.__getitem__, t)): i for t, i in self._tokenizer.get_vocab().items() if i not in added}
+        self._added = [t.content for t in added.values()]
+        self._engine = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._sizes[list(ranks.values())] = list(map(len, ranks))
         self._left = self.CHECKED
 
-    def _learn(self, spellings: list[str], texts: list[str]) -> None:
-        found = list(map(self._encode, texts))
+    def _stretches(self, text: str) -> Iterator[tuple[int, str]]:
+        """(first character, stretch) pairs that make up the text."""
+        at = 0
+        while len(text) - at > self.STRETCH:
+            cut = self._CUT.search(text, at + self.STRETCH)
+            if cut is None:
+                break
+            yield at, text[at : cut.start()]
+            at = cut.start()
+        yield at, text[at:]
+
+    def _spelled_out(self, text: str) -> bool:
+        return any(t in text for t in self._added)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self._spelled_out(text):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        parts = [np.array(self._engine.encode_ordinary(part), dtype="<u4") for _, part in self._stretches(text)]
+        found = parts[0] if len(parts) == 1 else np.concatenate(parts)
         if self._left > 0:
-            some = texts[: self._left]
-            self._left -= len(some)
-            if [e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)] != found[: len(some)]:
+            self._left -= 1
+            if self._tokenizer.encode(text, add_special_tokens=False).ids != found.tolist():
                 raise RuntimeError("the two engines disagree on this vocabulary")
-        for spelling, ids in zip(spellings, found, strict=True):
-            self._young[spelling] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [self.spellings(t) for t in texts]
-        young = self._known(cut)
-        out = [b"".join(map(young.__getitem__, parts)) for parts in cut]
-        self._age()
-        return out
-
+        return found
+
+    def spans(self, text: str) -> np.ndarray:
+        """(tokens, 2) starts and ends in code points.  A token that holds a part
+        of a character's bytes spans that character."""
+        if self._spelled_out(text):
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+        found = []
+        for at, part in self._stretches(text):
+            sizes = self._sizes[self._engine.encode_ordinary(part)]
+            raw = np.frombuffer(part.encode(), np.uint8)
+            of_byte = np.cumsum((raw & 0xC0) != 0x80) - 1 + at
+            ends = np.cumsum(sizes)
+            found.append(np.stack([of_byte[ends - sizes], of_byte[ends - 1] + 1], axis=1) if len(ends) else np.zeros((0, 2), np.int64))
+        whole = found[0] if len(found) == 1 else np.concatenate(found)
+        if self._left > 0:
+            self._left -= 1
+            if self._tokenizer.encode(text, add_special_tokens=False).offsets != [tuple(s) for s in whole.tolist()]:
+                raise RuntimeError("the two engines disagree on this vocabulary")
+        return whole
 
-_tokenizers: dict[str, IdTokenizer] = {}
 
+_tokenizers: dict[str, WholeTokenizer] = {}
 
-def _tokenizer(path: str) -> IdTokenizer:
-    import os
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def worker_tokenizer(path: str) -> WholeTokenizer:
+    """One tokenizer per Python worker and file."""
     if path not in _tokenizers:
-        _tokenizers[path] = IdTokenizer(path)
+        _tokenizers[path] = WholeTokenizer(path)
     return _tokenizers[path]
 
 
@@ -153,18 +140,18 @@ def piece_bounds(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``id, piece, start, length, ids_crc32``: every document's ids, ``end_id``
-    last, cut into pieces.  Null texts count as empty (one piece of one id)."""
+    last, cut into pieces.  Null texts count as empty (one piece of one id).
+    Texts are read one by one, so the longest one bounds a worker's memory."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(tokenizer_path)
+        encoder = worker_tokenizer(tokenizer_path)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 256):
-                some = [t or "" for t in texts.slice(at, 256).to_pylist()]
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, ids in enumerate(encoder.encode_all(some)):
-                    ids += end
+                for i, text in enumerate(texts.slice(at, 256)):
+                    ids = encoder.ids(text.as_py() or "").tobytes() + end
                     for piece, (start, length) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                         rows.append((i, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                 where, piece, start, length, crc = (list(c) for c in zip(*rows, strict=True))
@@ -205,20 +192,24 @@ def few_document_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
 
 
-def fit_repeats(patterns: np.ndarray, counts: np.ndarray, sweeps: int = 12) -> np.ndarray:
+def fit_repeats(patterns: np.ndarray, counts: np.ndarray, tolerance: float = 1e-2, rounds: int = 60) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - counts|^2, where column j of A
     counts how often pattern j uses each length.
 
-    Coordinate descent from zero, longest first length first.  Patterns that
-    never had room in the first sweep are left out of the later ones, so the
-    fit stays on few patterns with large counts."""
+    Active-set coordinate descent.  The first sweep goes over all patterns from
+    zero, longest first length first.  Then the patterns in use are swept until
+    they settle, those left out that would lower the sum most come in, and so on
+    until none would by more than ``tolerance`` of the largest count: the
+    conditions of the optimum.  ``rounds`` only ends a fit that does not settle;
+    any x >= 0 gives a right packing."""
     x = np.zeros(len(patterns))
+    if not len(patterns):
+        return x
     rows = [[i for i in row if i >= 0] for row in patterns.tolist()]
     norm = [float(sum(row.count(i) for i in row)) for row in rows]
-    order = np.argsort(-patterns.max(axis=1), kind="stable").tolist() if rows else []
-    left = counts.astype(float).tolist()
-    total = float(counts.sum())
-    for sweep in range(sweeps):
+    left = [*counts.astype(float).tolist(), 0.0]  # the last one stands for "no document"
+
+    def sweep(order: list[int]) -> float:
         moved = 0.0
         for j in order:
             row, old = rows[j], x[j]
@@ -227,11 +218,24 @@ def fit_repeats(patterns: np.ndarray, counts: np.ndarray, sweeps: int = 12) -> n
                 x[j] = new
                 for i in row:
                     left[i] -= new - old
-                moved += abs(new - old)
-        if sweep == 0:
-            order = [j for j in order if x[j] > 0]
-        if moved < 1e-4 * total:
+                moved = max(moved, abs(new - old))
+        return moved
+
+    limit = tolerance * float(counts.max())
+    steps = np.array(norm)
+    sweep(np.argsort(-patterns.max(axis=1), kind="stable").tolist())
+    for _ in range(rounds):
+        used = np.flatnonzero(x > 0).tolist()
+        for _ in range(40):
+            if sweep(used) < limit / 4:
+                break
+        gain = np.array(left)[patterns].sum(axis=1) / steps
+        gain[x > 0] = 0.0
+        best = np.argsort(-gain)[: len(counts)]
+        fresh = best[gain[best] > limit].tolist()
+        if not fresh:
             break
+        sweep(fresh)
     return x
 
 
@@ -283,22 +287,30 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, repeat count) whose lengths add up to ``counts``."""
+    """(lengths of a sequence, repeat count) whose lengths add up to ``counts``.
+
+    Rounding the fit down leaves pieces over, and best-fit packs them the tighter
+    the more of them it gets; of a few shares of the fit the best one is kept."""
     counts = {k: v for k, v in counts.items() if v}
     lengths = np.array(sorted(counts), dtype=np.int64)
     patterns = few_document_patterns(lengths, capacity)
     wanted = np.array([counts[int(k)] for k in lengths], dtype=np.int64)
-    repeats = np.floor(fit_repeats(patterns, wanted) + 1e-6).astype(np.int64)
-    plan, left = [], wanted.copy()
-    for j in np.flatnonzero(repeats):
-        row = [int(i) for i in patterns[j] if i >= 0]
-        n = min([int(repeats[j]), *(int(left[i]) // row.count(i) for i in set(row))])
-        if n > 0:
-            for i in row:
-                left[i] -= n
-            plan.append((tuple(int(lengths[i]) for i in row), n))
-    residual = {int(k): int(v) for k, v in zip(lengths, left, strict=True) if v}
-    return plan + best_fit_runs(residual, capacity)
+    fitted = fit_repeats(patterns, wanted)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for share in SHARES:
+        repeats = np.floor(fitted * share + 1e-6).astype(np.int64)
+        plan, left = [], wanted.copy()
+        for j in np.flatnonzero(repeats):
+            row = [int(i) for i in patterns[j] if i >= 0]
+            n = min([int(repeats[j]), *(int(left[i]) // row.count(i) for i in set(row))])
+            if n > 0:
+                for i in row:
+                    left[i] -= n
+                plan.append((tuple(int(lengths[i]) for i in row), n))
+        plan += best_fit_runs({int(k): int(v) for k, v in zip(lengths, left, strict=True) if v}, capacity)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+    return best or []
 
 
 def slots_by_length(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:

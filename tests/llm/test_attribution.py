@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chainframes.llm.attribution import OffsetTokenizer, attribute, line_sections, tile, token_counts
+from chainframes.llm.attribution import attribute, line_lengths, tile, token_counts
+from chainframes.llm.packing import WholeTokenizer
 
 tokens = pytest.importorskip("public_tokenizers")
 PATH = tokens.path("byte_bpe_50k.json")
@@ -12,16 +13,22 @@ PATH = tokens.path("byte_bpe_50k.json")
 def plain():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
-def test_spans_are_those_of_the_whole_text(plain):
-    odd = ["", "  ", " a  b", "a \n b", "foo\n\n bar \t", "it's 'll  've", " a　 b", "日本語 123 😀😀 é", "é  è\r\n  q   ", "x" * 50 + " \n\n\n y"]
-    fast = OffsetTokenizer(PATH, cache=8)
-    for text, spans in zip(odd, fast.spans_all(odd), strict=True):
-        assert [tuple(s) for s in spans.tolist()] == plain.encode(text, add_special_tokens=False).offsets, repr(text)
+ODD = ["", "  ", " a  b", "a \n b", "foo\n\n bar \t", "it's 'll  've", " a　 b", "日本語 123 😀😀 é", "é  è\r\n  q   ", "x" * 50 + " \n\n\n y"]
+MARKS = ["<|endoftext|>", "<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>", "a  <|endoftext|>  \n<|endoftext|><|endoftext|>b <|endoftex|>"]
+
+
+@pytest.mark.parametrize("stretch", [4, 1 << 20])
+def test_ids_and_spans_are_those_of_the_whole_text(plain, stretch):
+    fast = WholeTokenizer(PATH)
+    fast.CHECKED, fast.STRETCH = 0, stretch
+    for text in ODD + MARKS + [" ".join(ODD * 3)]:
+        want = plain.encode(text, add_special_tokens=False)
+        assert fast.ids(text).tolist() == want.ids, repr(text)
+        assert [tuple(s) for s in fast.spans(text).tolist()] == want.offsets, repr(text)
+    assert 50256 in fast.ids(MARKS[2]) and len(fast.ids(MARKS[2])) == 4
 
 
 def brute(offsets, borders, rule):
@@ -56,15 +63,19 @@ def test_tiles():
 
 
 def test_lines_of_documents(make_docs, prose, plain):
-    rows = [*prose, (900, "a\n\n\nb b\n"), (901, "\n")]
+    rows = [*prose, (900, "a\n\n\nb b\n"), (901, "\n"), (902, "a <|endoftext|>\nb"), (903, "a\n" * 50_000)]
     docs = make_docs(rows, extra=True).withColumn("text", F.coalesce("text", F.lit("")))
-    got = token_counts(docs, PATH, line_sections(F.col("text")), keep=("doc_id", "text")).collect()
+    got = token_counts(docs, PATH, line_lengths(F.col("text")), keep=("doc_id", "text")).collect()
     assert len(got) == len(rows)
     for r in got:
         offsets = plain.encode(r.text, add_special_tokens=False).offsets
         borders = np.cumsum([0, *(len(x) + 1 for x in r.text.split("\n"))])
         borders[-1] = max(len(r.text), 1)
         assert (r.n_tokens, r.outside) == (len(offsets), 0)
+        assert [(s.start, s.end) for s in r.sections][:3] == [(a, b) for a, b in zip(borders[:3].tolist(), borders[1:4].tolist(), strict=False)] or len(borders) <= 4
+        if r.doc_id == 903:  # many lines: each has its letter and its break
+            assert len(r.sections) == 50_001 and {s.tokens for s in r.sections[:-1]} == {2.0}
+            continue
         want = brute(offsets, borders.tolist(), "most") if borders[-1] > borders[-2] else None
         if want:
             assert [s.tokens for s in r.sections] == want
