@@ -40,11 +40,14 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (tests on one machine) is a temporary folder made."""
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    session on one machine (as in tests) gets a temporary folder; on a cluster
+    that is an error, as executors would not see each other's files."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -60,6 +63,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of one narrow row per group are sent to every executor up to so many rows.
+SMALL_ROWS = 20_000
+
+
+def counted_broadcast(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is counted to be small;
+    beyond that Spark chooses the join, and splits a skewed one."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 @contextmanager
 def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of a query go when the query ends.

@@ -66,7 +66,7 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     ``sized(source, h, size)``, ``budgets(source, need)`` with ``need`` at most
     the source's size.  Returns ``source, edge, edge_in``: take ``h < edge``,
     and ``h = edge`` too if ``edge_in`` (the nearer of both sums).  A source
-    whose budget is its whole size has no row."""
+    whose budget is nothing or its whole size has no row."""
     edges = budgets.select("source", "need", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - level * LEVEL_BITS
@@ -127,7 +127,7 @@ def mix_sources(
     plan = targets.withColumn("whole", whole)
     edges = hash_thresholds(
         sized.select("source", "h", "size"),
-        plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("need")),
+        plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("need")).where("need > 0"),
     )
     plan = materialize(
         plan.join(edges, _same_source(plan, edges), "left").select(plan["source"], "source_size", "target", "whole", "edge", "edge_in")
