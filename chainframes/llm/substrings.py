@@ -12,9 +12,9 @@ texts are reused by every step.
    counted over the corpus.  This confirms the recurring windows; each chunk is
    told which of its windows they are, by the place of one occurrence.
 3. Each chunk joins these into passages, compiles an Aho-Corasick automaton of
-   their phrases, and streams all its documents through it.  Every phrase found
-   is compared word by word with the passage around it, and where at least
-   ``WINDOW`` words agree they are removed.
+   their phrases, and streams all its documents through it.  The windows around
+   every phrase found are looked up among the confirmed ones and compared word
+   by word, and the words of those that agree are removed.
 
 A chunk's automaton holds phrases of its own texts only, so shards stay small
 at any corpus size, every document passes through exactly one of them, and a
@@ -160,59 +160,58 @@ def phrase_places(hashes: np.ndarray) -> np.ndarray:
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
 
-def covered_words(ids: np.ndarray, texts: list[list[bytes]], begins: np.ndarray, found: list[tuple[int, int]], hashes: list[np.ndarray]) -> np.ndarray:
-    """Marks the words of a chunk that lie in a window of some passage.
+def covered_words(ids: np.ndarray, texts: list[list[bytes]], begins: np.ndarray, places: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+    """Marks the words of a chunk that lie in a recurring window.
 
     ``ids`` are exact word numbers of all texts in a row, ``begins`` the first
-    word of each text (and the end), ``found`` the passages as word ranges."""
+    word of each text (and the end), ``places`` (in order) one occurrence of
+    each recurring window.  The automaton finds phrases; every window around a
+    phrase found is looked up once by its hash, whatever the number of passages
+    with that phrase, and compared word by word with the occurrence held."""
     import ahocorasick
 
     marked = np.zeros(len(ids) + 1, dtype=np.int32)  # +1 opens a stretch, -1 ends one
     automaton = ahocorasick.Automaton()
-    spots: list[list[tuple[int, int, int]]] = []  # of each phrase: word, passage begin and end
-    for a, b in found:
+    known = []
+    for a, b in passages(places, begins[:-1]):
         doc = int(np.searchsorted(begins, a, side="right")) - 1
         text, at = texts[doc], int(begins[doc])
-        for p in phrase_places(hashes[doc][a - at : b - at]).tolist():
-            phrase = (b" " + b" ".join(text[a - at + p : a - at + p + PHRASE]) + b" ").decode("latin-1")
-            number = automaton.get(phrase, -1)
-            if number < 0:
-                number = len(spots)
-                spots.append([])
-                automaton.add_word(phrase, number)
-            spots[number].append((a + p, a, b))
-    if not spots:
+        own = hashes[doc][a - at : b - at]
+        known.append(run_hashes(own, WINDOW, 3))
+        for p in phrase_places(own).tolist():
+            automaton.add_word((b" " + b" ".join(text[a - at + p : a - at + p + PHRASE]) + b" ").decode("latin-1"), 1)
+    if not known:
         return marked[:-1].astype(bool)
     automaton.make_automaton()
+    held = np.concatenate(known)
+    order = np.argsort(held, kind="stable")
+    held, spots = held[order], places[order]
     reach = WINDOW - PHRASE
+    words = np.arange(WINDOW)
     for doc, text in enumerate(texts):
-        if len(text) < WINDOW:
+        n = len(text) - WINDOW + 1  # windows
+        if n < 1:
             continue
         line = (b" " + b" ".join(text) + b" ").decode("latin-1")
-        ends = np.cumsum([len(w) + 1 for w in text])  # place of the blank after each word
-        begin, end = int(begins[doc]), int(begins[doc + 1])
-        matches = list(automaton.iter(line))
-        if not matches:
+        found = np.fromiter((end for end, _ in automaton.iter(line)), dtype=np.int64)
+        if not len(found):
             continue
-        at = np.searchsorted(ends, [m[0] for m in matches]) - (PHRASE - 1) + begin
-        for p, (_, number) in zip(at.tolist(), matches, strict=True):
-            for q, a, b in spots[number]:
-                left = min(reach, p - begin, q - a)
-                right = min(WINDOW, end - p, b - q)
-                if left + right < WINDOW:
-                    continue
-                if p == q:
-                    first, last = p - left, p + right
-                else:
-                    same = ids[p - left : p + right] == ids[q - left : q + right]
-                    odd = np.flatnonzero(~same)
-                    low = odd[odd < left]
-                    high = odd[odd >= left]
-                    first = p - left + (int(low[-1]) + 1 if len(low) else 0)
-                    last = p - left + (int(high[0]) if len(high) else left + right)
-                if last - first >= WINDOW:
-                    marked[first] += 1
-                    marked[last] -= 1
+        ends = np.cumsum([len(w) + 1 for w in text])  # place of the blank after each word
+        at = np.searchsorted(ends, found) - (PHRASE - 1)
+        around = np.zeros(n + 1, dtype=np.int32)
+        np.add.at(around, np.maximum(at - reach, 0), 1)
+        np.add.at(around, np.minimum(at, n - 1) + 1, -1)
+        windows = np.flatnonzero(np.cumsum(around[:-1]) > 0)
+        wanted = run_hashes(hashes[doc], WINDOW, 3)[windows]
+        k = np.searchsorted(held, wanted)
+        k[k == len(held)] = 0
+        hit = np.flatnonzero(held[k] == wanted)
+        begin = int(begins[doc])
+        for part in np.array_split(hit, len(hit) // 65536 + 1):
+            here, there = windows[part] + begin, spots[k[part]]
+            same = (ids[here[:, None] + words] == ids[there[:, None] + words]).all(axis=1)
+            np.add.at(marked, here[same], 1)
+            np.add.at(marked, here[same] + WINDOW, -1)
     return np.cumsum(marked[:-1]) > 0
 
 
@@ -233,7 +232,7 @@ def _remove(keep: list[str]):
             texts = [r.tobytes().split() for r in raws]
             numbers: dict[bytes, int] = {}
             ids = np.fromiter((numbers.setdefault(w, len(numbers)) for t in texts for w in t), dtype=np.int64, count=total)
-            gone = covered_words(ids, texts, begins, passages(places, begins[:-1]), hashes)
+            gone = covered_words(ids, texts, begins, places, hashes)
         out, removed = [], []
         for i, raw in enumerate(raws):
             mine = gone[begins[i] : begins[i + 1]]
