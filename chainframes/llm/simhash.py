@@ -105,16 +105,38 @@ def _variants() -> list[tuple[int, int]]:
     return out
 
 
+#: Fingerprints of one bucket that are compared all with all; larger buckets are split.
+_COMPARED = 512
+#: Bit ranges of a split: two words that differ in three bits agree in one of the four.
+_PARTS = ((0, 16), (16, 32), (32, 48), (48, 64))
+
+
 def _linked_stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what links within one bucket: (member, smallest of its part)."""
+    """Edges that connect what links within one bucket: (member, smallest of its
+    part).  Of a large bucket, those that agree in one of four bit ranges are
+    compared, in strips of a bounded size."""
     n = len(fps)
     label = np.arange(n)
-    for at in range(0, n, 512):
-        near = np.bitwise_count(fps[at : at + 512, None] ^ fps[None, :]) <= radius
-        for i, row in enumerate(near):
-            met = np.unique(label[row])
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
+
+    def join(members: np.ndarray) -> None:
+        nonlocal label
+        for at in range(0, len(members), _COMPARED):
+            near = np.bitwise_count(fps[members[at : at + _COMPARED], None] ^ fps[None, members]) <= radius
+            for row in near:
+                met = np.unique(label[members[row]])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+
+    if n <= _COMPARED:
+        join(np.arange(n))
+    else:
+        for low, high in _PARTS:
+            part = (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+            order = np.argsort(part, kind="stable")
+            begins = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+            for group in np.split(order, begins[1:]):
+                if len(group) > 1:
+                    join(np.sort(group))
     return [(int(fps[i]), int(fps[r])) for i, r in enumerate(label) if r != i]
 
 
