@@ -50,6 +50,66 @@ def test_codes_and_grams():
     assert has_letter(raw("é")) and not has_letter(raw("١٢ 12 €"))
 
 
+def plain_grams(text):
+    """Buckets of all 1-, 2- and 3-grams, one by one."""
+    low = {**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in range(128) if not 97 <= c <= 122 and not 65 <= c <= 90}}
+    raw = list(text.encode())
+    out = []
+    for i, c in enumerate(raw):
+        if i and raw[i - 1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97:
+            out.append(c + 32)
+        else:
+            out.append(low.get(c, c))
+    found = []
+    for k in (1, 2, 3):
+        for i in range(len(out) - k + 1):
+            gram = out[i : i + k]
+            if any(c != 32 for c in gram):
+                value = int.from_bytes(bytes(gram), "big")
+                found.append(value if k == 1 else ((value + ((k - 1) << 24)) * 2654435761 & 0xFFFFFFFF) >> (32 - BUCKETS.bit_length() + 1))
+    return found
+
+
+def test_languages_against_brute_force(make_docs, texts):
+    learned, asked = texts[:100], texts[100:140]
+    model = learn_languages(make_docs(learned))
+    rates = {}
+    for lang in model.languages:
+        grams = [g for _, t, own, *_ in learned if own == lang for g in plain_grams(t)]
+        rates[lang] = ({g: grams.count(g) / len(grams) for g in set(grams)}, len(grams))
+    floor = 0.5 / np.mean([n for _, n in rates.values()])
+
+    def weight(gram, bit):
+        sides = []
+        for sign in (1, -1):
+            own = [rates[lang][0].get(gram, 0.0) for lang, code in zip(model.languages, model.codes, strict=True) if code[bit] == sign]
+            sides.append(np.log(sum(own) / len(own) + floor))
+        return sides[0] - sides[1]
+
+    got = {r.doc_id: r for r in identify_languages(make_docs(asked), model).collect()}
+    for i, t, *_ in asked:
+        grams = plain_grams(t)
+        margins = [np.mean([weight(g, b) for g in grams]) for b in range(model.codes.shape[1])]
+        losses = [sum(w * np.log1p(np.exp(-model.scale * m * c)) for m, c, w in zip(margins, code, model.bit_weights, strict=True)) for code in model.codes]
+        share = np.exp(-np.array(losses)) / np.exp(-np.array(losses)).sum()
+        assert got[i].lang_pred == model.languages[int(np.argmin(losses))]
+        assert got[i].score == pytest.approx(share.max()) and got[i].fit == pytest.approx(1 - min(losses) / (np.log(2) * sum(model.bit_weights)))
+
+
+def test_very_many_languages_are_all_learned(make_docs):
+    rng = random.Random(2)
+    rows = []
+    for k in range(700):  # each with words of its own
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)]
+        rows += [(3 * k + i, " ".join(rng.choice(own) for _ in range(30)), f"l{k:03d}", "s", 1) for i in range(2)]
+    model = learn_languages(make_docs(rows))
+    assert len(model.languages) == 700
+    got = {r.doc_id: r.lang_pred for r in identify_languages(make_docs(rows), model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang, *_ in rows]) > 0.9
+    with pytest.raises(ValueError):
+        identify_languages(make_docs(rows), model, keep=("doc_id", "score"))
+
+
 def brute_segments(scores):
     def best(low, high):
         if low >= high:
