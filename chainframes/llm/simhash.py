@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import mix64
 from .common import documents, dropping_shuffles, materialize
 from .components import connected_components
 from .shingles import similar_pairs, word_runs
@@ -28,11 +29,13 @@ from .shingles import similar_pairs, word_runs
 RADIUS = 3
 _BITS = 64
 _CUTS = (0, 21, 42, 64)
+_SEED = 42
 
 
 class Scheme(NamedTuple):
     """What a fingerprint is made of: runs of ``words`` words, each as often as
-    it occurs or (``distinct``) once, hashed with ``seed``."""
+    it occurs or (``distinct``) once.  Runs are hashed by XXH64 with seed 42;
+    another ``seed`` mixes that hash once more."""
 
     words: int = 3
     seed: int = 42
@@ -57,21 +60,23 @@ def simhash(text: str | None, scheme: Scheme = SHINGLES) -> int:
 
 def simhashes(text: str | None, schemes: tuple[Scheme, ...]) -> list[int]:
     """A fingerprint per scheme; runs of words are made once for each kind."""
-    kinds: dict[tuple[int, bool], list[bytes]] = {}
+    from xxhash import xxh64_intdigest
+
+    kinds: dict[tuple[int, bool], np.ndarray] = {}
     for s in schemes:
         if (s.words, s.distinct) not in kinds:
             runs = word_runs(text, s.words)
-            kinds[s.words, s.distinct] = list(set(runs)) if s.distinct else runs
+            runs = list(set(runs)) if s.distinct else runs
+            kinds[s.words, s.distinct] = np.fromiter(map(xxh64_intdigest, runs, repeat(_SEED)), dtype="<u8", count=len(runs))
     return [_simhash(kinds[s.words, s.distinct], s) for s in schemes]
 
 
-def _simhash(runs: list[bytes], scheme: Scheme) -> int:
-    from xxhash import xxh64_intdigest
-
-    if not runs:
+def _simhash(hashes: np.ndarray, scheme: Scheme) -> int:
+    n = len(hashes)
+    if not n:
         return 0
-    n = len(runs)
-    hashes = np.fromiter(map(xxh64_intdigest, runs, repeat(scheme.seed)), dtype="<u8", count=n)
+    if scheme.seed != _SEED:
+        hashes = mix64(hashes + np.uint64(scheme.seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     counts = np.zeros(_BITS, dtype=np.int64)
     for at in range(0, n, 4096):
         part = hashes[at : at + 4096]
