@@ -8,7 +8,7 @@ from xxhash import xxh64_intdigest
 
 from chainframes.llm import quality
 from chainframes.llm.chat import format_conversations, parse
-from chainframes.llm.fingerprint import containment, fingerprint_documents, likeness, merge, with_next
+from chainframes.llm.fingerprint import containment, fingerprint_documents, likeness, merge, op5_fingerprint, with_next
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,9 +36,8 @@ def test_round_trip(spark):
 # -- fingerprints -------------------------------------------------------------------
 
 
-def sketch(text, k=3, scale=8):
+def all_hashes(text, k=3):
     words = WORD.findall(text or "")
-    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
     word = [xxh64_intdigest(w.encode(), 42) for w in words]
 
     def chain(hashes):
@@ -48,10 +47,16 @@ def sketch(text, k=3, scale=8):
         return seed >> 16
 
     if not words:
-        return []
-    hashes = {chain(word[i : i + k]) for i in range(len(word) - k + 1)} if len(word) >= k else {chain(word)}
-    del signed
-    return sorted({h for h in hashes if h < (1 << 48) // scale} | {min(hashes)})
+        return set()
+    return {chain(word[i : i + k]) for i in range(len(word) - k + 1)} if len(word) >= k else {chain(word)}
+
+
+def reduced(hashes, scale=2):
+    return sorted({h for h in hashes if h < (1 << 48) // scale}) or sorted(hashes)[:1]
+
+
+def sketch(text):
+    return reduced(all_hashes(text))
 
 
 def test_sketches(make_docs, prose):
@@ -67,9 +72,10 @@ def test_estimates(spark):
 
 
 @pytest.mark.parametrize("ids", [[3], [5, 1], [7, 7, 7], list(range(0, 400, 3)) + [10**15, -(10**12)], [None, 4, None, 9]])
-def test_next_in_descending_order(make_docs, ids):
+@pytest.mark.parametrize("fan", [3, 256])
+def test_next_in_descending_order(make_docs, ids, fan):
     rows = [(i, f"t{n}") for n, i in enumerate(ids)]
-    got = with_next(make_docs(rows, extra=True), "doc_id", ["text"], rows_per_bucket=5, coarse=7).collect()
+    got = with_next(make_docs(rows, extra=True), "doc_id", ["text"], rows_per_bucket=5, fan=fan).collect()
     assert sorted(r.text for r in got) == sorted(t for _, t in rows)
     ids_of = {t: i for i, t in rows}
     order = sorted(ids, key=lambda i: (i is None, -(i or 0)))
@@ -78,6 +84,32 @@ def test_next_in_descending_order(make_docs, ids):
     assert len({r.next_text for r in got}) == len(rows)  # one circle
 
 
+def test_merged_sketches_are_sketches_of_the_union(make_docs, prose, spark):
+    texts = [t for _, t in prose if t][:40] + ["a", "b", "c d", "e f g", ""]
+    pairs = [(2 * i, a + "\n\n" + b, a, b) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))]
+    df = spark.createDataFrame([(a, b) for _, _, a, b in pairs], "a string, b string").withColumn("__words", F.lit(1)).withColumn("sketch", F.lit(2))
+    both = fingerprint_documents(fingerprint_documents(df, "a", "sa"), "b", "sb")
+    for r in both.select("*", merge(F.col("sa"), F.col("sb")).alias("m")).collect():
+        assert r.m == reduced(all_hashes(r.a) | all_hashes(r.b)) and (r["__words"], r.sketch) == (1, 2)
+
+
+def test_op5_against_brute_force(spark, make_docs, prose, tmp_path):
+    rows = [(i, t) for i, t in prose if i is not None and i != 407] + [(-5, "é" * 7), (10**12, "a b"), (10**12 + 1, None)]
+    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op5_fingerprint(spark, str(tmp_path)).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    like = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    text_of = lambda hashes: "".join(f"{h:012x}" for h in hashes)
+    assert len(got) == len(rows)
+    for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c = sketch(t), sketch(edited), sketch(after)
+        want = (len(t), hashlib.sha256(edited.encode()).hexdigest(), text_of(a), text_of(b), like(a, b), like(a, c))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == want
+
+
 def test_next_of_nothing(make_docs):
     assert with_next(make_docs([]), "doc_id", ["text"]).count() == 0
 
