@@ -4,8 +4,13 @@ Base rules look at one document.  The learned rule compares a document's
 transformed statistics with its own language and source: a minimum covariance
 determinant (MCD) estimate per group, and the Mahalanobis distance from it.
 
-The MCD is found by concentration steps from two deterministic starts.  Each
-step is one aggregation over the statistics (never over texts): the distance of
+There are three levels of groups: all documents, languages, and sources inside a
+language.  Every estimate adds PRIOR_ROWS rows' worth of the moments of the level
+above to its own sums, whatever the size of the group: a large group hardly
+notices, a tiny one is judged by its language.
+
+The MCD is found by concentration steps from two deterministic starts, until no
+determinant moves any more.  Each step is one aggregation over the statistics (never over texts): the distance of
 every document under the current estimate, the group's quantile of it, then
 mean and covariance of the documents within.  The covariance is factored by a
 written-out Cholesky decomposition of four columns, so every step is plain
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty, words
+from .common import SMALL_ROWS, documents, materialize, text_or_empty, words
 
 SYMBOLS = r"[^#*$%&|<>]"
 REPEAT_WINDOW = 8
@@ -33,12 +38,17 @@ CORE_SHARE = 0.75
 #: For four dimensions: the chi-squared quantile at CORE_SHARE is 5.385, and the
 #: covariance of the core is widened by 0.75 / P(chi2_6 <= 5.385) = 1.484.
 CONSISTENCY = 1.484
-STEPS = 4
+#: Concentration ends when no logarithm of a determinant moves by more than this.
+SETTLED = 0.05
+#: Steps after which it ends in any case.
+MAX_STEPS = 12
+#: The key of the group of all documents.
+ALL = "*"
+#: Rows' worth of the level above that each estimate takes in.
+PRIOR_ROWS = 30
 #: Reject beyond this squared distance.  Statistics of texts have heavier tails
 #: than a normal law, whose quantile at 1 - 1e-9 is 48.
 CUT = 64.0
-#: Groups with fewer rows are pooled by language, then altogether.
-MIN_GROUP = 60
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -134,20 +144,20 @@ def _squared_distance(mean: str, chol: str) -> Column:
 def _with_estimate(sums: DataFrame, scale: float) -> DataFrame:
     """From sums over a core (n, s<i>, p<i><j>): mean m<i>, Cholesky factor
     c<i><j> of the widened and floored covariance, and its log determinant."""
-    d = len(FEATURES)
-    out = sums
-    for i in range(d):
-        out = out.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
-    for i in range(d):
+    d = range(len(FEATURES))
+    out = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in d})
+    covariance = {}
+    for i in d:
         for j in range(i + 1):
             cov = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * F.lit(scale)
-            if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) + F.lit(FLOORS[i] ** 2)
-            for k in range(j):
-                cov = cov - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
-            out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"c{j}{j}"))
-    logdet = sum((F.log(F.col(f"c{i}{i}")) for i in range(1, d)), F.log(F.col("c00")))
-    return out.withColumn("logdet", logdet)
+            covariance[f"c{i}{j}"] = F.greatest(cov, F.lit(0.0)) + F.lit(FLOORS[i] ** 2) if i == j else cov
+    out = out.withColumns(covariance)
+    for j in d:  # column by column, in place
+        rest = {i: sum((-F.col(f"c{i}{k}") * F.col(f"c{j}{k}") for k in range(j)), F.col(f"c{i}{j}")) for i in d if i >= j}
+        out = out.withColumn(f"c{j}{j}", F.sqrt(F.greatest(rest[j], F.lit(1e-12))))
+        if j + 1 < len(FEATURES):
+            out = out.withColumns({f"c{i}{j}": rest[i] / F.col(f"c{j}{j}") for i in d if i > j})
+    return out.withColumn("logdet", sum((F.log(F.col(f"c{i}{i}")) for i in range(1, len(FEATURES))), F.log(F.col("c00"))))
 
 
 ESTIMATE = [f"m{i}" for i in range(len(FEATURES))] + [f"c{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
@@ -162,29 +172,76 @@ def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def mcd_estimates(rows: DataFrame, key: str = "group_key") -> DataFrame:
-    """One robust estimate per group: ``key`` and the ESTIMATE columns.
-
-    ``rows`` has FEATURES and a non-null ``key``.  Starts: coordinatewise median
-    and median absolute deviation; classical mean and covariance.  After the
-    concentration steps the start with the smaller determinant wins.  Quantiles
-    are ``percentile_approx`` with relative rank error 1/2000, so a core may
-    miss ``CORE_SHARE`` by that much."""
-    d = range(len(FEATURES))
-    # Tables of one row per group are written out, so that Spark knows their size
-    # and sends small ones to the rows instead of dealing the rows by group.
+SUMS = ["n"] + [f"s{i}" for i in range(len(FEATURES))] + [f"p{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def _with_ancestors(table: DataFrame, groups: DataFrame, on: list[str], values: list[str], small: bool) -> DataFrame:
+    """Each row of ``table`` with the ``values`` of its language (``l_``) and of
+    all documents (``g_``) beside it; of the levels that it has."""
+    hint = F.broadcast if small else (lambda df: df)
+    placed = table.join(hint(groups), "group_key")
+    rest = [c for c in on if c != "group_key"]
+    of_language = table.select(F.col("group_key").alias("parent"), *rest, *[F.col(c).alias(f"l_{c}") for c in values])
+    of_all = table.where(F.col("group_key") == ALL).select(F.lit(True).alias("any"), *rest, *[F.col(c).alias(f"g_{c}") for c in values])
+    placed = placed.join(hint(of_language), ["parent", *rest], "left")
+    return placed.withColumn("any", F.lit(True)).join(F.broadcast(of_all), ["any", *rest])
+
+
+def _leaning(value: str, count: str) -> Column:
+    """A value that leans on the level above by PRIOR_ROWS rows' weight, which
+    itself leans on the one above it."""
+    m = F.lit(float(PRIOR_ROWS))
+    language = (F.col(f"l_{count}") * F.col(f"l_{value}") + m * F.col(f"g_{value}")) / (F.col(f"l_{count}") + m)
+    upper = F.when(F.col("level") == 2, language).otherwise(F.col(f"g_{value}"))
+    own = (F.col(count) * F.col(value) + m * upper) / (F.col(count) + m)
+    return F.when(F.col("level") == 0, F.col(value)).otherwise(own)
+
+
+def _with_prior(sums: DataFrame, groups: DataFrame, starts: tuple[int, ...], small: bool) -> DataFrame:
+    """Adds PRIOR_ROWS rows' worth of the moments of the level above to the sums
+    of each group and start.  A group without a row in its core has the moments
+    of the level above."""
+    every = groups.select("group_key", F.explode(F.array(*[F.lit(s) for s in starts])).alias("start"))
+    filled = every.join(F.broadcast(sums) if small else sums, ["group_key", "start"], "left").na.fill(0, SUMS)
+    rows = _with_ancestors(filled, groups, ["group_key", "start"], SUMS, small)
+    m = F.lit(float(PRIOR_ROWS))
+
+    def with_prior(c: str) -> Column:
+        of_all = F.col(f"g_{c}") / F.col("g_n")
+        language = (F.col(f"l_{c}") + m * of_all) / (F.col("l_n") + m)
+        upper = F.when(F.col("level") == 2, language).otherwise(of_all)
+        return F.when(F.col("level") == 0, F.col(c).cast("double")).otherwise(F.col(c) + m * upper)
+
+    return rows.select("group_key", "start", *[with_prior(c).alias(c) for c in SUMS])
+
+
+def mcd_estimates(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
+    """One robust estimate per group: ``group_key`` and the ESTIMATE columns.
+
+    ``rows`` has FEATURES and ``group_key``, once for each level; ``groups`` has
+    ``group_key``, ``level`` (0, 1, 2) and ``parent``; ``small`` tells that it is
+    counted to be small, and tables of its size are sent to the rows instead of
+    dealing the rows by group.  Starts: coordinatewise median and median absolute
+    deviation; classical mean and covariance.  After the concentration steps the
+    start with the smaller determinant wins.  Quantiles are ``percentile_approx``
+    with relative rank error 1/2000, so a core may miss ``CORE_SHARE`` by that
+    much."""
+    hint = F.broadcast if small else (lambda df: df)
+    key, d = "group_key", range(len(FEATURES))
     middle = materialize(rows.groupBy(key).agg(*[F.percentile_approx(FEATURES[i], 0.5, 2000).alias(f"m{i}") for i in d]))
     spread = (
-        rows.join(middle, key)
+        rows.join(hint(middle), key)
         .groupBy(key)
         .agg(
             *[F.first(f"m{i}").alias(f"m{i}") for i in d],
             *[F.percentile_approx(F.abs(F.col(FEATURES[i]) - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i in d],
         )
     )
+    nothing = F.lit(None).cast("double")
     median_start = spread.select(
         key,
         F.lit(0).alias("start"),
+        nothing.alias("logdet"),
         *[f"m{i}" for i in d],
         *[
             (F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}")
@@ -192,13 +249,20 @@ def mcd_estimates(rows: DataFrame, key: str = "group_key") -> DataFrame:
             for j in range(i + 1)
         ],
     )
-    mean_start = _with_estimate(_sums(rows, [key]), 1.0).select(key, F.lit(1).alias("start"), *ESTIMATE)
+    classical = materialize(_sums(rows, [key]).withColumn("start", F.lit(1)))
+    mean_start = _with_estimate(_with_prior(classical, groups, (1,), small), 1.0).select(key, "start", nothing.alias("logdet"), *ESTIMATE)
     current = materialize(median_start.unionByName(mean_start))
-    for _ in range(STEPS):
-        measured = rows.join(current, key).withColumn("d2", _squared_distance("m", "c")).select(key, "start", "d2", *FEATURES)
-        edge = materialize(measured.groupBy(key, "start").agg(F.percentile_approx("d2", CORE_SHARE, 2000).alias("edge")))
-        core = measured.join(edge, [key, "start"]).where("d2 <= edge")
-        current = materialize(_with_estimate(_sums(core, [key, "start"]), CONSISTENCY).select(key, "start", "logdet", *ESTIMATE))
+    for _ in range(MAX_STEPS):
+        measured = rows.join(hint(current), key).withColumn("d2", _squared_distance("m", "c")).select(key, "start", "d2", *FEATURES)
+        edges = materialize(measured.groupBy(key, "start").agg(F.percentile_approx("d2", CORE_SHARE, 2000).alias("edge"), F.count("*").alias("rows")))
+        # The edge leans like the moments, so that a lone outlier is no core of its own.
+        edge = _with_ancestors(edges, groups, [key, "start"], ["edge", "rows"], small).select(key, "start", _leaning("edge", "rows").alias("edge"))
+        core = materialize(_sums(measured.join(hint(edge), [key, "start"]).where("d2 <= edge"), [key, "start"]))
+        before = current.select(key, "start", F.col("logdet").alias("before"))
+        fitted = _with_estimate(_with_prior(core, groups, (0, 1), small), CONSISTENCY)
+        current = materialize(fitted.join(hint(before), [key, "start"]).select(key, "start", "logdet", "before", *ESTIMATE))
+        if current.where(F.coalesce(F.abs(F.col("logdet") - F.col("before")) > SETTLED, F.lit(True))).isEmpty():
+            break
     best = F.min_by(F.struct(*ESTIMATE), F.struct("logdet", "start")).alias("best")
     return current.groupBy(key).agg(best).select(key, "best.*")
 
@@ -208,9 +272,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The estimates rest on documents that pass the base rules; those that fail
     are never kept, whatever their distance (null).  Null languages and sources
-    are groups of their own.  Groups under MIN_GROUP rows are pooled by
-    language, and languages that are still smaller altogether.  Repeated rows
-    are judged alike.  An empty table gives no rows."""
+    are groups of their own.  Small groups lean on their language and all
+    documents (see above).  Repeated rows are judged alike.  An empty table
+    gives no rows."""
     base = base_statistics(
         docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")),
         "id",
@@ -218,27 +282,31 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ("lang", "source"),
     )
     stats = materialize(base.withColumn("base_failed", base_failed()))
-    lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
-    fine = F.concat(lang, F.lit("\n"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
-    passed = stats.where(~F.col("base_failed")).withColumn("fine", fine)
-    small = passed.groupBy(lang.alias("l"), "fine").count()
-    coarse = small.where(F.col("count") < MIN_GROUP).groupBy("l").agg(F.sum("count").alias("pooled"))
-    keys = materialize(
-        small.join(coarse, "l", "left").select(
-            "fine",
-            F.when(F.col("count") >= MIN_GROUP, F.col("fine"))
-            .when(F.col("pooled") >= MIN_GROUP, F.col("l"))
-            .otherwise(F.lit("*"))
-            .alias("group_key"),
+    lang = F.concat(F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")))
+    fine = F.concat(F.lit("s"), lang, F.lit("\n"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
+    everything = F.lit(ALL)
+    passed = stats.where(~F.col("base_failed"))
+    levels = F.explode(
+        F.array(
+            F.struct(F.lit(0).alias("level"), everything.alias("key"), everything.alias("parent")),
+            F.struct(F.lit(1).alias("level"), lang.alias("key"), everything.alias("parent")),
+            F.struct(F.lit(2).alias("level"), fine.alias("key"), lang.alias("parent")),
         )
+    ).alias("g")
+    placed = passed.select(log_length().alias("length"), levels).select(F.col("g.key").alias("group_key"), "g.level", "g.parent", "length")
+    medians = materialize(
+        placed.groupBy("group_key", "level", "parent").agg(F.percentile_approx("length", 0.5, 2000).alias("center"), F.count("*").alias("rows"))
     )
-    keyed = passed.join(keys, "fine")
-    centers = keyed.groupBy("group_key").agg(F.percentile_approx(log_length(), 0.5, 2000).alias("center"))
-    keys = materialize(keys.join(centers, "group_key"))
-    rows = materialize(transformed(passed.join(keys, "fine")).select("group_key", *FEATURES))
-    estimates = materialize(mcd_estimates(rows))
-    groups = keys.join(estimates, "group_key")
-    wide = transformed(stats.withColumn("fine", F.when(~F.col("base_failed"), fine)).join(groups, "fine", "left"))
+    groups = medians.select("group_key", "level", "parent")
+    small = groups.count() <= SMALL_ROWS
+    hint = F.broadcast if small else (lambda df: df)
+    # The median word length of a group leans on the level above, too.
+    leaning = _with_ancestors(medians.select("group_key", "center", "rows"), groups, ["group_key"], ["center", "rows"], small)
+    centers = materialize(leaning.select("group_key", _leaning("center", "rows").alias("center")))
+    of_rows = passed.select("word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", F.explode(F.array(everything, lang, fine)).alias("group_key"))
+    rows = materialize(transformed(of_rows.join(hint(centers), "group_key")).select("group_key", *FEATURES))
+    estimates = materialize(centers.join(mcd_estimates(rows, groups, small), "group_key"))
+    wide = transformed(stats.withColumn("group_key", F.when(~F.col("base_failed"), fine)).join(hint(estimates), "group_key", "left"))
     distance = F.when(~F.col("base_failed"), _squared_distance("m", "c"))
     return wide.withColumn("distance2", distance).select(
         F.col("id").alias(id_col),

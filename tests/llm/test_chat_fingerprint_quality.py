@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -148,5 +149,90 @@ def test_outliers_go_and_clean_texts_stay(make_docs):
     assert [r.kept for r in quality.quality_rules(make_docs([(1, "a b " * 3), (2, None)])).collect()] == [False, False]
 
 
-def test_digest_of_texts(make_docs):
-    assert hashlib.sha256(b"").hexdigest() == make_docs([(1, "")]).select(F.sha2("text", 256)).first()[0]
+def brute_distances(rows):
+    """The estimates of all three levels with NumPy: exact quantiles, full matrices."""
+    q = lambda x, p: np.sort(x)[int(np.ceil(p * len(x))) - 1]
+    stats = [(lang, source, *statistics(t)) for _, t, lang, source, _ in rows]
+    ok = [s[2] >= 20 and 100 * s[6] <= 30 * s[2] for s in stats]
+    keys = {}
+    for k, (s, good) in enumerate(zip(stats, ok, strict=True)):
+        if good:
+            for key in ((), (s[0],), (s[0], s[1])):
+                keys.setdefault(key, []).append(k)
+    length = np.array([np.log(max(s[3], 1) / max(s[2], 1)) for s in stats])
+    center = {}
+    for key in sorted(keys, key=len):
+        own, n = q(length[keys[key]], 0.5), len(keys[key])
+        center[key] = own if not key else (n * own + quality.PRIOR_ROWS * center[key[:-1]]) / (n + quality.PRIOR_ROWS)
+
+    def features(k, key):
+        n = max(stats[k][2], 1)
+        return [(length[k] - center[key]) * min(n, 400) ** 0.5, (stats[k][4] / n) ** 0.5, (stats[k][5] / n**0.5) ** 0.5, (stats[k][6] / n) ** 0.5]
+
+    x = {key: np.array([features(k, key) for k in members]) for key, members in keys.items()}
+    floors = np.diag(np.array(quality.FLOORS) ** 2)
+
+    def estimates(cores, scale):
+        out, moments = {}, {}
+        for key in sorted(cores, key=len):
+            n, s, p = len(cores[key]), cores[key].sum(axis=0), cores[key].T @ cores[key]
+            if key:
+                n0, s0, p0 = moments[key[:-1]]
+                n, s, p = n + quality.PRIOR_ROWS, s + s0 / n0 * quality.PRIOR_ROWS, p + p0 / n0 * quality.PRIOR_ROWS
+            moments[key] = n, s, p
+            out[key] = s / n, (p / n - np.outer(s / n, s / n)) * scale + floors
+        return out
+
+    def distance(values, estimate):
+        away = values - estimate[0]
+        return (away * np.linalg.solve(estimate[1], away.T).T).sum(axis=1)
+
+    starts = [{}, estimates(x, 1.0)]
+    for key, values in x.items():
+        m = np.array([q(c, 0.5) for c in values.T])
+        mad = np.array([q(np.abs(c - mm), 0.5) for c, mm in zip(values.T, m, strict=True)])
+        starts[0][key] = m, np.diag((1.4826 * mad) ** 2) + floors
+    final, before = [], None
+    for _ in range(quality.MAX_STEPS):
+        final = []
+        for at, current in enumerate(starts):
+            cores, edge = {}, {}
+            for key in sorted(x, key=len):
+                d, n = distance(x[key], current[key]), len(x[key])
+                edge[key] = q(d, quality.CORE_SHARE)
+                if key:
+                    edge[key] = (n * edge[key] + quality.PRIOR_ROWS * edge[key[:-1]]) / (n + quality.PRIOR_ROWS)
+                cores[key] = x[key][d <= edge[key]]
+            starts[at] = estimates(cores, quality.CONSISTENCY)
+            final += [np.log(np.linalg.det(starts[at][key][1])) / 2 for key in x]
+        if before is not None and np.abs(np.array(final) - before).max() <= quality.SETTLED:
+            break
+        before = np.array(final)
+    out = {}
+    for key, members in keys.items():
+        if len(key) == 2:
+            best = min((np.linalg.det(s[key][1]), at) for at, s in enumerate(starts))[1]
+            out |= dict(zip(members, distance(x[key], starts[best][key]), strict=True))
+    return [out.get(k) for k in range(len(rows))]
+
+
+def test_distances_against_brute_force(make_docs):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for i in range(400):
+        words = [word() for _ in range(rng.randint(15, 120))]
+        for _ in range(rng.choice([0, 0, 1, 5])):
+            words[rng.randrange(len(words))] = rng.choice(["#", "50%", "a|b", "<x>"])
+        text = " ".join(words) + rng.choice(["", "\n" + " ".join(words[:9]) + "\nx\nx"])
+        rows.append((i, text, rng.choice(["en", "en", "de", None]), f"s{min(rng.randrange(60), 7)}", 1))
+    rows += [(900, " ".join(word() + "%%%" for _ in range(80)), "en", "alone", 1), (901, None, "en", "s1", 1), (902, "few words", "fr", None, 1)]
+    got = {r.doc_id: r for r in quality.quality_rules(make_docs(rows)).collect()}
+    for (i, *_), want in zip(rows, brute_distances(rows), strict=True):
+        assert got[i].distance2 == (None if want is None else pytest.approx(want, rel=1e-6, abs=1e-9))
+        assert got[i].kept == (want is not None and want <= quality.CUT)
+    assert not got[900].kept  # the only one of its source
+
+
