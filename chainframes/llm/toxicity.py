@@ -2,14 +2,17 @@
 
 Learning: features are lower-cased tokens and their prefixes.  Their log-odds
 between toxic and other documents are shrunk by a Dirichlet prior that follows
-the features' overall frequency, and features whose likelihood-ratio statistic
-is large enough get a positive score; every other token costs a fixed amount.
+the features' overall frequency.  A feature whose likelihood-ratio statistic is
+large enough counts, for or against: a token scores by its strongest feature for
+toxicity, else by its own log-odds against it; every token costs a small gap.
 
 Scoring: one linear pass over a whole text finds all maximal scoring segments.
 For a text of n tokens and a segment of score S, the number of segments that
-clean text would give by chance is E = K n exp(-lambda S); lambda and K come
-from clean learning documents.  A document's evidence is the sum of -log E over
-its segments of E < MAX_E; a logistic fit turns its logarithm into a probability.
+clean text would give by chance is E = K n exp(-lambda S).  The largest segment
+scores of clean texts follow exp(-K n exp(-lambda s)); lambda and K maximise that
+likelihood over clean learning documents that no feature was chosen by.  A
+document's evidence is the sum of -log E over its segments of E < MAX_E; a
+logistic fit turns its logarithm into a probability.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ TOKEN = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 #: At most about so many documents of either class are learned from.
 MAX_ROWS = 6000
-#: At most so many features are held, those of largest statistic.
-MAX_FEATURES = 4000
+#: One learning document in so many is kept from the choice of features, for the
+#: constants of the extreme values.
+APART = 4
 MIN_DOCUMENTS = 4
 MIN_STATISTIC = 4.2
 MIN_LOG_ODDS = 1.5
@@ -50,7 +54,8 @@ def token_features(token: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """At most MAX_FEATURES scores and four numbers."""
+    """Scores of features, as many as the bounded sample supports, and four
+    numbers."""
 
     scores: dict[str, float]
     lam: float = 1.0
@@ -60,7 +65,9 @@ class ToxicityModel:
 
     def token_score(self, token: str) -> float:
         get = self.scores.get
-        return max([get(f, 0.0) for f in token_features(token)])
+        own, *prefixes = token_features(token)
+        best = max([get(own, 0.0), *[get(f, 0.0) for f in prefixes]])
+        return best if best > 0 else get(own, 0.0)
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, list[float]]:
         """Sum of -log E over significant segments, and all E values."""
@@ -74,8 +81,8 @@ class ToxicityModel:
 
 def maximal_segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a sequence in which the tokens at
-    ``hits`` have positive scores and every other costs ``gap``, as (first
-    token, one after the last, score), in linear time: candidates are kept with
+    ``hits`` have scores and every other costs ``gap``, as (first token, one
+    after the last, score), in linear time: candidates are kept with
     their running sums left and right, and one that a later candidate extends
     is joined with it."""
     kept: list[tuple[int, int, float, float]] = []  # first, end, left sum, right sum
@@ -84,6 +91,8 @@ def maximal_segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[in
     for i, score in hits:
         left = total - gap * (i - at)
         total, at = left + score, i + 1
+        if score <= 0:
+            continue
         first, end, right = i, i + 1, total
         while True:
             j = len(kept) - 1
@@ -118,8 +127,8 @@ def _scan(model: ToxicityModel, texts: list[str]) -> Iterator[tuple[int, list[tu
     scores = {}
     for token in set().union(*tokens):
         score = model.token_score(token)
-        if score > 0:
-            scores[token] = score
+        if score:
+            scores[token] = score - GAP
     for found in tokens:
         hits = [(i, scores[t]) for i, t in enumerate(found) if t in scores]
         yield len(found), maximal_segments(hits, GAP)
@@ -162,20 +171,28 @@ def _scored(model: ToxicityModel, spans: bool):
     return run
 
 
-def _solve_lambda(rates: np.ndarray, scores: np.ndarray) -> float:
-    """The positive root of sum p exp(lam s) = 1 over clean text."""
-    rest = 1.0 - rates.sum()
+def fit_extreme_values(n: np.ndarray, largest: np.ndarray, unit: float) -> tuple[float, float]:
+    """Maximum-likelihood lambda and K of P(M <= s) = exp(-K n exp(-lambda s)) from
+    texts of ``n`` tokens and their largest segment scores (0: no segment, which
+    counts as M <= 0).  One text of mean length and of score ``unit`` is added, so
+    that both are finite where clean texts have no segment at all.
 
-    def excess(lam: float) -> float:
-        return float((rates * np.exp(lam * scores)).sum() + rest * math.exp(-lam * GAP) - 1.0)
+    For a given lambda, K is the number of texts with a segment over the sum of
+    n exp(-lambda s); lambda is where the likelihood along that curve is flat."""
+    n = np.r_[n, max(float(n.mean()), 1.0) if len(n) else 1.0].astype(float)
+    s = np.r_[largest, unit].astype(float)
+    some = s > 0
+    count, total = float(some.sum()), float(s[some].sum())
 
-    low, high = 0.0, 1.0
-    while excess(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    return max(high, 0.05)
+    def slope(lam: float) -> float:
+        w = n * np.exp(-lam * s)
+        return count / lam - total + count * float((w * s).sum() / w.sum())
+
+    low, high = 1e-3, 64.0
+    for _ in range(80):
+        mid = (low * high) ** 0.5
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    return low, count / float((n * np.exp(-low * s)).sum())
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -203,7 +220,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     an id with several labels counts as toxic if one says so.  Near copies are
     learned from once (texts with the same smallest shingle hash), as features
     would otherwise be counted by how often a text was copied.  Without labels
-    of both kinds every text scores the share of toxic labels (or 0)."""
+    of both kinds every text scores the share of toxic labels (or 0).  The same
+    rows give the same model, in whatever order they come."""
     marked = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
@@ -212,18 +230,19 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     limits = [min(1 << 30, int((1 << 30) * MAX_ROWS / max(1, sizes.get(t, 0)))) for t in (0, 1)]
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    chosen = marked.where(share < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])).limit(3 * MAX_ROWS)
+    chosen = marked.where(share < F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0]))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     sample = (
         rows.join(F.broadcast(chosen), "id")
         .withColumn("hashes", word_hashes(text_or_empty()))
         .withColumn("family", F.array_min(shingle_hashes(F.col("hashes"))))
-        .select("toxic", "text", "family")
-        .dropDuplicates(["toxic", "family"])
-        .select("toxic", "text")
+        .groupBy("toxic", "family")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        .select("toxic", "text", (F.pmod(F.xxhash64("family", F.lit(3)), F.lit(APART)) == 0).alias("apart"))
     )
     sample = materialize(sample)
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    counted_by = sample.where(~F.col("apart"))
+    n = {r["toxic"]: r["count"] for r in counted_by.groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     model = ToxicityModel({})
     if not n0 or not n1:
@@ -235,32 +254,31 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     part = lambda y, e: F.when(y > 0, y * F.log(y / e)).otherwise(F.lit(0.0))
     prior = (y0 + y1 + 1) * (PRIOR / (n0 + n1))
     odds = F.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - F.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
-    counted = sample.mapInArrow(_feature_counts, "feature string, clean long, toxic long")
+    counted = counted_by.select("toxic", "text").mapInArrow(_feature_counts, "feature string, clean long, toxic long")
     features = (
         counted.groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where((F.col("toxic") >= MIN_DOCUMENTS) & (y1 > e1))
-        .withColumn("statistic", F.sqrt(2 * (part(y1, e1) + part(y0, e0))))
+        .where(F.greatest("clean", "toxic") >= MIN_DOCUMENTS)
+        .withColumn("statistic", F.sqrt(F.greatest(2 * (part(y1, e1) + part(y0, e0)), F.lit(0.0))))
         .withColumn("odds", odds)
-        .where((F.col("statistic") >= MIN_STATISTIC) & (F.col("odds") >= MIN_LOG_ODDS))
-        .orderBy(F.desc("statistic"), "feature")
-        .limit(MAX_FEATURES)
+        .where((F.col("statistic") >= MIN_STATISTIC) & (F.abs(F.col("odds")) >= MIN_LOG_ODDS))
+        .where((F.col("odds") > 0) & (F.col("toxic") >= MIN_DOCUMENTS) | (F.col("odds") < 0) & F.col("feature").startswith("="))
+        .select("feature", "odds")
         .collect()
     )
     model.scores = {r["feature"]: float(r["odds"]) for r in features}
     seen = (
-        sample.select("text", "toxic")
-        .mapInArrow(_scored(model, False), "toxic int, n_tokens long, evidence double, segment_scores array<double>")
-        .select("toxic", "n_tokens", "segment_scores")
+        sample.select("text", "toxic", "apart")
+        .mapInArrow(_scored(model, False), "toxic int, apart boolean, n_tokens long, evidence double, segment_scores array<double>")
+        .select("toxic", "apart", "n_tokens", "segment_scores")
         .collect()
     )
-    clean = [r for r in seen if not r["toxic"]]
-    tokens = sum(r["n_tokens"] for r in clean) + 1
-    values = np.array(sorted(model.scores.values())) if model.scores else np.array([1.0])
-    found = [s for r in clean for s in r["segment_scores"]]
-    rates = np.full(len(values), (len(found) + 0.5) / tokens / len(values))
-    model.lam = _solve_lambda(rates, values)
-    model.k = (len(found) + 0.5) / (tokens * math.exp(-model.lam * float(np.median(values))))
+    clean = [r for r in seen if r["apart"] and not r["toxic"]]
+    unit = float(np.median([v for v in model.scores.values() if v > 0] or [1.0]))
+    model.lam, model.k = fit_extreme_values(
+        np.array([r["n_tokens"] for r in clean], dtype=float), np.array([max(r["segment_scores"], default=0.0) for r in clean]), unit
+    )
+    seen = sorted(seen, key=lambda r: (r["toxic"], r["n_tokens"], r["segment_scores"]))
     x = np.array([model.evidence([(0, 0, s) for s in r["segment_scores"]], r["n_tokens"])[0] for r in seen])
     model.slope, model.intercept = _fit_logistic(np.log1p(x), np.array([r["toxic"] for r in seen], dtype=float))
     return model

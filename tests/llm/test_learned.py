@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from chainframes.llm.language import BUCKETS, UNKNOWN, code_matrix, gram_counts, has_letter, identify_languages, learn_languages
-from chainframes.llm.toxicity import ToxicityModel, _solve_lambda, learn_toxicity, maximal_segments, score_toxicity
+from chainframes.llm.toxicity import GAP, MAX_E, TOKEN, ToxicityModel, fit_extreme_values, learn_toxicity, maximal_segments, score_toxicity, token_features
 
 SYLLABLES = {"aa": ["the", "ing", "and", "wh"], "bb": ["ung", "sch", "ein", "ü"], "cc": ["eau", "que", "é", "oi"], "dd": ["ción", "ado", "ll", "ñ"]}
 
@@ -132,7 +132,7 @@ def test_segments_against_brute_force():
     rng = random.Random(9)
     for _ in range(300):
         n = rng.randint(0, 24)
-        hits = [(i, rng.uniform(0.1, 3)) for i in range(n) if rng.random() < 0.3]
+        hits = [(i, rng.choice([1, 1, -1]) * rng.uniform(0.1, 3)) for i in range(n) if rng.random() < 0.4]
         scores = [-0.4321] * n
         for i, s in hits:
             scores[i] = s
@@ -146,9 +146,15 @@ def test_very_strong_evidence():
     assert value == pytest.approx(1800.2 - 2 * np.log(0.01)) and e_values[0] == 0.0 and model.probability(value) > 0.99
 
 
-def test_lambda_root():
-    lam = _solve_lambda(np.array([0.01]), np.array([2.0]))
-    assert 0.01 * np.exp(2 * lam) + 0.99 * np.exp(-0.05 * lam) == pytest.approx(1, abs=1e-6)
+def test_constants_of_extreme_values():
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 2000, 20_000)
+    largest = np.maximum((np.log(n * 1e-3) - np.log(-np.log(rng.random(len(n))))) / 0.7, 0.0)
+    lam, k = fit_extreme_values(n, largest, 2.0)
+    assert lam == pytest.approx(0.7, rel=0.05) and k == pytest.approx(1e-3, rel=0.1)
+    lam, k = fit_extreme_values(np.array([100.0] * 50), np.zeros(50), 2.0)
+    assert 0 < lam < 64 and 0 < k < 1
+    assert all(np.isfinite(fit_extreme_values(np.zeros(0), np.zeros(0), 1.0)))
 
 
 @pytest.fixture(scope="module")
@@ -180,6 +186,24 @@ def test_toxicity_on_held_out_rows(spark, make_docs, labelled):
     assert score_toxicity(make_docs([]), model).count() == 0
 
 
+def test_scores_against_brute_force(spark, make_docs, labelled):
+    rows, marks = labelled
+    labels = spark.createDataFrame(marks[:600], "doc_id long, toxic int")
+    model = learn_toxicity(make_docs(rows), labels)
+    assert learn_toxicity(make_docs(rows[::-1]), labels).probability(5.0) == pytest.approx(model.probability(5.0), rel=1e-9)
+    got = {r.doc_id: r for r in score_toxicity(make_docs(rows[600:660]), model).collect()}
+    for i, text, *_ in rows[600:660]:
+        tokens = TOKEN.findall(text.lower())
+        own = []
+        for t in tokens:
+            found = [model.scores[f] for f in token_features(t) if f in model.scores]
+            own.append((max(found) if found and max(found) > 0 else model.scores.get("=" + t, 0.0)) - GAP)
+        logs = [np.log(model.k * len(tokens)) - model.lam * s for *_, s in brute_segments(own)]
+        evidence = -sum(x for x in logs if x < np.log(MAX_E))
+        assert got[i].evidence == pytest.approx(evidence) and got[i].score == pytest.approx(model.probability(evidence))
+        assert len(got[i].segments) == sum(x < np.log(MAX_E) for x in logs)
+
+
 def test_toxicity_without_labels(spark, make_docs, labelled):
     rows, _ = labelled
     none = spark.createDataFrame([], "doc_id long, toxic int")
