@@ -228,18 +228,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
     """Edges ``(u, v)`` between rows' ``node`` whose components hold together all
-    texts that one of the fingerprints ``fp0 ..`` links."""
-    edges = None
+    texts that one of the fingerprints ``fp0 ..`` links.
+
+    Texts of one fingerprint are tied to their least node.  One scheme's variants
+    are shuffled after the other, so that the disk never holds those of all."""
+    made = [F.struct(F.lit(i).alias("scheme"), F.col(f"fp{i}").alias("fp")) for i in range(len(schemes))]
+    each = texts.select("node", F.explode(F.array(*made)).alias("f")).select("node", "f.*")
+    lows = materialize(each.groupBy("scheme", "fp").agg(F.min("node").alias("low"), F.count("*").alias("n")))
+    met = None
     for i in range(len(schemes)):
-        lows = materialize(texts.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("node").alias("low"), F.count("*").alias("n")))
-        alike = texts.join(lows.where("n > 1"), texts[f"fp{i}"] == lows["fp"]).select(F.col("node").alias("u"), F.col("low").alias("v"))
-        met = links(lows.select("fp"))
-        for c in ("u", "v"):
-            met = met.join(lows.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), c)
-        with dropping_shuffles(texts.sparkSession):  # else the disk holds all schemes' variants at once
-            found = materialize(met.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).unionByName(alike.where("u <> v")))
-        edges = found if edges is None else edges.unionByName(found)
-    return edges
+        with dropping_shuffles(texts.sparkSession):
+            one = materialize(links(lows.where(F.col("scheme") == i).select("fp")).withColumn("scheme", F.lit(i)))
+        met = one if met is None else met.unionByName(one)
+    for c in ("u", "v"):
+        met = met.join(lows.select("scheme", F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), ["scheme", c])
+    alike = each.join(lows.where("n > 1"), ["scheme", "fp"]).where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    return met.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).unionByName(alike)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = WORD_SETS) -> DataFrame:
