@@ -41,7 +41,7 @@ CONSISTENCY = 1.484
 #: Concentration ends when no logarithm of a determinant moves by more than this.
 SETTLED = 0.05
 #: Steps after which it ends in any case.
-MAX_STEPS = 12
+MAX_STEPS = 8
 #: The key of the group of all documents.
 ALL = "*"
 #: Rows' worth of the level above that each estimate takes in.
