@@ -182,9 +182,9 @@ def _with_ancestors(table: DataFrame, groups: DataFrame, on: list[str], values:
     placed = table.join(hint(groups), "group_key")
     rest = [c for c in on if c != "group_key"]
     of_language = table.select(F.col("group_key").alias("parent"), *rest, *[F.col(c).alias(f"l_{c}") for c in values])
-    of_all = table.where(F.col("group_key") == ALL).select(F.lit(True).alias("any"), *rest, *[F.col(c).alias(f"g_{c}") for c in values])
+    of_all = table.where(F.col("group_key") == ALL).select(F.col("group_key").alias("root"), *rest, *[F.col(c).alias(f"g_{c}") for c in values])
     placed = placed.join(hint(of_language), ["parent", *rest], "left")
-    return placed.withColumn("any", F.lit(True)).join(F.broadcast(of_all), ["any", *rest])
+    return placed.withColumn("root", F.when(F.col("level") >= 0, ALL)).join(F.broadcast(of_all), ["root", *rest])
 
 
 def _leaning(value: str, count: str) -> Column:
