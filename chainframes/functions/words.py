@@ -95,8 +95,9 @@ def int_text(word: Column) -> Column:
     """A signed 256-bit word as exact decimal text."""
     negative = F.left(word, F.lit(1)) >= "8"
     flipped = F.translate(word, "0123456789abcdef", "fedcba9876543210")  # -x - 1
-    magnitude = _plus_one(flipped)
-    return F.when(negative, F.concat(F.lit("-"), uint_text(magnitude))).otherwise(uint_text(word))
+    # the magnitude is read through a one-element array so that it is made once
+    magnitude = F.array(F.when(negative, _plus_one(flipped)).otherwise(word))
+    return F.transform(magnitude, lambda w: F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), uint_text(w)))[0]
 
 
 def _plus_one(word: Column) -> Column:
@@ -117,6 +118,15 @@ def sortable(word: Column, signed: bool = False) -> Column:
     return F.concat(F.translate(F.left(word, F.lit(1)), "0123456789abcdef", "89abcdef01234567"), F.substring(word, 2, WORD - 1))
 
 
+def decimal_key(text: Column) -> Column:
+    """Exact decimal text of up to 78 digits as text that compares like the
+    number: a digit for the sign, then the digits (of a negative number their
+    complements) at full width."""
+    width = 78
+    negative = F.concat(F.lit("0"), F.translate(F.lpad(F.substring(text, F.lit(2), F.lit(width)), width, "0"), "0123456789", "9876543210"))
+    return F.when(F.left(text, F.lit(1)) == "-", negative).otherwise(F.concat(F.lit("1"), F.lpad(text, width, "0")))
+
+
 def decimal38(text: Column) -> Column:
     """Decimal text as decimal(38,0), or null where it does not fit."""
     return text.try_cast("decimal(38,0)")
@@ -127,45 +137,11 @@ def offset_of(word: Column) -> Column:
     return F.when(F.left(word, F.lit(56)) == "0" * 56, F.conv(tail(word, 8), 16, 10).cast("bigint")).otherwise(F.lit(None).cast("bigint"))
 
 
-def dynamic_ok(data: Column, head: int) -> Column:
-    """Whether the tail that head word ``head`` points at lies inside ``data``."""
-    start = offset_of(word_at(data, head)) * 2
-    size = offset_of(F.substring(data, start.cast("int") + 1, F.lit(WORD))) * 2
-    inside = start + WORD <= F.length(data)
-    return F.coalesce(inside & (start + WORD + size <= F.length(data)), F.lit(False))
-
-
-def dynamic_hex(data: Column, head: int) -> Column:
-    """Contents of a dynamic bytes/string argument as hex; check
-    ``dynamic_ok`` before use."""
-    start = (offset_of(word_at(data, head)) * 2).cast("int")
-    size = (offset_of(F.substring(data, start + 1, F.lit(WORD))) * 2).cast("int")
-    return F.substring(data, start + 1 + WORD, size)
-
-
-def dynamic_bytes(data: Column, head: int) -> Column:
-    return F.unhex(dynamic_hex(data, head))
-
-
-def dynamic_string(data: Column, head: int) -> Column:
-    return F.decode(F.unhex(dynamic_hex(data, head)), "UTF-8")
-
-
 def fixed_bytes(word: Column, n: int) -> Column:
     """The leading ``n`` bytes of a word."""
     return F.unhex(F.left(word, F.lit(2 * n)))
 
 
-def dynamic_words(data: Column, head: int) -> Column:
-    """Elements of a dynamic array of one-word items, as an array of words."""
-    start = (offset_of(word_at(data, head)) * 2).cast("int")
-    n = offset_of(F.substring(data, start + 1, F.lit(WORD))).cast("int")
-    base = start + 1 + WORD
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(data, base + i * WORD, F.lit(WORD)))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 def hex_text(value: Column) -> Column:
     """Binary as ``0x`` and lower-case hex."""
     return F.concat(F.lit("0x"), F.lower(F.hex(value)))
@@ -177,4 +153,4 @@ def encode_word(value: Column) -> Column:
 
 
 def pascal_case(name: Column) -> Column:
-    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 10_000))), "")
+    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), "")

@@ -24,11 +24,11 @@ def context(blocks: DataFrame, txs: DataFrame) -> DataFrame:
         "tx_from",
         "tx_to",
         F.col("value").cast("string").alias("tx_value"),
-        effective_gas_price().cast("string").alias("tx_gas_price"),
-        "gas_used",
-        "nonce",
+        effective_gas_price().cast("bigint").alias("tx_gas_price"),
+        F.col("gas_used").alias("tx_gas_used"),
+        F.col("nonce").alias("tx_nonce"),
         "cumulative_gas_used",
-        F.col("success").alias("status"),
+        F.col("success").alias("tx_status"),
     )
 
 

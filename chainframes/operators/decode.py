@@ -7,13 +7,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainframes.functions import words as W
-from chainframes.plans.specs import Param
+from chainframes.plans.specs import ARRAY, Param, column_metadata, spark_type, tuple_types
+
+
+def array_of(solidity: str) -> tuple[str, int | None] | None:
+    """Element type and fixed length of an array type."""
+    m = ARRAY.fullmatch(solidity)
+    return (m[1], int(m[2]) if m[2] else None) if m else None
 
 
 def is_dynamic(solidity: str) -> bool:
-    return solidity in ("string", "bytes") or solidity.endswith("[]")
+    """Whether a value stands behind an offset."""
+    if solidity in ("string", "bytes"):
+        return True
+    if found := array_of(solidity):
+        return found[1] is None or is_dynamic(found[0])
+    return solidity.startswith("(") and any(map(is_dynamic, tuple_types(solidity)))
+
+
+def head_words(solidity: str) -> int:
+    """Words that a value takes in the head of what holds it."""
+    if is_dynamic(solidity):
+        return 1
+    if found := array_of(solidity):
+        return found[1] * head_words(found[0])
+    return sum(map(head_words, tuple_types(solidity))) if solidity.startswith("(") else 1
 
 
 def word_value(solidity: str, word: Column) -> Column:
@@ -32,44 +53,113 @@ def word_value(solidity: str, word: Column) -> Column:
     raise ValueError(f"{solidity} is not a one-word type")
 
 
-def body_value(solidity: str, data: Column, head: int) -> Column:
-    if solidity == "string":
-        return W.dynamic_string(data, head)
-    if solidity == "bytes":
-        return W.dynamic_bytes(data, head)
-    if solidity.endswith("[]"):
-        return F.transform(W.dynamic_words(data, head), lambda w: word_value(solidity[:-2], w))
-    return word_value(solidity, W.word_at(data, head))
+def _word(data: Column, at: Column) -> Column:
+    return F.substring(data, at.cast("int") + 1, F.lit(W.WORD))
+
+
+def _place(solidity: str, data: Column, block: Column, head: Column) -> Column:
+    """Where a value is encoded, in hex digits: at its head, or at the offset that
+    stands there, counted from the block that holds it."""
+    return block + W.offset_of(_word(data, block + head)) * 2 if is_dynamic(solidity) else block + head
+
+
+def _members(solidity: str) -> list[tuple[str, int]]:
+    """Types of a tuple's members and the hex digits before each of their heads."""
+    out, at = [], 0
+    for member in tuple_types(solidity):
+        out.append((member, at))
+        at += head_words(member) * W.WORD
+    return out
+
+
+def value_at(solidity: str, data: Column, at: Column) -> Column:
+    """The value encoded at hex digit ``at``; check ``ok_at`` before use."""
+    if solidity in ("string", "bytes"):
+        size = (W.offset_of(_word(data, at)) * 2).cast("int")
+        raw = F.unhex(F.substring(data, at.cast("int") + 1 + W.WORD, size))
+        return F.decode(raw, "UTF-8") if solidity == "string" else raw
+    if found := array_of(solidity):
+        element, n = found
+        step = head_words(element) * W.WORD
+        count = F.lit(n) if n is not None else W.offset_of(_word(data, at)).cast("int")
+        block = at if n is not None else at + W.WORD
+        items = F.transform(F.sequence(F.lit(0), count - 1), lambda i: value_at(element, data, _place(element, data, block, i * step)))
+        return F.when(count > 0, items).otherwise(F.array().cast(T.ArrayType(spark_type(element))))
+    if solidity.startswith("("):
+        return F.struct(*[value_at(t, data, _place(t, data, at, F.lit(d))).alias(f"f{i}") for i, (t, d) in enumerate(_members(solidity))])
+    return word_value(solidity, _word(data, at))
+
+
+def ok_at(solidity: str, data: Column, at: Column) -> Column:
+    """Whether the value encoded at hex digit ``at`` lies inside the data, with
+    all that it holds; null where an offset cannot be read."""
+    end = F.length(data)
+    if solidity in ("string", "bytes"):
+        return (at + W.WORD <= end) & (at + W.WORD + W.offset_of(_word(data, at)) * 2 <= end)
+    if found := array_of(solidity):
+        element, n = found
+        step = head_words(element) * W.WORD
+        count = F.lit(n) if n is not None else W.offset_of(_word(data, at))
+        block = at if n is not None else at + W.WORD
+        heads = (block <= end) & (block + count * step <= end)
+        if not is_dynamic(element):
+            return heads
+        inside = F.forall(
+            F.sequence(F.lit(0), count.cast("int") - 1),
+            lambda i: F.coalesce(ok_at(element, data, _place(element, data, block, i * step)), F.lit(False)),
+        )
+        return heads & F.when(heads & (count > 0), inside).otherwise(F.lit(True))
+    if solidity.startswith("("):
+        ok = at + sum(head_words(t) for t in tuple_types(solidity)) * W.WORD <= end
+        for t, d in _members(solidity):
+            if is_dynamic(t):
+                ok = ok & ok_at(t, data, _place(t, data, at, F.lit(d)))
+        return ok
+    return at + W.WORD <= end
+
+
+def _body(params: Sequence[Param]) -> list[tuple[Param, int]]:
+    """Parameters in the data and the hex digits before each of their heads."""
+    out, at = [], 0
+    for p in params:
+        if not p.indexed:
+            out.append((p, at))
+            at += head_words(p.type) * W.WORD
+    return out
 
 
 def decode_ok(params: Sequence[Param], data: Column) -> Column:
-    """Whether a row can be decoded: topics present, head complete, tails inside
-    the data."""
-    indexed = [p for p in params if p.indexed]
-    body = [p for p in params if not p.indexed]
+    """Whether a row can be decoded: topics present, head complete, all that
+    offsets point at inside the data."""
+    body = _body(params)
     ok = F.lit(True)
-    for i in range(len(indexed)):
+    for i in range(sum(p.indexed for p in params)):
         ok = ok & F.col(f"topic{i + 1}").isNotNull()
-    ok = ok & F.coalesce(F.length(data) >= W.WORD * len(body), F.lit(not body))
-    for head, p in enumerate(body):
+    digits = sum(head_words(p.type) for p, _ in body) * W.WORD
+    ok = ok & F.coalesce(F.length(data) >= digits, F.lit(not body))
+    for p, head in body:
         if is_dynamic(p.type):
-            ok = ok & W.dynamic_ok(data, head)
+            ok = ok & F.coalesce(ok_at(p.type, data, _place(p.type, data, F.lit(0), F.lit(head))), F.lit(False))
     return ok
 
 
 def param_columns(params: Sequence[Param], data: Column, names: dict[str, str] | None = None) -> list[Column]:
-    """One column per parameter in order.  An indexed dynamic parameter is known
-    by its hash only and comes as the 32 bytes of its topic."""
-    out, topic, head = [], 1, 0
+    """One column per parameter in order.  An indexed value of more than one word
+    is known by its hash only and comes as the 32 bytes of its topic.  Numbers
+    beyond 64 bits are decimal text, marked as numbers for filters and order."""
+    out, topic = [], 1
+    heads = {id(p): head for p, head in _body(params)}
     for p in params:
         name = (names or {}).get(p.name, p.out)
-        if p.indexed:
-            word = F.col(f"topic{topic}")
-            out.append((F.unhex(word) if is_dynamic(p.type) else word_value(p.type, word)).alias(name))
-            topic += 1
+        if p.hashed:
+            value = F.unhex(F.col(f"topic{topic}"))
+        elif p.indexed:
+            value = word_value(p.type, F.col(f"topic{topic}"))
         else:
-            out.append(body_value(p.type, data, head).alias(name))
-            head += 1
+            value = value_at(p.type, data, _place(p.type, data, F.lit(0), F.lit(heads[id(p)])))
+        topic += p.indexed
+        marks = {} if p.hashed else column_metadata(p.type)
+        out.append(value.alias(name, metadata=marks) if marks else value.alias(name))
     return out
 
 

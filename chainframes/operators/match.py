@@ -19,17 +19,18 @@ BROADCAST_ROWS = 50_000
 LONG_LIST = 200
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hints a broadcast for a spec table of a known number of rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int | None) -> DataFrame:
+    """Hints a broadcast for a spec table that is known to have few rows; of one
+    of unknown size Spark decides."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
-def log_contracts(logs: DataFrame, registry: DataFrame, rows: int = 0) -> DataFrame:
+def log_contracts(logs: DataFrame, registry: DataFrame, rows: int | None = None) -> DataFrame:
     """Logs of known addresses, with their ``contract``."""
     return logs.join(small(registry, rows), "address")
 
 
-def log_events(logs: DataFrame, events: DataFrame, rows: int = 0) -> DataFrame:
+def log_events(logs: DataFrame, events: DataFrame, rows: int | None = None) -> DataFrame:
     """Logs with a contract, matched to its events by ``topic0``."""
     return logs.join(small(events, rows), ["contract", "topic0"])
 
@@ -46,7 +47,7 @@ def topic_filter(spec: EventSpec) -> Column:
     return wanted
 
 
-def event_logs(logs: DataFrame, registry: DataFrame, spec: EventSpec, rows: int = 0) -> DataFrame:
+def event_logs(logs: DataFrame, registry: DataFrame, spec: EventSpec, rows: int | None = None) -> DataFrame:
     """Logs of one entry: selector and topics first (they reach the scan), then
     the address."""
     found = logs.where((F.col("topic0") == spec.selector) & topic_filter(spec))
@@ -121,7 +122,7 @@ def orphan_children(children: DataFrame, contracts: DataFrame) -> DataFrame:
 # -- calls and transfers --------------------------------------------------------
 
 
-def call_rows(txs: DataFrame, functions: DataFrame, rows: int = 0) -> DataFrame:
+def call_rows(txs: DataFrame, functions: DataFrame, rows: int | None = None) -> DataFrame:
     """Successful calls of configured functions.  ``functions`` has ``tx_to,
     selector`` and more; cheap tests stand first."""
     wanted = txs.where((F.length("input") >= 8) & F.col("tx_to").isNotNull() & F.col("success"))

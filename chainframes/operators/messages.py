@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ZERO_ADDRESS = "0x" + "0" * 40
-RECEIPT_PAYLOAD = ("tx_from", "tx_to", "gas_used", "nonce", "cumulative_gas_used", "status")
+ZERO_ADDRESS = "0" * 40
+#: Context fields that messages of flagged tables carry, and their names there
+#: (fixed values).
+RECEIPT_PAYLOAD = {
+    "tx_value": "tx_value", "tx_gas_price": "tx_gas_price", "tx_gas_used": "gas_used", "tx_nonce": "nonce",
+    "cumulative_gas_used": "cumulative_gas_used", "tx_status": "status",
+}
 
 
 def table_counts(rows: DataFrame) -> DataFrame:
@@ -49,23 +54,28 @@ def data_struct(df: DataFrame, names: Sequence[tuple[str, str]]) -> Column:
 
 
 def payload(df: DataFrame, data: Column, *, log_index: bool, receipts_for: Sequence[str] = ()) -> DataFrame:
-    """Adds ``body``: the message of each row as JSON.  Absent fields are left
-    out; receipt fields are sent for the named tables only."""
-    fields = [F.col(c) for c in ("table", "event", "contract", "contract_address", "block_number", "block_timestamp", "tx_hash", "tx_index")]
+    """Adds ``body``: the message of each row as JSON.  ``contract`` is the name
+    and ``contract_address`` the address; hashes and addresses have no prefix in
+    the rows and have one in the message.  Absent fields are left out; receipt
+    fields are sent for the named tables only."""
+    with_prefix = lambda c: F.concat(F.lit("0x"), F.col(c))
+    fields = [F.col("table"), F.col("event"), F.col("contract").alias("contract_name"), with_prefix("contract_address").alias("contract")]
+    fields += [F.col("block_number"), F.col("block_timestamp"), with_prefix("tx_hash").alias("tx_hash")]
     if log_index:
         fields.append(F.col("log_index"))
+    fields += [F.col("tx_index"), with_prefix("tx_from").alias("tx_from")]
     flagged = F.col("table").isin(list(receipts_for)) if receipts_for else F.lit(False)
-    fields += [F.when(flagged, F.col(c)).alias(c) for c in RECEIPT_PAYLOAD if c in df.columns]
+    fields += [F.when(flagged, F.col(c)).alias(name) for c, name in RECEIPT_PAYLOAD.items() if c in df.columns]
     return df.withColumn("body", F.to_json(F.struct(*fields, data.alias("data"))))
 
 
-def transfer_payload(transfers: DataFrame) -> DataFrame:
+def transfer_payload(transfers: DataFrame, receipts_for: Sequence[str] = ()) -> DataFrame:
     """Messages of native transfers: no contract, zero address, no log index."""
     data = F.struct(
-        F.concat(F.lit("0x"), F.col("tx_from")).alias("from"), F.concat(F.lit("0x"), F.col("tx_to")).alias("to"), F.col("value").cast("string").alias("value")
+        F.concat(F.lit("0x"), F.col("tx_from")).alias("from_address"), F.concat(F.lit("0x"), F.col("tx_to")).alias("to_address"), F.col("value").cast("string").alias("value")
     )
     named = transfers.withColumns({"event": F.lit("transfer"), "contract": F.lit(""), "contract_address": F.lit(ZERO_ADDRESS)})
-    return payload(named, data, log_index=False)
+    return payload(named, data, log_index=False, receipts_for=receipts_for)
 
 
 def routing_key(pattern: str) -> Column:

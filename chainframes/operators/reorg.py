@@ -44,7 +44,7 @@ def reorg_status(stored: DataFrame, observed: DataFrame) -> DataFrame:
     return o.join(s, "block_number", "left").select("block_number", status.alias("status"))
 
 
-def chain_breaks(blocks: DataFrame, span: int = SPAN) -> DataFrame:
+def chain_breaks(blocks: DataFrame) -> DataFrame:
     """Blocks whose parent hash is not the hash of the block one below, where
     that block is there.  A block meets its parent by number, so the check is
     one equi-join without any global order."""
@@ -73,7 +73,8 @@ def block_gaps(blocks: DataFrame, span: int = SPAN) -> DataFrame:
 
 def head_gap(confirmed: DataFrame, progress: DataFrame) -> DataFrame:
     """Head, next block to do, gap, and whether the index is ready (gap <= 2)."""
-    head = confirmed.agg(F.max("block_number").alias("head"))
-    done = progress.agg((F.coalesce(F.max("max_block"), F.lit(0)) + 1).alias("next_block"))
+    nothing = F.lit(None).cast("bigint")
+    both = confirmed.select(F.col("block_number").alias("head"), nothing.alias("done")).unionByName(progress.select(nothing.alias("head"), F.col("max_block").alias("done")))
+    found = both.agg(F.max("head").alias("head"), (F.coalesce(F.max("done"), F.lit(0)) + 1).alias("next_block"))
     gap = F.greatest(F.lit(0), F.col("head") - F.col("next_block") + 1)
-    return head.join(F.broadcast(done)).select("head", "next_block", gap.alias("gap"), (gap <= 2).alias("ready"))
+    return found.select("head", "next_block", gap.alias("gap"), (gap <= 2).alias("ready"))

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainframes.operators.flatten import first_per_key
+from chainframes.operators.match import small
 from chainframes.sources.scan import bucket
 
 
@@ -24,10 +25,19 @@ def new_rows(new: DataFrame, existing: DataFrame, key: Sequence[str], order_by:
     return first_per_key(new, list(key), list(order_by)).join(existing.select(*key), list(key), "left_anti")
 
 
-def visible(rows: DataFrame, rollbacks: DataFrame) -> DataFrame:
-    """Rows not hidden by a later rollback below their block."""
-    r = rollbacks.select(F.col("epoch").alias("__epoch"), F.col("ancestor").alias("__ancestor"))
-    return rows.join(r, (F.col("__epoch") > F.col("epoch")) & (F.col("block_number") > F.col("__ancestor")), "left_anti")
+def visible(rows: DataFrame, rollbacks: DataFrame, epochs: DataFrame | None = None) -> DataFrame:
+    """Rows not hidden by a later rollback below their block.
+
+    What hides an epoch is the lowest ancestor of all later rollbacks.  It is
+    found once per epoch (a window over epochs, never over rows) and joined by
+    epoch.  ``epochs`` names the epochs there can be, else they are read off the
+    rows."""
+    known = (rows if epochs is None else epochs).select(F.col("epoch").cast("bigint").alias("epoch")).distinct()
+    marks = known.select("epoch", F.lit(None).cast("bigint").alias("ancestor")).unionByName(rollbacks.select(F.col("epoch").cast("bigint").alias("epoch"), "ancestor"))
+    later = Window.orderBy(F.desc("epoch")).rangeBetween(Window.unboundedPreceding, -1)
+    limits = marks.select("epoch", F.min("ancestor").over(later).alias("__limit")).where("__limit is not null").distinct()
+    shown = F.col("__limit").isNull() | (F.col("block_number") <= F.col("__limit"))
+    return rows.join(limits, "epoch", "left").where(shown).select(*rows.columns)
 
 
 def rolled_back(rows: DataFrame, ancestor: int) -> DataFrame:
@@ -45,9 +55,10 @@ def checkpoint(progress: DataFrame) -> DataFrame:
     return progress.agg(F.max("max_block").alias("checkpoint"))
 
 
-def fan_out(rows: DataFrame, routing: DataFrame) -> DataFrame:
-    """Every row once per output table of its (contract, event)."""
-    return rows.join(F.broadcast(routing), ["contract", "event"])
+def fan_out(rows: DataFrame, routing: DataFrame, routes: int | None = None) -> DataFrame:
+    """Every row once per output table of its (contract, event); ``routes`` is
+    the number of rows of ``routing``, where it is known."""
+    return rows.join(small(routing, routes), ["contract", "event"])
 
 
 def create_table(spark: SparkSession, name: str, schema: T.StructType) -> None:
@@ -76,7 +87,7 @@ class EpochTable:
         full = T.StructType([*schema, T.StructField("block_bucket", T.LongType()), T.StructField("epoch", T.LongType())])
         rows = self.spark.read.schema(full).option("basePath", self.path).parquet(self.path)
         done = rows.join(progress.select("epoch").distinct(), "epoch", "left_semi")
-        shown = visible(done, rollbacks)
+        shown = visible(done, rollbacks, progress)
         return first_per_key(shown, self.key, ["epoch"]).select(*[f.name for f in schema])
 
     def compact(self, schema: T.StructType, progress: DataFrame, rollbacks: DataFrame, path: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainframes.functions.words import hex_text
+from chainframes.functions.words import decimal_key, hex_text
 
 DEFAULT_FIRST, MAX_FIRST = 100, 1000
 #: Suffixes, longest first (fixed values); no suffix is ``eq``.
@@ -32,27 +32,46 @@ class QueryError(ValueError):
     """A query that the table cannot answer."""
 
 
-def operators_of(kind: T.DataType, numeric_text: bool = False) -> set[str]:
-    """Which operators a column of a type takes."""
-    if isinstance(kind, T.NumericType) or numeric_text:
+def is_numeric_text(field: T.StructField) -> bool:
+    """Whether a text column is marked to hold exact whole numbers (256-bit values
+    are stored as decimal text)."""
+    return isinstance(field.dataType, T.StringType) and bool((field.metadata or {}).get("numeric"))
+
+
+def mark_numeric(df: DataFrame, *columns: str) -> DataFrame:
+    """Marks text columns of exact decimal numbers, so that they are compared,
+    sorted and paged as numbers."""
+    return df.withColumns({c: F.col(c).alias(c, metadata={"numeric": True}) for c in columns})
+
+
+def operators_of(field: T.StructField) -> set[str]:
+    """Which operators a column takes."""
+    kind = field.dataType
+    if isinstance(kind, T.NumericType) or is_numeric_text(field):
         return _NUMBER
     return _TEXT if isinstance(kind, T.StringType) else _EVERY
 
 
 def split_key(key: str, columns: Sequence[str]) -> tuple[str, str]:
-    """``value_gte`` -> (``value``, ``gte``).  A full column name wins, then the
-    longest suffix whose base is a column."""
-    if key in columns:
-        return key, "eq"
+    """``value_gte`` -> (``value``, ``gte``).  The longest suffix whose base is a
+    column comes first, then a full column name."""
     for suffix in SUFFIXES:
         base = key.removesuffix(f"_{suffix}")
         if base != key and base in columns:
             return base, suffix
+    if key in columns:
+        return key, "eq"
     raise QueryError(f"no column for filter {key!r}")
 
 
-def literal(value: Any, kind: T.DataType) -> Column:
+def literal(value: Any, field: T.StructField) -> Column:
     """A filter value as the column's type."""
+    kind = field.dataType
+    if is_numeric_text(field):
+        try:
+            return F.lit(str(int(value)))
+        except (TypeError, ValueError):
+            raise QueryError(f"{value!r} is not a whole number") from None
     if isinstance(kind, T.BinaryType):
         digits = str(value).lower().removeprefix("0x")
         try:
@@ -73,10 +92,10 @@ def literal(value: Any, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
-def condition(column: str, operator: str, value: Any, kind: T.DataType) -> Column:
+def condition(column: str, operator: str, value: Any, field: T.StructField) -> Column:
     c = F.col(column)
     if operator in ("in", "not_in"):
-        items = [literal(v, kind) for v in value]
+        items = [literal(v, field) for v in value]
         if not items:
             return F.lit(operator == "not_in")
         return c.isin(items) if operator == "in" else ~c.isin(items)
@@ -84,7 +103,9 @@ def condition(column: str, operator: str, value: Any, kind: T.DataType) -> Colum
         return c.like(f"%{value}%")
     if operator == "starts_with":
         return c.like(f"{value}%")
-    v = literal(value, kind)
+    v = literal(value, field)
+    if is_numeric_text(field) and operator not in ("eq", "ne"):
+        c, v = decimal_key(c), decimal_key(v)
     return {"eq": c == v, "ne": c != v, "gt": c > v, "gte": c >= v, "lt": c < v, "lte": c <= v}[operator]
 
 
@@ -102,10 +123,10 @@ def where_clause(where: Mapping[str, Any], schema: T.StructType) -> Column:
                 parts.append(functools.reduce((lambda a, b: a & b) if key == "AND" else (lambda a, b: a | b), groups))
             continue
         column, operator = split_key(key, columns)
-        kind = schema[column].dataType
-        if column == "id" or operator not in operators_of(kind):
+        field = schema[column]
+        if column == "id" or operator not in operators_of(field):
             raise QueryError(f"{column!r} takes no {operator!r}")
-        parts.append(condition(column, operator, value, kind))
+        parts.append(condition(column, operator, value, field))
     return functools.reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
@@ -116,12 +137,13 @@ def page_size(first: int | None) -> int:
     return max(1, min(DEFAULT_FIRST if first is None else first, MAX_FIRST))
 
 
-def ordering(column: str, direction: str) -> list[Column]:
+def ordering(column: str, direction: str, numeric_text: bool = False) -> list[Column]:
     """Column, then id, in one direction; nulls are the largest values."""
+    c = decimal_key(F.col(column)) if numeric_text else F.col(column)
     down = direction.upper() == "DESC"
     if direction.upper() not in ("ASC", "DESC"):
         raise QueryError(f"no direction {direction!r}")
-    order = [F.col(column).desc_nulls_first() if down else F.col(column).asc_nulls_last()]
+    order = [c.desc_nulls_first() if down else c.asc_nulls_last()]
     if column != "id":
         order.append(F.col("id").desc() if down else F.col("id").asc())
     return order
@@ -156,7 +178,9 @@ def after_cursor(cursor: str, column: str, direction: str, schema: T.StructType)
     c = F.col(column)
     if value is None:  # nulls first when descending, last when ascending
         return (c.isNull() & i) | (c.isNotNull() if down else F.lit(False))
-    v = literal(value, schema[column].dataType)
+    v = literal(value, schema[column])
+    if is_numeric_text(schema[column]):
+        c, v = decimal_key(c), decimal_key(v)
     behind = (c < v) | ((c == v) & i) if down else (c > v) | ((c == v) & i) | c.isNull()
     return behind
 
@@ -192,7 +216,7 @@ def select_page(
     rows = df.where(where_clause(where or {}, df.schema))
     if after is not None:
         rows = rows.where(after_cursor(after, order_by, direction, df.schema))
-    rows = rows.orderBy(*ordering(order_by, direction))
+    rows = rows.orderBy(*ordering(order_by, direction, is_numeric_text(df.schema[order_by])))
     if after is None and skip > 0:
         rows = rows.offset(skip)
     return rows.limit(page_size(first) + extra)

@@ -183,9 +183,9 @@ WHERE b.block_number NOT IN (SELECT block_number FROM blocks ORDER BY block_numb
   AND b.block_number >= (SELECT max(block_number) - 64 FROM blocks)""")
 def reorg_ancestor(spark, d):
     stored = O.blocks(spark, d)
-    last = stored.agg(F.max("block_number")).first()[0]
-    top = stored.orderBy(F.desc("block_number")).limit(3).agg(F.min("block_number").alias("low"))
-    canonical = stored.join(F.broadcast(top)).withColumn("block_hash", F.when(F.col("block_number") >= F.col("low"), "x").otherwise(F.col("block_hash")))
+    last = stored.agg(F.max("block_number").alias("b")).first()["b"]
+    top = stored.orderBy(F.desc("block_number")).limit(3).select("block_number", F.lit("x").alias("now"))
+    canonical = stored.join(top, "block_number", "left").withColumn("block_hash", F.coalesce("now", "block_hash"))
     return R.common_ancestor(stored, canonical, last)
 
 
@@ -340,7 +340,7 @@ def table_routing(spark, d):
 WHERE contract IS NOT NULL GROUP BY 1""")
 def fan_out_counts(spark, d):
     routes = spark.createDataFrame([(c.name, e, t) for c in CONTRACTS for e, t in (("Transfer", "moves"), ("Transfer", "audit"), ("Approval", "audit"))], "contract string, event string, table string")
-    return T.fan_out(matched(spark, d).drop("table"), routes).groupBy("table").agg(F.count("*").alias("n"))
+    return T.fan_out(matched(spark, d).drop("table"), routes, 3 * len(CONTRACTS)).groupBy("table").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT lpad(lower(hex(8192 + i)), 40, '0') AS address, 'c' || CAST(i AS VARCHAR) AS contract, CAST(0 AS BIGINT) AS created_block FROM range(10) r(i)
@@ -424,8 +424,8 @@ def attributes(spark: SparkSession, d: str) -> DataFrame:
     return C.context(O.blocks(spark, d), FL.with_gas_used(O.txs(spark, d)))
 
 
-@query(f"""SELECT block_number, tx_index, block_timestamp, block_hash, tx_from, tx_to, CAST(value AS VARCHAR) AS tx_value, CAST({PRICE} AS VARCHAR) AS tx_gas_price,
-       CAST(gas AS BIGINT) AS gas_used, nonce, cumulative_gas_used, success AS status FROM txs JOIN blocks USING (block_number)""")
+@query(f"""SELECT block_number, tx_index, block_timestamp, block_hash, tx_from, tx_to, CAST(value AS VARCHAR) AS tx_value, CAST({PRICE} AS BIGINT) AS tx_gas_price,
+       CAST(gas AS BIGINT) AS tx_gas_used, nonce AS tx_nonce, cumulative_gas_used, success AS tx_status FROM txs JOIN blocks USING (block_number)""")
 def context_join(spark, d):
     return attributes(spark, d)
 
@@ -439,7 +439,7 @@ def context_columns(spark, d):
     return C.with_context(rows, attributes(spark, d), fields)
 
 
-@query("""SELECT l.block_number, l.tx_index, log_index, cents, tx_to, CAST(gas AS BIGINT) AS gas_used, nonce, cumulative_gas_used, success AS status
+@query("""SELECT l.block_number, l.tx_index, log_index, cents, tx_to, CAST(gas AS BIGINT) AS tx_gas_used, nonce AS tx_nonce, cumulative_gas_used, success AS tx_status
 FROM logs l JOIN txs t ON l_orderkey = o_orderkey WHERE event = 'Approval'""")
 def receipt_context(spark, d):
     spec = S.EventSpec("c0", "Approval", O.APPROVAL, PARAMS, "t", context=("tx_to",), include_receipts=True)
@@ -503,7 +503,9 @@ def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
     body = F.lower(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     size = (F.length(body) / 2).cast("bigint")
     padded = F.rpad(body, (F.ceil(F.length(body) / 64) * 64).cast("int"), F.lit("0"))
-    return O.table(spark, d, "documents").select("doc_id", F.concat(W.encode_word(F.lit(32)), W.encode_word(size), padded).alias("data"))
+    data = F.concat(W.encode_word(F.lit(32)), W.encode_word(size), padded)
+    # through a generator, so that decoding reads the encoded text and does not encode it again
+    return O.table(spark, d, "documents").select("doc_id", F.explode(F.array(data)).alias("data"))
 
 
 @query("SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(coalesce(text, '')) AS digest FROM documents")
@@ -514,18 +516,24 @@ def decode_string(spark, d):
 
 @query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size, sha256(coalesce(text, '')) AS digest, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS tag FROM documents")
 def decode_bytes(spark, d):
-    head = F.concat(F.rpad(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(8)), 64, "0"), W.encode_word(F.lit(64)), F.substring("data", 65, 1 << 30))
-    out = D.decode_events(encoded_texts(spark, d).withColumn("data", head), (S.Param("tag", "bytes4"), S.Param("body", "bytes")), ("doc_id",))
+    head = F.concat(F.rpad(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(8)), 64, "0"), W.encode_word(F.lit(64)), F.substring("data", F.lit(65), F.length("data")))
+    rows = encoded_texts(spark, d).select("doc_id", F.explode(F.array(head)).alias("data"))
+    out = D.decode_events(rows, (S.Param("tag", "bytes4"), S.Param("body", "bytes")), ("doc_id",))
     return out.select("doc_id", F.octet_length("body").cast("bigint").alias("size"), F.sha2("body", 256).alias("digest"), F.lower(F.hex("tag")).alias("tag"))
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS n, CAST(coalesce(sum(round(l_extendedprice * 100)), 0) AS BIGINT) AS cents FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def decode_array(spark, d):
+    out = D.decode_events(item_arrays(spark, d), (S.Param("cents", "uint64[]"),), ("o_orderkey",))
+    return out.select("o_orderkey", F.size("cents").cast("bigint").alias("n"), F.aggregate("cents", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("cents"))
+
+
+def item_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """The cents of each order's items as a dynamic array."""
     items = O.logs(spark, d).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.collect_list("data"), "").alias("body"))
     keyed = O.table(spark, d, "orders").select("o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    data = keyed.withColumn("data", F.concat(W.encode_word(F.lit(32)), W.encode_word(F.coalesce("n", F.lit(0))), F.coalesce("body", F.lit(""))))
-    out = D.decode_events(data, (S.Param("cents", "uint64[]"),), ("o_orderkey",))
-    return out.select("o_orderkey", F.size("cents").cast("bigint").alias("n"), F.aggregate("cents", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("cents"))
+    data = F.concat(W.encode_word(F.lit(32)), W.encode_word(F.coalesce("n", F.lit(0))), F.coalesce("body", F.lit("")))
+    return keyed.select("o_orderkey", F.explode(F.array(data)).alias("data"))
 
 
 @query("""SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS entry, count(*) FILTER (WHERE doc_id % 5 < 2) AS failed, count(*) FILTER (WHERE doc_id % 5 >= 2) AS decoded
@@ -537,6 +545,52 @@ def decode_failures(spark, d):
     return D.decode_failures(rows, (S.Param("text", "string"),), ("entry",))
 
 
+@query("""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'cut' WHEN o_orderkey % 3 = 1 THEN 'far' ELSE 'whole' END AS entry,
+ count(*) FILTER (WHERE o_orderkey % 3 = 1 OR (o_orderkey % 3 = 0 AND n > 0)) AS failed, count(*) FILTER (WHERE o_orderkey % 3 = 2 OR (o_orderkey % 3 = 0 AND n = 0)) AS decoded
+FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1""")
+def decode_cut_arrays(spark, d):
+    rows = item_arrays(spark, d)
+    kind = F.col("o_orderkey") % 3
+    whole = F.length("data")
+    broken = F.when((kind == 0) & (whole > 128), F.left("data", whole - 64)).when(kind == 1, F.concat(F.left("data", F.lit(64)), W.encode_word(F.lit(1 << 20)))).otherwise(F.col("data"))
+    rows = rows.withColumn("data", broken).withColumn("entry", F.when(kind == 0, "cut").when(kind == 1, "far").otherwise("whole"))
+    return D.decode_failures(rows, (S.Param("cents", "uint64[]"),), ("entry",))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS part, l_suppkey % 2 = 0 AS even, 'n' || l_suppkey AS name, l_linenumber AS line FROM lineitem")
+def decode_tuple(spark, d):
+    """(part, (even, name), line), the inner tuple behind an offset of its own."""
+    name = F.lower(F.hex(F.concat(F.lit("n"), F.col("l_suppkey").cast("string"))))
+    word = lambda c: W.encode_word(c.cast("bigint"))
+    data = F.concat(
+        word(F.lit(32)), word(F.col("l_partkey")), word(F.lit(96)), word(F.col("l_linenumber")),
+        word(F.col("l_suppkey") % 2 == 0), word(F.lit(64)), word(F.length(name) / 2), F.rpad(name, 64, "0"),
+    )
+    rows = O.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array(data)).alias("data"))
+    out = D.decode_events(rows, (S.Param("t", "(uint64,(bool,string),uint8)"),), ("l_orderkey", "l_linenumber"))
+    return out.select("l_orderkey", "l_linenumber", F.col("t.f0").alias("part"), F.col("t.f1.f0").alias("even"), F.col("t.f1.f1").alias("name"), F.col("t.f2").alias("line"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS a, l_suppkey AS b, CAST(l_linenumber AS BIGINT) AS c, CAST(-1 - l_partkey AS VARCHAR) AS after FROM lineitem")
+def decode_fixed_array(spark, d):
+    minus = F.concat(F.lit("f" * 48), F.lower(F.hex(-1 - F.col("l_partkey"))))
+    data = F.concat(*[W.encode_word(F.col(c).cast("bigint")) for c in ("l_partkey", "l_suppkey", "l_linenumber")], minus)
+    rows = O.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array(data)).alias("data"))
+    out = D.decode_events(rows, (S.Param("items", "uint64[3]"), S.Param("after", "int128")), ("l_orderkey", "l_linenumber"))
+    return out.select("l_orderkey", "l_linenumber", *[F.get("items", F.lit(i)).alias(n) for i, n in enumerate("abc")], "after")
+
+
+@query("SELECT c_custkey, [c_name, c_mktsegment, ''] AS names FROM customer")
+def decode_string_array(spark, d):
+    texts = [F.lower(F.hex(c)) for c in (F.col("c_name"), F.col("c_mktsegment"), F.lit(""))]
+    parts = [F.concat(W.encode_word((F.length(t) / 2).cast("bigint")), F.rpad(t, (F.ceil(F.length(t) / 64) * 64).cast("int"), F.lit("0"))) for t in texts]
+    sizes = [(F.length(p) / 2).cast("bigint") for p in parts]
+    offsets = [F.lit(96).cast("bigint"), 96 + sizes[0], 96 + sizes[0] + sizes[1]]
+    data = F.concat(W.encode_word(F.lit(32)), W.encode_word(F.lit(3)), *map(W.encode_word, offsets), *parts)
+    rows = O.table(spark, d, "customer").select("c_custkey", F.explode(F.array(data)).alias("data"))
+    return D.decode_events(rows, (S.Param("names", "string[]"),), ("c_custkey",))
+
+
 # -- tables ----------------------------------------------------------------------------
 
 KEY = ["block_number", "tx_index", "log_index"]
@@ -612,14 +666,17 @@ def run_totals(spark, d):
 
 
 def told(spark: SparkSession, d: str) -> DataFrame:
-    """Matched logs of two contracts with names and block time."""
-    rows = matched(spark, d).where(F.col("contract").isin("c1", "c2"))
-    return rows.join(O.blocks(spark, d).select("block_number", "block_timestamp"), "block_number").withColumn("contract_address", F.concat(F.lit("0x"), "address"))
+    """Matched logs with the attributes that messages carry."""
+    rows = matched(spark, d).withColumn("contract_address", F.col("address"))
+    return C.with_context(rows, attributes(spark, d), ("block_timestamp", "tx_from", *MS.RECEIPT_PAYLOAD))
 
 
-MESSAGE = """'{"table":"' || contract || '_' || lower(event) || 's","event":"' || event || '","contract":"' || contract || '","contract_address":"0x' ||
- lpad(lower(hex(8192 + l_suppkey % 10)), 40, '0') || '","block_number":' || l.block_number || ',"block_timestamp":' || block_timestamp || ',"tx_hash":"' || l.tx_hash ||
- '","tx_index":' || l.tx_index || ',"log_index":' || log_index ||"""
+MESSAGE = """'{"table":"' || contract || '_' || lower(event) || 's","event":"' || event || '","contract_name":"' || contract || '","contract":"0x' ||
+ lpad(lower(hex(8192 + l_suppkey % 10)), 40, '0') || '","block_number":' || l.block_number || ',"block_timestamp":' || block_timestamp || ',"tx_hash":"0x' || l.tx_hash ||
+ '","log_index":' || log_index || ',"tx_index":' || l.tx_index || ',"tx_from":"0x' || tx_from || '"' ||"""
+RECEIPTS = f"""',"tx_value":"' || value || '","tx_gas_price":' || {PRICE} || ',"gas_used":' || gas || ',"nonce":' || nonce ||
+ ',"cumulative_gas_used":' || cumulative_gas_used || ',"status":' || CASE WHEN success THEN 'true' ELSE 'false' END"""
+MESSAGE_ROWS = "logs l JOIN txs t ON l_orderkey = o_orderkey JOIN blocks b ON b.block_number = l.block_number WHERE contract IS NOT NULL AND event IS NOT NULL"
 DATA = """',"data":{"from":"0x' || lpad(lower(hex(l_partkey)), 40, '0') || '","to":"0x' || lpad(lower(hex(l_suppkey)), 40, '0') || '","value":"' || cents || '"}}'"""
 
 
@@ -630,28 +687,26 @@ def event_messages(rows: DataFrame, receipts_for=()) -> DataFrame:
     return MS.payload(typed, data, log_index=True, receipts_for=receipts_for)
 
 
-@query(f"SELECT l.block_number, l.tx_index, log_index, {MESSAGE} {DATA} AS body FROM logs l JOIN blocks b ON b.block_number = l.block_number WHERE contract IN ('c1', 'c2') AND event IS NOT NULL")
+@query(f"SELECT l.block_number, l.tx_index, log_index, {MESSAGE} {DATA} AS body FROM {MESSAGE_ROWS}")
 def event_payload(spark, d):
     return event_messages(told(spark, d)).select("block_number", "tx_index", "log_index", "body")
 
 
-@query(f"""SELECT l.block_number, l.tx_index, log_index, {MESSAGE} CASE WHEN contract = 'c1' AND event = 'Transfer' THEN ',"tx_from":"' || tx_from || '"' ||
-  CASE WHEN tx_to IS NULL THEN '' ELSE ',"tx_to":"' || tx_to || '"' END || ',"gas_used":' || gas || ',"nonce":' || nonce || ',"cumulative_gas_used":' || cumulative_gas_used ||
-  ',"status":' || CASE WHEN success THEN 'true' ELSE 'false' END ELSE '' END || {DATA} AS body
-FROM logs l JOIN txs t ON l_orderkey = o_orderkey JOIN blocks b ON b.block_number = l.block_number WHERE contract IN ('c1', 'c2') AND event IS NOT NULL""")
+@query(f"""SELECT l.block_number, l.tx_index, log_index, {MESSAGE} CASE WHEN contract = 'c1' AND event = 'Transfer' THEN {RECEIPTS} ELSE '' END || {DATA} AS body
+FROM {MESSAGE_ROWS}""")
 def payload_receipts(spark, d):
-    rows = C.with_context(told(spark, d), attributes(spark, d), MS.RECEIPT_PAYLOAD)
-    return event_messages(rows, ("c1_transfers",)).select("block_number", "tx_index", "log_index", "body")
+    return event_messages(told(spark, d), ("c1_transfers",)).select("block_number", "tx_index", "log_index", "body")
 
 
 def moved_messages(spark: SparkSession, d: str) -> DataFrame:
     rows = M.native_transfers(O.txs(spark, d)).select("block_number", "tx_index", "tx_hash", "tx_from", "tx_to", "value")
-    rows = rows.join(O.blocks(spark, d).select("block_number", "block_timestamp"), "block_number").withColumn("table", F.lit("moves"))
-    return MS.transfer_payload(rows)
+    rows = C.with_context(rows, attributes(spark, d), ("block_timestamp", *MS.RECEIPT_PAYLOAD)).withColumn("table", F.lit("moves"))
+    return MS.transfer_payload(rows, ("moves",))
 
 
-@query(f"""SELECT block_number, tx_index, '{{"table":"moves","event":"transfer","contract":"","contract_address":"0x' || repeat('0', 40) || '","block_number":' || block_number ||
- ',"block_timestamp":' || block_timestamp || ',"tx_hash":"' || tx_hash || '","tx_index":' || tx_index || ',"data":{{"from":"0x' || tx_from || '","to":"0x' || tx_to || '","value":"' || value || '"}}}}' AS body
+@query(f"""SELECT block_number, tx_index, '{{"table":"moves","event":"transfer","contract_name":"","contract":"0x' || repeat('0', 40) || '","block_number":' || block_number ||
+ ',"block_timestamp":' || block_timestamp || ',"tx_hash":"0x' || tx_hash || '","tx_index":' || tx_index || ',"tx_from":"0x' || tx_from || '"' || {RECEIPTS} ||
+ ',"data":{{"from_address":"0x' || tx_from || '","to_address":"0x' || tx_to || '","value":"' || value || '"}}}}' AS body
 FROM txs JOIN blocks USING (block_number) WHERE {MOVED}""")
 def transfer_payload(spark, d):
     return moved_messages(spark, d).select("block_number", "tx_index", "body")
@@ -660,22 +715,22 @@ def transfer_payload(spark, d):
 def call_messages(spark: SparkSession, d: str) -> DataFrame:
     rows = M.call_rows(O.txs(spark, d), functions(spark), 10)
     rows = rows.join(O.blocks(spark, d).select("block_number", "block_timestamp"), "block_number").withColumns(
-        {"table": F.concat("contract", F.lit("_calls")), "event": F.col("function"), "contract_address": F.concat(F.lit("0x"), "tx_to")}
+        {"table": F.concat("contract", F.lit("_calls")), "event": F.col("function"), "contract_address": F.col("tx_to")}
     )
     cols = D.param_columns(CALL.params, D.calldata_body(), {"to": "p_to", "amount": "p_amount"})
-    typed = rows.select("block_number", "block_timestamp", "tx_hash", "tx_index", "table", "event", "contract", "contract_address", *cols)
+    typed = rows.select("block_number", "block_timestamp", "tx_hash", "tx_index", "tx_from", "table", "event", "contract", "contract_address", *cols)
     return MS.payload(typed, MS.data_struct(typed, (("p_to", "to"), ("p_amount", "amount"))), log_index=False)
 
 
-@query(f"""SELECT block_number, tx_index, '{{"table":"c' || o_orderkey % 12 || '_calls","event":"transfer","contract":"c' || o_orderkey % 12 || '","contract_address":"0x' || tx_to || '","block_number":' || block_number ||
- ',"block_timestamp":' || block_timestamp || ',"tx_hash":"' || tx_hash || '","tx_index":' || tx_index || ',"data":{{"to":"0x' || lpad(lower(hex(o_custkey)), 40, '0') || '","amount":"' || total_cents || '"}}}}' AS body
+@query(f"""SELECT block_number, tx_index, '{{"table":"c' || o_orderkey % 12 || '_calls","event":"transfer","contract_name":"c' || o_orderkey % 12 || '","contract":"0x' || tx_to || '","block_number":' || block_number ||
+ ',"block_timestamp":' || block_timestamp || ',"tx_hash":"0x' || tx_hash || '","tx_index":' || tx_index || ',"tx_from":"0x' || tx_from || '","data":{{"to":"0x' || lpad(lower(hex(o_custkey)), 40, '0') || '","amount":"' || total_cents || '"}}}}' AS body
 FROM txs JOIN blocks USING (block_number) WHERE {CALLED}""")
 def call_payload(spark, d):
     return call_messages(spark, d).select("block_number", "tx_index", "body")
 
 
 @query(f"""SELECT kind, kind_order, block_number, count(*) AS n FROM (
-SELECT 'event' AS kind, 0 AS kind_order, block_number FROM logs WHERE contract IN ('c1', 'c2') AND event IS NOT NULL
+SELECT 'event' AS kind, 0 AS kind_order, block_number FROM logs WHERE contract IS NOT NULL AND event IS NOT NULL
 UNION ALL SELECT 'transfer', 1, block_number FROM txs WHERE {MOVED} UNION ALL SELECT 'call', 2, block_number FROM txs WHERE {CALLED}) GROUP BY ALL""")
 def unified_messages(spark, d):
     events = event_messages(told(spark, d)).select("block_number", "tx_index", "log_index", "body")
@@ -745,6 +800,40 @@ for _name, _where, _sql in (
     ORACLE_SQL[_name] = f"{OVERLAY_SQL} SELECT id, part, value FROM tbl WHERE {_sql}"
 
 
+def wide(spark: SparkSession, d: str, solidity: str) -> DataFrame:
+    """Orders with a number of all 256 bits, stored as decimal text."""
+    rows = O.table(spark, d, "orders").select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("data"))
+    out = D.decode_events(rows, (S.Param("amount", solidity),), ("o_orderkey",))
+    return out.withColumnRenamed("o_orderkey", "id")
+
+
+WIDE_SQL = "(SELECT o_orderkey AS id, sha256(CAST(o_orderkey AS VARCHAR)) AS w, translate(substr(w, 1, 1), '0123456789abcdef', '89abcdef01234567') || substr(w, 2) AS s FROM orders)"
+
+
+@query(f"SELECT id FROM {WIDE_SQL} WHERE w > '{(1 << 255) + 12345:064x}' AND w <> '{(1 << 255) + 99999:064x}'")
+def where_gt_wide(spark, d):
+    t = wide(spark, d, "uint256")
+    return t.where(Q.where_clause({"amount_gt": str((1 << 255) + 12345), "amount_ne": (1 << 255) + 99999}, t.schema)).select("id")
+
+
+@query(f"SELECT id FROM {WIDE_SQL} WHERE s < '{(1 << 255) - (1 << 250):064x}' OR s >= '{(1 << 255) + (1 << 254):064x}'")
+def where_lt_wide(spark, d):
+    t = wide(spark, d, "int256")
+    return t.where(Q.where_clause({"OR": [{"amount_lt": -(1 << 250)}, {"amount_gte": 1 << 254}]}, t.schema)).select("id")
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY s DESC, id DESC) AS place FROM {WIDE_SQL} ORDER BY place LIMIT 300")
+def order_wide(spark, d):
+    page = Q.select_page(wide(spark, d, "int256"), order_by="amount", first=300)
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*Q.ordering("amount", "DESC", True))).cast("bigint")).select("id", "place")
+
+
+@query(f"SELECT id FROM {WIDE_SQL} WHERE w < '{1 << 254:064x}' ORDER BY w DESC, id DESC LIMIT 200")
+def page_keyset_wide(spark, d):
+    cursor = Q.encode_cursor(str(1 << 254), 0)
+    return Q.select_page(wide(spark, d, "uint256"), order_by="amount", first=200, after=cursor).select("id")
+
+
 def named(spark: SparkSession, d: str) -> DataFrame:
     return O.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
 

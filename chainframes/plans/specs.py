@@ -18,14 +18,14 @@ from chainframes.functions import words as W
 #: Columns of the output tables that a parameter may not be called (fixed values).
 RESERVED_COLUMNS = (
     "id", "block_number", "tx_hash", "tx_index", "log_index", "contract_address", "block_timestamp", "block_hash",
-    "tx_from", "tx_to", "tx_value", "tx_gas_price", "gas_used", "nonce", "cumulative_gas_used", "status",
+    "tx_from", "tx_to", "tx_value", "tx_gas_price", "tx_gas_used", "tx_nonce", "cumulative_gas_used", "tx_status",
 )
 #: Context fields in output order and their Spark types (fixed values).
 CONTEXT_FIELDS = {
     "block_timestamp": "bigint", "block_hash": "string", "tx_from": "string", "tx_to": "string", "tx_value": "string",
-    "tx_gas_price": "string", "gas_used": "bigint", "nonce": "bigint", "cumulative_gas_used": "bigint", "status": "boolean",
+    "tx_gas_price": "bigint", "tx_gas_used": "bigint", "tx_nonce": "bigint", "cumulative_gas_used": "bigint", "tx_status": "boolean",
 }
-RECEIPT_FIELDS = ("gas_used", "nonce", "cumulative_gas_used", "status")
+RECEIPT_FIELDS = ("tx_gas_used", "tx_nonce", "cumulative_gas_used", "tx_status")
 
 
 class SpecError(ValueError):
@@ -36,11 +36,11 @@ class SpecError(ValueError):
 
 
 def column_name(raw: str) -> str:
-    """camelCase to snake_case, acronyms kept together; a clash with a reserved
-    column gets the prefix ``param_``."""
+    """camelCase to snake_case, acronyms kept together, leading underscores gone;
+    a clash with a reserved column gets the prefix ``param_``."""
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", raw)
     name = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", name)
-    name = re.sub(r"_+", "_", name).strip("_").lower()
+    name = re.sub(r"_+", "_", name).lstrip("_").lower()
     return f"param_{name}" if name in RESERVED_COLUMNS else name
 
 
@@ -87,13 +87,41 @@ SPARK_KINDS = {
 
 
 def spark_type(solidity: str) -> T.DataType:
-    """As ``sql_kind``, but arrays keep their structure; numbers beyond 64 bits
-    are exact decimal text."""
-    if solidity.endswith("[]"):
-        return T.ArrayType(spark_type(solidity[:-2]))
+    """As ``sql_kind``, but arrays and tuples keep their structure (a tuple's
+    fields are ``f0``, ``f1``, ..); numbers beyond 64 bits are exact decimal text."""
+    if m := ARRAY.fullmatch(solidity):
+        return T.ArrayType(spark_type(m[1]))
+    if solidity.startswith("("):
+        return T.StructType([T.StructField(f"f{i}", spark_type(t)) for i, t in enumerate(tuple_types(solidity))])
     return SPARK_KINDS[sql_kind(solidity)]
 
 
+#: ``T[]`` and ``T[n]``: element type and length.
+ARRAY = re.compile(r"(.+)\[(\d*)\]")
+
+
+def tuple_types(solidity: str) -> list[str]:
+    """The member types of ``(a,b,..)``, split at the outermost commas."""
+    if not solidity.endswith(")"):
+        raise SpecError(f"{solidity!r} is not a tuple")
+    parts, depth = [""], 0
+    for c in solidity[1:-1]:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [p for p in parts if p]
+
+
+#: Marks text columns that hold exact whole numbers.
+NUMERIC = {"numeric": True}
+
+
+def column_metadata(solidity: str) -> dict:
+    return NUMERIC if sql_kind(solidity) == "numeric" else {}
+
+
 # -- entries -----------------------------------------------------------------
 
 
@@ -108,6 +136,11 @@ class Param:
     def out(self) -> str:
         return self.column or column_name(self.name)
 
+    @property
+    def hashed(self) -> bool:
+        """An indexed value of more than one word is known by its hash only."""
+        return self.indexed and (self.type in ("string", "bytes") or self.type.endswith("]") or self.type.startswith("("))
+
 
 @dataclass(frozen=True)
 class EventSpec:
@@ -236,12 +269,13 @@ def table_schema(entry: EventSpec | CallSpec | TransferSpec) -> T.StructType:
     fields += [(name, CONTEXT_FIELDS[name]) for name in context_fields(entry)]
     if isinstance(entry, TransferSpec):
         fields += [("from_address", "string"), ("to_address", "string"), ("value", "string")]
-    schema = T.StructType([T.StructField(name, _DDL[kind], name == "tx_to") for name, kind in fields])
+    numeric = ("tx_value", "value")
+    schema = T.StructType([T.StructField(name, _DDL[kind], name == "tx_to", NUMERIC if name in numeric else None) for name, kind in fields])
     if isinstance(entry, TransferSpec):
         return schema
     column_names([p.name for p in entry.params if not p.column])
     for p in entry.params:
-        schema = schema.add(p.out, spark_type(p.type), False)
+        schema = schema.add(p.out, T.BinaryType() if p.hashed else spark_type(p.type), False, {} if p.hashed else column_metadata(p.type))
     return schema
 
 
@@ -283,10 +317,11 @@ def topic_literal(solidity: str, value: str) -> str:
 
 
 def encode_topic(solidity: str, value: Column) -> Column:
-    """The column form of ``topic_literal`` for addresses, bools and
-    non-negative numbers."""
+    """The column form of ``topic_literal`` for addresses, bools and numbers of
+    up to 64 bits."""
     if solidity == "address":
         return F.lpad(F.regexp_replace(F.lower(value), "^0x", ""), 64, "0")
     if solidity == "bool":
         return F.lpad(F.when(value, "1").otherwise("0"), 64, "0")
-    return W.encode_word(value)
+    fill = F.when(value < 0, F.lit("f")).otherwise(F.lit("0")) if solidity.startswith("int") else F.lit("0")
+    return F.concat(F.repeat(fill, F.lit(48)), F.lpad(F.lower(F.hex(value)), 16, "0"))

@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from chainframes.operators import match, messages, reorg, tables
-from chainframes.operators.decode import decode_ok, param_columns
-from chainframes.operators.flatten import with_row_id
-from chainframes.plans.specs import EventSpec, IndexSpec, spark_type
+from chainframes.operators.context import context, with_context
+from chainframes.operators.decode import calldata_body, decode_ok, param_columns
+from chainframes.operators.flatten import drop_mismatched, with_gas_used, with_row_id
+from chainframes.plans.specs import CallSpec, EventSpec, IndexSpec, Param, TransferSpec, context_fields, table_key, table_schema
 
 Handler = Callable[[DataFrame, int], None]
+Entry = EventSpec | TransferSpec | CallSpec
 
 PROGRESS = "epoch bigint, max_block bigint, blocks bigint"
 ROLLBACKS = "epoch bigint, ancestor bigint"
@@ -32,12 +34,13 @@ CHILDREN = "contract string, address string, created_block bigint"
 
 @dataclass
 class Sink:
-    """Where messages go.  ``send`` gets the message rows of a batch; one that
-    does not want history is left out of backfills.  Failures are kept and never
-    stop the job."""
+    """Where messages go.  ``send`` gets the message rows of a batch, ``notify``
+    one row per block with rows (``block_number, body``); one that does not want
+    history is left out of backfills.  Failures are kept and never stop the job."""
 
     name: str
-    send: Handler
+    send: Handler | None = None
+    notify: Handler | None = None
     wants_backfill: bool = True
     errors: list[str] = field(default_factory=list)
 
@@ -112,16 +115,14 @@ class Index:
         back = self.rollbacks().agg(F.max_by("ancestor", "epoch").alias("b")).first()["b"]
         return max(kept or 0, back or 0) if kept or back else 0
 
-    def entry_schema(self, e: EventSpec) -> T.StructType:
-        """What an event table holds."""
-        fixed = T.StructType.fromDDL("id bigint, block_number bigint, tx_hash string, tx_index int, log_index int, contract_address string")
-        return T.StructType([*fixed, *(T.StructField(p.out, spark_type(p.type)) for p in e.params)])
+    def entries(self) -> list[Entry]:
+        return [*self.spec.events, *self.spec.transfers, *self.spec.calls]
 
     def table(self, name: str) -> DataFrame:
-        """The visible rows of one event table."""
-        entry = next(e for e in self.spec.events if e.table == name)
-        store = tables.EpochTable(self.spark, f"{self.root}/{name}", ("contract_address", "block_number", "tx_index", "log_index"))
-        return store.read(self.entry_schema(entry), self.progress(), self.rollbacks())
+        """The visible rows of one entry's table."""
+        entry = next(e for e in self.entries() if e.table == name)
+        store = tables.EpochTable(self.spark, f"{self.root}/{name}", table_key(entry))
+        return store.read(table_schema(entry), self.progress(), self.rollbacks())
 
     def gaps(self) -> DataFrame:
         """Blocks missing below the checkpoint."""
@@ -138,8 +139,17 @@ class Index:
         rest = F.struct(*blocks.columns)
         return blocks.groupBy("block_number").agg(F.max_by(rest, arrival).alias("b")).select("b.*")
 
-    def process(self, blocks: DataFrame, logs: DataFrame, epoch: int, is_backfill: bool = False) -> None:
-        """One batch: reorganisation, children, rows, hashes, progress, messages."""
+    def process(self, blocks: DataFrame, logs: DataFrame, epoch: int, is_backfill: bool = False, txs: DataFrame | None = None) -> None:
+        """One batch: reorganisation, children, rows, hashes, progress, messages.
+
+        ``txs`` (``block_number, tx_index, tx_hash, tx_from, tx_to, value,
+        success, input, cumulative_gas_used, nonce, tx_type, max_fee, tip``, and
+        ``block_hash`` where forks can meet in a batch) is needed for transfers,
+        calls and context fields; ``blocks`` then has ``block_timestamp`` and
+        ``base_fee``.  A ``receipts`` column of ``blocks`` is their number of
+        receipts: logs of blocks with another number of transactions are left out."""
+        if txs is None and (self.spec.transfers or self.spec.calls or any(context_fields(e) for e in self.entries())):
+            raise ValueError("transfers, calls and context fields need the batch's transactions")
         blocks = self._latest(blocks).persist()
         try:
             span = blocks.agg(F.min("block_number").alias("low"), F.max("block_number").alias("high"), F.count("*").alias("n")).first()
@@ -149,6 +159,12 @@ class Index:
             if not replayed:
                 self._reorganise(blocks, span["low"], epoch)
             logs = logs.join(blocks.select("block_number", "block_hash"), ["block_number", "block_hash"], "left_semi") if "block_hash" in logs.columns else logs
+            if txs is not None:
+                own = ["block_number", "block_hash"]
+                txs = (txs.join(blocks.select(*own), own, "left_semi").drop("block_hash") if "block_hash" in txs.columns else txs).persist()
+                if "receipts" in blocks.columns:
+                    receipts = blocks.select("block_number", F.explode(F.sequence(F.lit(1), F.col("receipts"))).alias("n")).where("n > 0")
+                    logs = drop_mismatched(logs, txs, receipts)
             found = self.spec.registry(self.spark)
             known = self.children(but=epoch)
             if self.spec.factories:
@@ -157,18 +173,21 @@ class Index:
                 fresh = self.spark.read.schema(CHILDREN).parquet(f"{self.root}/_children/epoch={epoch}")
                 known = known.unionByName(fresh).groupBy("address").agg(F.min(F.struct("created_block", "contract")).alias("f")).select("f.contract", "address", "f.created_block")
             registry = match.registry_union(found, known)
-            told = [self._entry(e, logs, registry, epoch) for e in self.spec.events]
+            told = [self._entry(e, logs, registry, blocks, txs, epoch) for e in self.entries()]
+            stamps = blocks.select("block_number", "block_timestamp") if "block_timestamp" in blocks.columns else None
             self._write("hashes", blocks.select("block_number", "block_hash"), epoch)
             row = self.spark.createDataFrame([(span["high"], span["n"])], "max_block bigint, blocks bigint")
             self._write("progress", row, epoch)
         finally:
             blocks.unpersist()
-        self._notify(told, epoch, is_backfill)
+            if txs is not None:
+                txs.unpersist()
+        self._notify(told, epoch, is_backfill, stamps)
 
     def _reorganise(self, blocks: DataFrame, low: int, epoch: int) -> None:
         """Rolls back to the common ancestor where the batch contradicts what is
         stored: the same block with another hash, or a parent that is not there."""
-        stored = self.hashes()
+        stored = self.hashes().where(F.col("block_number") >= low - 1 - reorg.MAX_DEPTH)  # older ones cannot be the ancestor
         parents = blocks.select((F.col("block_number") - 1).alias("block_number"), F.col("parent_hash").alias("block_hash"))
         seen = blocks.select("block_number", "block_hash").unionByName(parents.join(blocks.select("block_number"), "block_number", "left_anti"))
         against = stored.join(seen.withColumnRenamed("block_hash", "now"), "block_number").agg(
@@ -185,25 +204,61 @@ class Index:
             raise reorg.ReorgTooDeep(f"block {against['bad']} differs and no common block is known within {reorg.MAX_DEPTH} blocks of {last}")
         self._write("rollbacks", self.spark.createDataFrame([(ancestor,)], "ancestor bigint"), epoch)
 
-    def _entry(self, e: EventSpec, logs: DataFrame, registry: DataFrame, epoch: int) -> DataFrame:
-        wanted = logs.where((F.col("topic0") == e.selector) & match.topic_filter(e))
-        own = registry.where(F.col("contract") == e.contract)
-        rows = wanted.join(own, "address").where(F.col("block_number") >= F.col("created_block"))
-        rows = with_row_id(rows.where(decode_ok(e.params, F.col("data"))))
-        shaped = rows.select("id", "block_number", "tx_hash", "tx_index", "log_index", F.col("address").alias("contract_address"), *param_columns(e.params, F.col("data")))
-        handler = self.handlers.get(e.table)
-        store = tables.EpochTable(self.spark, f"{self.root}/{e.table}", ("contract_address", "block_number", "tx_index", "log_index"))
-        store.write(shaped, epoch)
-        written = self.spark.read.schema(self.entry_schema(e)).parquet(f"{self.root}/{e.table}/epoch={epoch}")
-        if handler:
+    def _rows_of(self, e: Entry, logs: DataFrame, registry: DataFrame, txs: DataFrame | None) -> tuple[DataFrame, list]:
+        """The batch's rows of an entry and the columns of its parameters."""
+        if isinstance(e, EventSpec):
+            wanted = logs.where((F.col("topic0") == e.selector) & match.topic_filter(e))
+            own = registry.where(F.col("contract") == e.contract)
+            rows = wanted.join(own, "address").where(F.col("block_number") >= F.col("created_block"))
+            rows = rows.where(decode_ok(e.params, F.col("data"))).withColumn("contract_address", F.col("address"))
+            return rows, param_columns(e.params, F.col("data"))
+        if isinstance(e, TransferSpec):
+            rows = match.transfer_filter(match.native_transfers(txs), e)
+            return rows, [F.col("tx_from").alias("from_address"), F.col("tx_to").alias("to_address"), F.col("value").cast("string").alias("value")]
+        plain = tuple(Param(p.name, p.type, False, p.column) for p in e.params)
+        own = registry.where(F.col("contract") == e.contract).select(F.col("address").alias("tx_to"), "created_block")
+        wanted = txs.where((F.length("input") >= 8) & (F.substring("input", 1, 8) == e.selector) & F.col("success"))
+        rows = wanted.join(own, "tx_to").where((F.col("block_number") >= F.col("created_block")) & decode_ok(plain, calldata_body()))
+        return rows, param_columns(plain, calldata_body())
+
+    def _entry(self, e: Entry, logs: DataFrame, registry: DataFrame, blocks: DataFrame, txs: DataFrame | None, epoch: int) -> DataFrame:
+        """Writes an entry's rows and gives their messages."""
+        rows, params = self._rows_of(e, logs, registry, txs)
+        fixed = [c for c in ("id", "block_number", "tx_hash", "tx_index", "log_index", "contract_address") if c != "log_index" or isinstance(e, EventSpec)]
+        fixed = [c for c in fixed if c != "contract_address" or isinstance(e, EventSpec)]
+        shaped = with_row_id(rows).select(*fixed, *params)
+        fields = context_fields(e)
+        if fields:
+            shaped = with_context(shaped, context(blocks, with_gas_used(txs)), fields)
+        schema = table_schema(e)
+        tables.EpochTable(self.spark, f"{self.root}/{e.table}", table_key(e)).write(shaped.select(*schema.fieldNames()), epoch)
+        written = self.spark.read.schema(schema).parquet(f"{self.root}/{e.table}/epoch={epoch}")
+        if handler := self.handlers.get(e.table):
             handler(written, epoch)
-        kinds = dict(written.dtypes)
-        data = F.struct(*[messages.json_value(F.col(p.out), kinds[p.out]).alias(p.name) for p in e.params])
-        body = F.to_json(F.struct(F.lit(e.table).alias("table"), F.lit(e.event).alias("event"), "block_number", "tx_hash", "tx_index", "log_index", data.alias("data")))
-        return written.select(F.lit(e.table).alias("table"), F.lit(e.event).alias("event"), "block_number", body.alias("body"))
-
-    def _notify(self, told: Sequence[DataFrame], epoch: int, is_backfill: bool) -> None:
-        """After the commit: every message to every sink that wants it."""
+        if isinstance(e, TransferSpec):
+            event, contract, address, named = "transfer", "", F.lit(messages.ZERO_ADDRESS), [(c, c) for c in ("from_address", "to_address", "value")]
+        else:
+            event, contract, named = e.event if isinstance(e, EventSpec) else e.function, e.contract, [(p.out, p.name) for p in e.params]
+            address = F.col("contract_address") if isinstance(e, EventSpec) else F.lit(None).cast("string")
+        out = written.withColumns({"table": F.lit(e.table), "event": F.lit(event), "contract": F.lit(contract), "contract_address": address})
+        have = [c for c in ("block_timestamp", "tx_from", "tx_to", *messages.RECEIPT_PAYLOAD) if c not in fields]
+        if txs is not None:
+            out = with_context(out, context(blocks, with_gas_used(txs)), have)
+            if isinstance(e, CallSpec):
+                out = out.withColumn("contract_address", F.col("tx_to"))
+        else:
+            out = out.withColumns({"block_timestamp": F.lit(None).cast("bigint"), "tx_from": F.lit(None).cast("string")})
+        if isinstance(e, TransferSpec):
+            data = F.struct(*[(F.concat(F.lit("0x"), c) if c != "value" else F.col(c)).alias(c) for c, _ in named])
+        else:
+            data = messages.data_struct(out, named)
+        flagged = (e.table,) if getattr(e, "include_receipts", False) else ()
+        told = messages.payload(out, data, log_index=isinstance(e, EventSpec), receipts_for=flagged)
+        return told.select("table", "event", "block_number", "tx_index", "body")
+
+    def _notify(self, told: Sequence[DataFrame], epoch: int, is_backfill: bool, stamps: DataFrame | None) -> None:
+        """After the commit: every message, and what each block added, to every
+        sink that wants it."""
         if not told or not self.sinks:
             return
         rows = told[0]
@@ -215,7 +270,10 @@ class Index:
                 if is_backfill and not sink.wants_backfill:
                     continue
                 try:
-                    sink.send(rows, epoch)
+                    if sink.send:
+                        sink.send(rows, epoch)
+                    if sink.notify and stamps is not None:
+                        sink.notify(messages.block_notifications(messages.table_counts(rows), stamps), epoch)
                 except Exception as error:  # a sink's failure is its own
                     sink.errors.append(f"{epoch}: {error}")
         finally:
@@ -228,15 +286,16 @@ def read_blocks(spark: SparkSession, path: str, schema: T.StructType | str, file
 
 
 def follow(index: Index, blocks: DataFrame, checkpoint: str, *, seconds: float | None = None, is_backfill: bool = False):
-    """Starts the follow loop over a stream of blocks with their ``logs`` as an
-    array column.  ``seconds`` is the trigger interval; without it the stream
+    """Starts the follow loop over a stream of blocks with their ``logs`` (and, if
+    the index needs them, ``txs``) as array columns.  ``seconds`` is the trigger interval; without it the stream
     runs until it has taken all that is there and stops."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
         rows = rows.persist()
         try:
             logs = rows.select("block_number", "block_hash", F.explode("logs").alias("l")).select("block_number", "block_hash", "l.*")
-            index.process(rows.drop("logs"), logs, epoch, is_backfill)
+            txs = rows.select("block_number", "block_hash", F.explode("txs").alias("t")).select("block_number", "block_hash", "t.*") if "txs" in rows.columns else None
+            index.process(rows.drop("logs", "txs"), logs, epoch, is_backfill, txs)
         finally:
             rows.unpersist()
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,40 @@ def test_sinks(spark, tmp_path):
     assert sinks[3].errors == []
 
 
+TX = "block_number long, tx_index int, tx_hash string, tx_from string, tx_to string, value long, success boolean, input string, cumulative_gas_used long, nonce long, tx_type int, max_fee long, tip long"
+
+
+def test_calls_transfers_context_and_notifications(spark, tmp_path):
+    event = S.EventSpec("c", "E", "e1", EVENT.params, "moves", context=("tx_from", "tx_gas_price"), include_receipts=True)
+    call = S.CallSpec("c", "pay", "aabbccdd", (S.Param("amount", "uint256"),), "calls")
+    spec = S.IndexSpec((S.ContractSpec("c", A),), (event,), (call,), (S.TransferSpec("paid", context=("block_timestamp",)),))
+    bodies, blocks_told = [], []
+    sinks = [Sink("rows", lambda rows, epoch: bodies.extend(r.body for r in rows.orderBy("table").collect())), Sink("blocks", notify=lambda rows, epoch: blocks_told.extend(r.body for r in rows.collect()))]
+    index = Index(spark, str(tmp_path / "i"), spec, sinks)
+    txs = spark.createDataFrame(
+        [
+            (1, 0, "t0", "9" * 40, A, 7, True, "aabbccdd" + f"{2**200:064x}", 100, 3, 2, 50, 1),
+            (1, 1, "t1", "8" * 40, None, 5, True, "", 130, 0, 0, 10, 0),
+            (1, 2, "t2", "8" * 40, A, 5, False, "aabbccdd" + "0" * 64, 150, 0, 0, 10, 0),
+        ],
+        TX,
+    )
+    blocks = spark.createDataFrame([(1, "b1", "b0", 1700, 20, 3), (2, "b2", "b1", 1712, 20, 1)], "block_number long, block_hash string, parent_hash string, block_timestamp long, base_fee long, receipts int")
+    logs = spark.createDataFrame([(1, "b1", *log(A, "e1", "1", 4)), (2, "b2", *log(A, "e1", "1", 6))], "block_number long, block_hash string, " + LOG.removeprefix("struct<").removesuffix(">").replace(":", " "))
+    with pytest.raises(ValueError):
+        index.process(blocks, logs, 0)
+    index.process(blocks, logs, 0, txs=txs)
+    assert [(r.block_number, r.tx_from, r.tx_gas_price, r.tx_gas_used, r.tx_nonce, r.tx_status, r.value) for r in index.table("moves").collect()] == [(1, "9" * 40, 21, 100, 3, True, 4)]
+    assert [(r.tx_index, r.amount) for r in index.table("calls").collect()] == [(0, str(2**200))]
+    assert [(r.tx_hash, r.to_address, r.value, r.block_timestamp) for r in index.table("paid").collect()] == [("t0", A, "7", 1700)]
+    found = {j["table"]: j for j in map(json.loads, bodies)}
+    assert found["calls"]["contract"] == "0x" + A and found["calls"]["data"] == {"amount": str(2**200)} and "log_index" not in found["calls"] and "gas_used" not in found["calls"]
+    assert found["moves"]["gas_used"] == 100 and found["moves"]["tx_value"] == "7" and found["moves"]["block_timestamp"] == 1700 and found["moves"]["contract_name"] == "c"
+    assert found["paid"]["data"] == {"from_address": "0x" + "9" * 40, "to_address": "0x" + A, "value": "7"}
+    told = json.loads(blocks_told[0])
+    assert len(blocks_told) == 1 and {(t["name"], t["count"]) for t in told["tables"]} == {("moves", 1), ("calls", 1), ("paid", 1)} and told["block_timestamp"] == 1700
+
+
 def test_stream_of_files(spark, tmp_path):
     source, schema = str(tmp_path / "in"), spark.createDataFrame([], SCHEMA).schema
     index = Index(spark, str(tmp_path / "index"), SPEC)

@@ -19,7 +19,7 @@ def ids(df):
 
 def test_keys():
     columns = ["value", "value_in", "from_address"]
-    assert Q.split_key("value_in", columns) == ("value_in", "eq")
+    assert Q.split_key("value_in", columns) == ("value", "in") and Q.split_key("value_in_in", columns) == ("value_in", "in")
     assert Q.split_key("value_gte", columns) == ("value", "gte") and Q.split_key("value_not_in", columns) == ("value", "not_in")
     assert Q.split_key("from_address_starts_with", columns) == ("from_address", "starts_with")
     for bad in ("nope", "nope_gt", "value_like"):
@@ -39,6 +39,35 @@ def test_filters(table):
             Q.where_clause(bad, table.schema)
 
 
+WIDE = [0, 5, 40, 300, 2**64, 2**128 + 1, 2**200, 2**255, 2**256 - 1]
+
+
+@pytest.mark.parametrize("numbers", [WIDE, [-n for n in WIDE[:-1]] + WIDE[:-1]])
+def test_wide_numbers_compare_sort_and_page(spark, numbers):
+    df = spark.createDataFrame([(i, str(n)) for i, n in enumerate(numbers)] + [(99, None)], "id long, value string")
+    with pytest.raises(Q.QueryError):
+        Q.where_clause({"value_gt": 5}, df.schema)
+    df = Q.mark_numeric(df, "value")
+    values = lambda rows: [None if r.value is None else int(r.value) for r in rows.collect()]
+    for border in (0, 40, 2**128, -(2**200), 2**255):
+        for suffix, test in (("gt", int.__gt__), ("gte", int.__ge__), ("lt", int.__lt__), ("lte", int.__le__), ("ne", int.__ne__)):
+            got = values(df.where(Q.where_clause({f"value_{suffix}": str(border)}, df.schema)))
+            assert sorted(got) == sorted(n for n in numbers if test(n, border))
+    assert values(df.where(Q.where_clause({"value_in": ["0300", 2**200]}, df.schema))) == [n for n in numbers if n in (300, 2**200)]
+    with pytest.raises(Q.QueryError):
+        Q.where_clause({"value_contains": "1"}, df.schema)
+    for direction in ("ASC", "DESC"):
+        seen, cursor = [], None
+        while True:
+            page = Q.query_table(df, order_by="value", direction=direction, first=4, after=cursor)
+            seen += values(page.rows)
+            cursor = page.end_cursor
+            if not page.has_next:
+                break
+        want = sorted(numbers, reverse=direction == "DESC")
+        assert seen == ([None, *want] if direction == "DESC" else [*want, None])
+
+
 def test_cursor():
     assert Q.decode_cursor(Q.encode_cursor("21000042", 99)) == ("21000042", 99)
     for bad in ("not-base64!!!", "bm90IGpzb24=", "e30="):

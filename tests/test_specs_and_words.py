@@ -10,7 +10,7 @@ from chainframes.plans import specs as S
     ("raw", "name"),
     [
         ("_troveId", "trove_id"), ("_L_ETH", "l_eth"), ("amount0Out", "amount0_out"), ("sqrtPriceX96", "sqrt_price_x96"), ("newICR", "new_icr"),
-        ("WETH", "weth"), ("a___b", "a_b"), ("id", "param_id"), ("blockNumber", "param_block_number"), ("tx_from", "param_tx_from"), ("___", ""),
+        ("WETH", "weth"), ("a___b", "a_b"), ("value_", "value_"), ("status", "status"), ("tx_status", "param_tx_status"), ("id", "param_id"), ("blockNumber", "param_block_number"), ("tx_from", "param_tx_from"), ("___", ""),
     ],
 )
 def test_column_names(raw, name):
@@ -53,12 +53,12 @@ def event(**more):
 
 def test_schemas_and_context():
     schema = S.table_schema(event(context=("block_timestamp",), include_receipts=True))
-    assert schema.fieldNames() == ["id", "block_number", "tx_hash", "tx_index", "log_index", "contract_address", "block_timestamp", "gas_used", "nonce", "cumulative_gas_used", "status", "from", "value"]
+    assert schema.fieldNames() == ["id", "block_number", "tx_hash", "tx_index", "log_index", "contract_address", "block_timestamp", "tx_gas_used", "tx_nonce", "cumulative_gas_used", "tx_status", "from", "value"]
     assert S.table_key(event()) == ("contract_address", "block_number", "tx_index", "log_index") and S.table_key(S.TransferSpec("t")) == ("block_number", "tx_index")
     with pytest.raises(S.SpecError):
         S.context_fields(event(context=("nope",)))
     with pytest.raises(S.SpecError):
-        S.context_fields(event(context=("nonce", "nonce")))
+        S.context_fields(event(context=("tx_nonce", "tx_nonce")))
 
 
 def test_bloom_is_used_for_plain_events_only(spark):
@@ -105,6 +105,32 @@ def test_dynamic_values_and_guards(spark):
     assert [r.a for r in D.decode_events(array, (S.Param("a", "int64[]"),)).collect()] == [[], [5, -1]]
 
 
+def test_nested_types_and_their_guards(spark):
+    w = lambda *n: "".join(f"{x:064x}" for x in n)
+    text = lambda t: w(len(t)) + t.encode().hex().ljust(64, "0")
+    strings = w(32, 2, 64, 128) + text("ab") + text("c")
+    lists = w(32, 3, 96, 192, 224) + w(2, 7, 8) + w(0) + w(1, 9)
+    pairs = w(32, 2, 1, 0, 2, 1)
+    cases = [
+        ("string[]", strings, ["ab", "c"]), ("uint64[][]", lists, [[7, 8], [], [9]]), ("(uint64,bool)[]", pairs, [(1, False), (2, True)]),
+        ("uint64[2]", w(5, 6), [5, 6]), ("string[1]", w(32, 32) + text("z"), ["z"]), ("(uint8,(string,bool))", w(32, 4, 64, 64, 1) + text("q"), (4, ("q", True))),
+    ]
+    for solidity, data, want in cases:
+        params = (S.Param("x", solidity),)
+        whole = spark.createDataFrame([(data,)], "data string")
+        assert whole.select(*D.param_columns(params, F.col("data"))).schema["x"].dataType.simpleString() == S.spark_type(solidity).simpleString()
+        plain = lambda v: tuple(map(plain, v)) if isinstance(v, tuple) else list(map(plain, v)) if isinstance(v, list) else v
+        assert plain(D.decode_events(whole, params).first().x) == want, solidity
+        cut = spark.createDataFrame([(data[:-64],), (data[:64],), ("",), (None,)], "data string").withColumn("e", F.lit(1))
+        rest = 0 if solidity != "string[1]" else 0
+        assert D.decode_failures(cut, params, ("e",)).first().decoded == rest, solidity
+    far = spark.createDataFrame([(w(32, 1 << 28),), (w(32) + "f" * 64,), (w(1 << 28),)], "data string").withColumn("e", F.lit(1))
+    assert D.decode_failures(far, (S.Param("x", "uint64[]"),), ("e",)).first().failed == 3
+    two = spark.createDataFrame([(w(1, 2, 3, 128) + text("k"),)], "data string")
+    got = D.decode_events(two, (S.Param("a", "uint64[2]"), S.Param("b", "uint64"), S.Param("c", "string"))).first()
+    assert (got.a, got.b, got.c) == ([1, 2], 3, "k")
+
+
 def test_decode_golden(spark):
     row = [("ddf2", "11".rjust(64, "1"), "22".rjust(64, "2"), f"{1000000:064x}")]
     df = spark.createDataFrame(row, "topic0 string, topic1 string, topic2 string, data string")
@@ -118,4 +144,6 @@ def test_decode_golden(spark):
 
 def test_hex_and_case(spark):
     df = spark.createDataFrame([(bytearray(b"\xde\xad"), "usdc_transfers")], "b binary, n string")
+    long = "x" * 12_000
+    assert spark.createDataFrame([(f"{long}_y",)], "n string").select(W.pascal_case(F.col("n"))).first()[0] == "X" + long[1:] + "Y"
     assert tuple(df.select(W.hex_text(F.col("b")), W.pascal_case(F.col("n"))).first()) == ("0xdead", "UsdcTransfers")
