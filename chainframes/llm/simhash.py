@@ -226,6 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_text, names).select(F.col("id").alias(id_col), *names, "component")
 
 
+def hooked(edges: DataFrame) -> DataFrame:
+    """Fewer edges ``(u, v)`` with the same components: every node is tied to its
+    smallest neighbour, and an edge is carried over to those of its two ends.
+    Links inside a large group of near copies mostly fall together."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
+    carried = edges.join(low, "u").select(F.col("low").alias("u"), "v").join(low.select(F.col("u").alias("v"), F.col("low").alias("to")), "v")
+    ties = low.where("u <> low").select("u", F.col("low").alias("v"))
+    return ties.unionByName(carried.select("u", F.col("to").alias("v")).where("u <> v")).distinct()
+
+
 def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
     """Edges ``(u, v)`` between rows' ``node`` whose components hold together all
     texts that one of the fingerprints ``fp0 ..`` links.
@@ -238,7 +249,7 @@ def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
     met = None
     for i in range(len(schemes)):
         with dropping_shuffles(texts.sparkSession):
-            one = materialize(links(lows.where(F.col("scheme") == i).select("fp")).withColumn("scheme", F.lit(i)))
+            one = materialize(hooked(materialize(links(lows.where(F.col("scheme") == i).select("fp")))).withColumn("scheme", F.lit(i)))
         met = one if met is None else met.unionByName(one)
     for c in ("u", "v"):
         met = met.join(lows.select("scheme", F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), ["scheme", c])

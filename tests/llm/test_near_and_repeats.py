@@ -6,7 +6,7 @@ import pandas as pd
 from xxhash import xxh64_intdigest
 
 from chainframes.llm.components import connected_components
-from chainframes.llm.simhash import Scheme, _linked_stars, _variants, keep_one, near_duplicates, simhash
+from chainframes.llm.simhash import Scheme, _linked_stars, _variants, hooked, keep_one, near_duplicates, simhash
 from chainframes.llm.substrings import passages, remove_repeats, sliding_min
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,6 +94,26 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {i: 0 for i in range(1, 101)} | {1000 + i: 1000 for i in range(1, 50)}
 
 
+def test_hooked_edges_keep_the_components(spark):
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 150, (140, 2)) if a != b} | {(200 + i, 200 + j) for i in range(30) for j in range(i)})
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    fewer = hooked(edges)
+    roots = lambda df: {r.node: r.root for r in connected_components(df).collect()}
+    assert roots(fewer) == roots(edges) and fewer.where("u >= 200").count() == 29
+
+
+def test_a_split_bucket_links_what_all_pairs_link():
+    rng = np.random.default_rng(6)
+    fps = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) for c in rng.integers(0, 1 << 63, 4).astype(np.uint64)]))
+    label = {int(x): i for i, x in enumerate(fps)}
+    for u, v in _linked_stars(fps, 3):
+        old, new = label[u], label[v]
+        label = {k: new if x == old else x for k, x in label.items()}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    assert len(fps) > 200 and all((label[int(fps[i])] == label[int(fps[j])]) for i, j in zip(*np.nonzero(near), strict=True))
+
+
 def test_keep_one(make_docs, prose):
     kept = keep_one(make_docs(prose)).toPandas()
     ids = sorted(int(i) for i in kept.doc_id.dropna())
