@@ -159,7 +159,7 @@ def _meet(radius: int):
             two = begins[sizes == 2]
             a, b = fps[two], fps[two + 1]
             hit = np.bitwise_count(a ^ b) <= radius
-            u, v = [a[hit]], [b[hit]]
+            u, v = [b[hit]], [a[hit]]
             for at, size in zip(begins[sizes > 2], sizes[sizes > 2], strict=True):
                 found = _linked_stars(fps[at : at + size], radius)
                 if found:
@@ -183,14 +183,19 @@ def _meet(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``(u, v)`` among distinct fingerprints ``fp`` whose components are
-    those of the full link graph (all pairs of at most ``radius`` differing bits)."""
+def met_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``links`` as the buckets give them: an edge of several buckets repeats."""
     assert radius == RADIUS, "the variants are laid out for three bits"
     masks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(x).alias("x")) for a, x in _variants()])
     emitted = nodes.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m["a"]).bitwiseXOR(m["x"]))).alias("key"))
     met = emitted.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp")
-    return met.mapInArrow(_meet(radius), "u long, v long").distinct()
+    return met.mapInArrow(_meet(radius), "u long, v long")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges ``(u, v)`` among distinct fingerprints ``fp`` whose components are
+    those of the full link graph (all pairs of at most ``radius`` differing bits)."""
+    return met_pairs(nodes, radius).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = (SHINGLES,)) -> DataFrame:
@@ -226,15 +231,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_text, names).select(F.col("id").alias(id_col), *names, "component")
 
 
-def hooked(edges: DataFrame) -> DataFrame:
-    """Fewer edges ``(u, v)`` with the same components: every node is tied to its
-    smallest neighbour, and an edge is carried over to those of its two ends.
-    Links inside a large group of near copies mostly fall together."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = materialize(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
-    carried = edges.join(low, "u").select(F.col("low").alias("u"), "v").join(low.select(F.col("u").alias("v"), F.col("low").alias("to")), "v")
-    ties = low.where("u <> low").select("u", F.col("low").alias("v"))
-    return ties.unionByName(carried.select("u", F.col("to").alias("v")).where("u <> v")).distinct()
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges ``(u, v)`` with the same components: a node and its neighbours
+    are tied to the smallest of them.  A node is the first end of at most one edge
+    for each of its variants, so they fit one row; in a large group of near copies
+    most of the ties fall together."""
+    near = edges.groupBy("u").agg(F.collect_set("v").alias("near"))
+    near = near.withColumn("low", F.least("u", F.array_min("near")))
+    ties = near.select(F.explode(F.concat("near", F.array("u"))).alias("u"), F.col("low").alias("v"))
+    return ties.where("u <> v").distinct()
 
 
 def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
@@ -249,7 +254,7 @@ def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
     met = None
     for i in range(len(schemes)):
         with dropping_shuffles(texts.sparkSession):
-            one = materialize(hooked(materialize(links(lows.where(F.col("scheme") == i).select("fp")))).withColumn("scheme", F.lit(i)))
+            one = materialize(contracted(met_pairs(lows.where(F.col("scheme") == i).select("fp"))).withColumn("scheme", F.lit(i)))
         met = one if met is None else met.unionByName(one)
     for c in ("u", "v"):
         met = met.join(lows.select("scheme", F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), ["scheme", c])

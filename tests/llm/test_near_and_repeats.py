@@ -6,7 +6,7 @@ import pandas as pd
 from xxhash import xxh64_intdigest
 
 from chainframes.llm.components import connected_components
-from chainframes.llm.simhash import Scheme, _linked_stars, _variants, hooked, keep_one, near_duplicates, simhash
+from chainframes.llm.simhash import Scheme, _linked_stars, _variants, contracted, keep_one, near_duplicates, simhash
 from chainframes.llm.substrings import passages, remove_repeats, sliding_min
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,11 +94,11 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {i: 0 for i in range(1, 101)} | {1000 + i: 1000 for i in range(1, 50)}
 
 
-def test_hooked_edges_keep_the_components(spark):
+def test_contracted_edges_keep_the_components(spark):
     rng = np.random.default_rng(4)
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 150, (140, 2)) if a != b} | {(200 + i, 200 + j) for i in range(30) for j in range(i)})
     edges = spark.createDataFrame(pairs, "u long, v long")
-    fewer = hooked(edges)
+    fewer = contracted(edges)
     roots = lambda df: {r.node: r.root for r in connected_components(df).collect()}
     assert roots(fewer) == roots(edges) and fewer.where("u >= 200").count() == 29
 
