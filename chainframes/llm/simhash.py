@@ -116,12 +116,17 @@ _COMPARED = 512
 _PARTS = ((0, 16), (16, 32), (32, 48), (48, 64))
 
 
-def _linked_stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what links within one bucket: (member, smallest of its
-    part).  Of a large bucket, those that agree in one of four bit ranges are
-    compared, in strips of a bounded size."""
+def _linked_stars(fps: np.ndarray, radius: int, names: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what links within one bucket: the names of (member,
+    smallest of its part).  Members of one name are one part from the start; without
+    names each goes by its fingerprint.  Of a large bucket, those that agree in one
+    of four bit ranges are compared, in strips of a bounded size."""
     n = len(fps)
-    label = np.arange(n)
+    names = fps if names is None else names
+    _, first, same = np.unique(names, return_index=True, return_inverse=True)
+    if len(first) == 1:
+        return []
+    label = first[same]
 
     def join(members: np.ndarray) -> None:
         nonlocal label
@@ -142,53 +147,53 @@ def _linked_stars(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             for group in np.split(order, begins[1:]):
                 if len(group) > 1:
                     join(np.sort(group))
-    return [(int(fps[i]), int(fps[r])) for i, r in enumerate(label) if r != i]
+    return [(int(names[i]), int(names[r])) for i, r in zip(first, label[first], strict=True) if names[r] != names[i]]
 
 
 def _meet(radius: int):
     """Streams rows in key order; a bucket holds at most the 44 variants' values
     times what the bits left out can be, and is handled as one array."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            fps = fps.view(np.uint64)
-            begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            sizes = np.diff(np.r_[begins, len(keys)])
-            two = begins[sizes == 2]
-            a, b = fps[two], fps[two + 1]
-            hit = np.bitwise_count(a ^ b) <= radius
-            u, v = [b[hit]], [a[hit]]
-            for at, size in zip(begins[sizes > 2], sizes[sizes > 2], strict=True):
-                found = _linked_stars(fps[at : at + size], radius)
-                if found:
-                    pairs = np.array(found, dtype=np.uint64)
-                    u.append(pairs[:, 0])
-                    v.append(pairs[:, 1])
-            both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0) if u else np.zeros((0, 2), np.uint64)
-            both = np.ascontiguousarray(both.T).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+    def edges(keys: np.ndarray, fps: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[begins, len(keys)])
+        two = begins[sizes == 2]
+        hit = two[(np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius) & (names[two] != names[two + 1])]
+        u, v = [names[hit + 1]], [names[hit]]
+        for at, size in zip(begins[sizes > 2], sizes[sizes > 2], strict=True):
+            found = _linked_stars(fps[at : at + size], radius, names[at : at + size])
+            if found:
+                pairs = np.array(found, dtype=np.int64)
+                u.append(pairs[:, 0])
+                v.append(pairs[:, 1])
+        both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([held_fps, batch.column(1).to_numpy()])
+            # without a column of names, a fingerprint goes by itself
+            new = [batch.column(i).to_numpy() for i in (0, 1, batch.num_columns - 1)]
+            keys, fps, names = (np.concatenate(c) for c in zip(held, new, strict=True))
             if not len(keys):
                 continue
             cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last bucket may go on
-            held_keys, held_fps = keys[cut:], fps[cut:]
-            yield edges(keys[:cut], fps[:cut])
-        yield edges(held_keys, held_fps)
+            held = [keys[cut:], fps[cut:], names[cut:]]
+            yield edges(keys[:cut], fps[:cut].view(np.uint64), names[:cut])
+        yield edges(held[0], held[1].view(np.uint64), held[2])
 
     return run
 
 
 def met_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``links`` as the buckets give them: an edge of several buckets repeats."""
+    """Edges ``(u, v)`` as the buckets give them (one of several buckets repeats)
+    among distinct fingerprints ``fp``, or among their long ``name`` where there is
+    one: then fingerprints of one name are connected already and give no edge."""
     assert radius == RADIUS, "the variants are laid out for three bits"
+    own = [c for c in ("fp", "name") if c in nodes.columns]
     masks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(x).alias("x")) for a, x in _variants()])
-    emitted = nodes.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m["a"]).bitwiseXOR(m["x"]))).alias("key"))
-    met = emitted.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp")
+    emitted = nodes.select(*own, F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m["a"]).bitwiseXOR(m["x"]))).alias("key"))
+    met = emitted.repartition("key").sortWithinPartitions("key", "fp").select("key", *own)
     return met.mapInArrow(_meet(radius), "u long, v long")
 
 
@@ -231,35 +236,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_text, names).select(F.col("id").alias(id_col), *names, "component")
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Fewer edges ``(u, v)`` with the same components: a node and its neighbours
-    are tied to the smallest of them.  A node is the first end of at most one edge
-    for each of its variants, so they fit one row; in a large group of near copies
-    most of the ties fall together."""
-    near = edges.groupBy("u").agg(F.collect_set("v").alias("near"))
-    near = near.withColumn("low", F.least("u", F.array_min("near")))
-    ties = near.select(F.explode(F.concat("near", F.array("u"))).alias("u"), F.col("low").alias("v"))
-    return ties.where("u <> v").distinct()
-
-
-def proposed_edges(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
-    """Edges ``(u, v)`` between rows' ``node`` whose components hold together all
-    texts that one of the fingerprints ``fp0 ..`` links.
-
-    Texts of one fingerprint are tied to their least node.  One scheme's variants
-    are shuffled after the other, so that the disk never holds those of all."""
-    made = [F.struct(F.lit(i).alias("scheme"), F.col(f"fp{i}").alias("fp")) for i in range(len(schemes))]
-    each = texts.select("node", F.explode(F.array(*made)).alias("f")).select("node", "f.*")
-    lows = materialize(each.groupBy("scheme", "fp").agg(F.min("node").alias("low"), F.count("*").alias("n")))
-    met = None
-    for i in range(len(schemes)):
-        with dropping_shuffles(texts.sparkSession):
-            one = materialize(contracted(met_pairs(lows.where(F.col("scheme") == i).select("fp"))).withColumn("scheme", F.lit(i)))
-        met = one if met is None else met.unionByName(one)
-    for c in ("u", "v"):
-        met = met.join(lows.select("scheme", F.col("fp").alias(c), F.col("low").alias(f"low_{c}")), ["scheme", c])
-    alike = each.join(lows.where("n > 1"), ["scheme", "fp"]).where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    return met.select(F.col("low_u").alias("u"), F.col("low_v").alias("v")).unionByName(alike)
+def proposed_groups(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
+    """``node, root``: the groups that hold together all texts which one of the
+    fingerprints ``fp0 ..`` links, each named by its smallest ``node``.
+
+    The first scheme's links make groups; the others, in batches that double, only
+    add links between different groups, so that a large group of near copies gives
+    its links once and not once for each scheme.  One scheme's variants are shuffled
+    after the other, so that the disk never holds those of all."""
+    named = texts.withColumn("root", F.col("node"))
+    at = 0
+    while at < len(schemes):
+        batch = range(at, min(len(schemes), max(1, 2 * at)))
+        made = [F.struct(F.lit(i).alias("scheme"), F.col(f"fp{i}").alias("fp")) for i in batch]
+        each = named.select("root", F.explode(F.array(*made)).alias("f")).select("root", "f.*").distinct()
+        lows = materialize(each.groupBy("scheme", "fp").agg(F.min("root").alias("name"), F.count("*").alias("n")))
+        # groups that share a fingerprint are tied to the least of them
+        edges = each.join(lows.where("n > 1"), ["scheme", "fp"]).where("root <> name").select(F.col("root").alias("u"), F.col("name").alias("v"))
+        for i in batch:
+            with dropping_shuffles(texts.sparkSession):
+                edges = edges.unionByName(materialize(met_pairs(lows.where(F.col("scheme") == i).select("fp", "name")).distinct()))
+        merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        named = materialize(named.join(merged, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
+        at = batch.stop
+    return named.select("node", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = WORD_SETS) -> DataFrame:
@@ -276,7 +276,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     # a node per distinct text
     fps = materialize(fingerprints(keyed.select(F.struct("__key", "__node").alias("__row"), text_col), "__row", text_col, schemes))
     texts = materialize(fps.groupBy(F.col("id.__node").alias("node"), *names).agg(F.min("id.__key").alias("least_id")))
-    groups = connected_components(proposed_edges(texts, schemes))
+    groups = proposed_groups(texts, schemes).where("node <> root")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     asked = materialize(groups.join(texts.select("node", "least_id"), "node"))
     rows = keyed.select("__key", "__node", F.col(text_col).alias("text"))

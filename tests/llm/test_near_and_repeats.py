@@ -6,7 +6,7 @@ import pandas as pd
 from xxhash import xxh64_intdigest
 
 from chainframes.llm.components import connected_components
-from chainframes.llm.simhash import Scheme, _linked_stars, _variants, contracted, keep_one, near_duplicates, simhash
+from chainframes.llm.simhash import Scheme, _linked_stars, _variants, keep_one, met_pairs, near_duplicates, proposed_groups, simhash
 from chainframes.llm.substrings import passages, remove_repeats, sliding_min
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,13 +94,40 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {i: 0 for i in range(1, 101)} | {1000 + i: 1000 for i in range(1, 50)}
 
 
-def test_contracted_edges_keep_the_components(spark):
-    rng = np.random.default_rng(4)
-    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 150, (140, 2)) if a != b} | {(200 + i, 200 + j) for i in range(30) for j in range(i)})
-    edges = spark.createDataFrame(pairs, "u long, v long")
-    fewer = contracted(edges)
-    roots = lambda df: {r.node: r.root for r in connected_components(df).collect()}
-    assert roots(fewer) == roots(edges) and fewer.where("u >= 200").count() == 29
+def test_members_of_one_name_give_no_edge():
+    fps = np.array([0, 1, 3, 7, 0xFF, 0x1FF, 0xF << 40], dtype=np.uint64)
+    assert _linked_stars(fps, 3, np.full(7, 9)) == []
+    assert _linked_stars(fps, 3, np.array([4, 4, 5, 4, 6, 6, 4])) == [(5, 4)]
+
+
+def test_named_fingerprints_meet_between_names_only(spark):
+    rows = [(0, 10), (1, 10), (3, 20), (7, 20), (1 << 50, 10), (0xFFFF << 20, 30)]
+    got = met_pairs(spark.createDataFrame(rows, "fp long, name long")).distinct().collect()
+    assert {frozenset(r) for r in got} == {frozenset((10, 20))}
+
+
+def test_groups_of_several_fingerprints_equal_those_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    n, schemes = 120, tuple(Scheme(1, seed, True) for seed in range(5))
+    # each text is a near copy of an earlier one by one of its fingerprints, or of none
+    fps = rng.integers(-(2**63), 2**63 - 1, (n, len(schemes)))
+    for i in range(1, n):
+        if rng.random() < 0.7:
+            c = rng.integers(len(schemes))
+            flips = np.bitwise_xor.reduce(np.int64(1) << rng.choice(63, size=3, replace=False).astype(np.int64))
+            fps[i, c] = fps[rng.integers(i), c] ^ (flips if rng.random() < 0.8 else 0)
+    fps[80:, 0] = fps[0, 0] ^ (np.int64(1) << (np.arange(40) % 8))  # one large group
+    nodes = rng.permutation(n) * 7 - 200
+    near = (np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= 3).any(axis=2)
+    root = nodes.copy()
+    while True:
+        low = np.array([root[row].min() for row in near])
+        if (low == root).all():
+            break
+        root = low
+    texts = spark.createDataFrame([(int(x), *map(int, f)) for x, f in zip(nodes, fps, strict=True)], "node long, " + ", ".join(f"fp{i} long" for i in range(len(schemes))))
+    got = {r.node: r.root for r in proposed_groups(texts, schemes).collect()}
+    assert got == dict(zip(nodes.tolist(), root.tolist(), strict=True))
 
 
 def test_a_split_bucket_links_what_all_pairs_link():
