@@ -240,14 +240,12 @@ def proposed_groups(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
     """``node, root``: the groups that hold together all texts which one of the
     fingerprints ``fp0 ..`` links, each named by its smallest ``node``.
 
-    The first scheme's links make groups; the others, in batches that double, only
-    add links between different groups, so that a large group of near copies gives
-    its links once and not once for each scheme.  One scheme's variants are shuffled
-    after the other, so that the disk never holds those of all."""
+    The first scheme's links make groups; the others only add links between
+    different groups, so that a large group of near copies gives its links once and
+    not once for each scheme.  One scheme's variants are shuffled after the other,
+    so that the disk never holds those of all."""
     named = texts.withColumn("root", F.col("node"))
-    at = 0
-    while at < len(schemes):
-        batch = range(at, min(len(schemes), max(1, 2 * at)))
+    for batch in filter(len, (range(1), range(1, len(schemes)))):
         made = [F.struct(F.lit(i).alias("scheme"), F.col(f"fp{i}").alias("fp")) for i in batch]
         each = named.select("root", F.explode(F.array(*made)).alias("f")).select("root", "f.*").distinct()
         lows = materialize(each.groupBy("scheme", "fp").agg(F.min("root").alias("name"), F.count("*").alias("n")))
@@ -258,7 +256,6 @@ def proposed_groups(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
                 edges = edges.unionByName(materialize(met_pairs(lows.where(F.col("scheme") == i).select("fp", "name")).distinct()))
         merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
         named = materialize(named.join(merged, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
-        at = batch.stop
     return named.select("node", "root")
 
 
