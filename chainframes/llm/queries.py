@@ -5,6 +5,7 @@ from __future__ import annotations
 from .attribution import op7_token_counts
 from .chat import OP3_SQL, op3_chat
 from .fingerprint import op5_fingerprint
+from .html_text import op12_extract
 from .language import op6_language
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op1_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_search": op11_search,
+    "op12_extract": op12_extract,
     "op13_trie": op13_trie,
 }
 ORACLE_SQL = {
