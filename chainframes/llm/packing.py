@@ -47,9 +47,10 @@ class WholeTokenizer:
     """Ids and character spans as the ``tokenizers`` file gives them.
 
     A text in which an added token (such as an end mark) is spelled out goes
-    through ``tokenizers`` itself, which gives that token's id.  All others are
-    encoded by the ``tiktoken`` engine over the very vocabulary of the file,
-    several times as fast.  Each worker encodes its first CHECKED texts by both,
+    through ``tokenizers`` itself, which gives that token's id, and so does one
+    with a run of white space that the other engine's stack does not bear.  All
+    others are encoded by the ``tiktoken`` engine over the very vocabulary of the
+    file, several times as fast.  Each worker encodes its first CHECKED texts by both,
     and a difference is an error."""
 
     CHECKED = 100
@@ -58,6 +59,9 @@ class WholeTokenizer:
     #: never joins text across the front of that blank.
     STRETCH = 1 << 20
     _CUT = re.compile(r" (?=\S)")
+    #: Runs of white space from this length on are left to ``tokenizers``.
+    LONG_RUN = 100_000
+    _RUN = re.compile(r"\s{2,}+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -86,11 +90,14 @@ class WholeTokenizer:
             at = cut.start()
         yield at, text[at:]
 
-    def _spelled_out(self, text: str) -> bool:
+    def _left_out(self, text: str) -> bool:
+        """Whether the text is for ``tokenizers``."""
+        if len(text) >= self.LONG_RUN and any(m.end() - m.start() >= self.LONG_RUN for m in self._RUN.finditer(text)):
+            return True
         return any(t in text for t in self._added)
 
     def ids(self, text: str) -> np.ndarray:
-        if self._spelled_out(text):
+        if self._left_out(text):
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         parts = [np.array(self._engine.encode_ordinary(part), dtype="<u4") for _, part in self._stretches(text)]
         found = parts[0] if len(parts) == 1 else np.concatenate(parts)
@@ -103,7 +110,7 @@ class WholeTokenizer:
     def spans(self, text: str) -> np.ndarray:
         """(tokens, 2) starts and ends in code points.  A token that holds a part
         of a character's bytes spans that character."""
-        if self._spelled_out(text):
+        if self._left_out(text):
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
         found = []
         for at, part in self._stretches(text):
