@@ -92,12 +92,18 @@ def uint_text(word: Column) -> Column:
 
 
 def int_text(word: Column) -> Column:
-    """A signed 256-bit word as exact decimal text."""
+    """A signed 256-bit word as exact decimal text.  Numbers of up to 120 bits
+    stay in generated code; only longer ones are divided out."""
     negative = F.left(word, F.lit(1)) >= "8"
     flipped = F.translate(word, "0123456789abcdef", "fedcba9876543210")  # -x - 1
+    one = F.lit(1).cast("decimal(1,0)")
     # the magnitude is read through a one-element array so that it is made once
-    magnitude = F.array(F.when(negative, _plus_one(flipped)).otherwise(word))
-    return F.transform(magnitude, lambda w: F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), uint_text(w)))[0]
+    long = F.transform(F.array(F.when(negative, _plus_one(flipped)).otherwise(word)), _long_division)[0]
+    return (
+        F.when(F.left(word, F.lit(34)) == "0" * 34, _decimal_120(word).cast("string"))
+        .when(F.left(word, F.lit(34)) == "f" * 34, F.concat(F.lit("-"), (_decimal_120(flipped) + one).cast("string")))
+        .otherwise(F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), long))
+    )
 
 
 def _plus_one(word: Column) -> Column:
@@ -118,6 +124,28 @@ def sortable(word: Column, signed: bool = False) -> Column:
     return F.concat(F.translate(F.left(word, F.lit(1)), "0123456789abcdef", "89abcdef01234567"), F.substring(word, 2, WORD - 1))
 
 
+def number_key(word: Column, signed: bool = False) -> Column:
+    """A 256-bit word as 32 bytes that compare like the number it stands for:
+    the word itself, of signed numbers with the sign bit flipped."""
+    return F.unhex(sortable(word, signed))
+
+
+def key_bytes(number: int, signed: bool = False) -> bytes:
+    """The key of a number that fits."""
+    return (number + (1 << 255) if signed else number).to_bytes(32, "big")
+
+
+def number_word(number: Column) -> Column:
+    """A non-negative whole number of up to 38 digits (or its decimal text) as a
+    32-byte word."""
+    exact = number.cast("decimal(38,0)")
+    half, quarter = F.lit(1 << 64).cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(10,0)")
+    high = F.call_function("div", exact, half)
+    low = (exact % half).cast("decimal(20,0)")
+    parts = (high, 16), (F.call_function("div", low, quarter), 8), ((low % quarter).cast("bigint"), 8)
+    return F.lpad(F.concat(*[F.lpad(F.lower(F.hex(part)), digits, "0") for part, digits in parts]), WORD, "0")
+
+
 def decimal_key(text: Column) -> Column:
     """Exact decimal text of up to 78 digits as text that compares like the
     number: a digit for the sign, then the digits (of a negative number their

@@ -801,9 +801,9 @@ for _name, _where, _sql in (
 
 
 def wide(spark: SparkSession, d: str, solidity: str) -> DataFrame:
-    """Orders with a number of all 256 bits, stored as decimal text."""
+    """Orders with a number of all 256 bits: decimal text and its sortable key."""
     rows = O.table(spark, d, "orders").select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("data"))
-    out = D.decode_events(rows, (S.Param("amount", solidity),), ("o_orderkey",))
+    out = D.decode_events(rows, (S.Param("amount", solidity),), ("o_orderkey",), keys=True)
     return out.withColumnRenamed("o_orderkey", "id")
 
 
@@ -822,10 +822,26 @@ def where_lt_wide(spark, d):
     return t.where(Q.where_clause({"OR": [{"amount_lt": -(1 << 250)}, {"amount_gte": 1 << 254}]}, t.schema)).select("id")
 
 
+@query(f"SELECT id FROM {WIDE_SQL} WHERE s > '{(1 << 255) - (1 << 254):064x}' AND s < '{(1 << 255) + (1 << 252):064x}'")
+def where_beyond_wide(spark, d):
+    """Borders with fractions, and borders that no 256-bit number reaches."""
+    t = wide(spark, d, "int256")
+    inside = {"amount_gt": f"{-(1 << 254)}.25", "amount_gte": f"{1 - (1 << 254)}", "amount_lt": f"{(1 << 252) - 1}.5"}
+    beyond = {"amount_lt": 10**80, "amount_gt": f"-1{'0' * 90}", "amount_ne": 10**78, "amount_not_in": [10**79, "0.5"]}
+    return t.where(Q.where_clause({**inside, "AND": [beyond], "OR": [{"amount_gt": 10**78}, {"amount_lte": 10**78}]}, t.schema)).select("id")
+
+
+@query("SELECT id, part, value FROM tbl WHERE value > 4999999 AND value <= 5200000 AND supp <> 7")
+def where_fractions(spark, d):
+    t = events_table(spark, d)
+    where = {"value_gt": "4999999.5", "value_lt": 5200000.5, "supp_ne": 7, "part_ne": 3.5, "supp_not_in": [0.5, 10**30], "ref_in": None, "OR": [{"part": 2.5}, {"part_lt": 1e30}]}
+    return t.where(Q.where_clause(where, t.schema)).select("id", "part", "value")
+
+
 @query(f"SELECT id, row_number() OVER (ORDER BY s DESC, id DESC) AS place FROM {WIDE_SQL} ORDER BY place LIMIT 300")
 def order_wide(spark, d):
     page = Q.select_page(wide(spark, d, "int256"), order_by="amount", first=300)
-    return page.withColumn("place", F.row_number().over(Window.orderBy(*Q.ordering("amount", "DESC", True))).cast("bigint")).select("id", "place")
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*Q.ordering("amount", "DESC", page.schema))).cast("bigint")).select("id", "place")
 
 
 @query(f"SELECT id FROM {WIDE_SQL} WHERE w < '{1 << 254:064x}' ORDER BY w DESC, id DESC LIMIT 200")
@@ -877,7 +893,7 @@ def page_keyset(spark, d):
 
 
 @query("""SELECT max(has_next) AS has_next, arg_min(cursor, id) AS end_cursor, count(*) AS n FROM (
-SELECT id, (SELECT count(*) FROM tbl WHERE flag = 'A') > 40 AS has_next, to_base64(encode('{"v":' || id || ',"id":' || id || '}')) AS cursor
+SELECT id, (SELECT count(*) FROM tbl WHERE flag = 'A') > 40 AS has_next, to_base64(encode('{"v":"' || id || '","id":' || id || '}')) AS cursor
 FROM tbl WHERE flag = 'A' ORDER BY id DESC LIMIT 40)""")
 def page_info(spark, d):
     page = Q.query_table(events_table(spark, d), {"flag": "A"}, first=40)
@@ -886,7 +902,16 @@ def page_info(spark, d):
 
 @query("""SELECT id, to_base64(encode('{"v":"' || value || '","id":' || id || '}')) AS cursor FROM tbl""")
 def cursor_encode(spark, d):
-    return events_table(spark, d).select("id", Q.cursor_column("value").alias("cursor"))
+    t = events_table(spark, d)
+    return t.select("id", Q.cursor_column(t, "value").alias("cursor"))
+
+
+@query("""SELECT id, to_base64(encode('{"v":' || CASE WHEN ref IS NULL THEN 'null' ELSE '"' || ref || '"' END || ',"id":' || id || '}')) AS ref_cursor,
+ to_base64(encode('{"v":"0x' || lower(hex(flag)) || '","id":' || id || '}')) AS raw_cursor, to_base64(encode('{"v":"' || CASE WHEN active THEN 'true' ELSE 'false' END || '","id":' || id || '}')) AS bool_cursor FROM tbl""")
+def cursor_kinds(spark, d):
+    """Cursors of columns with nulls, of bytes and of truth values."""
+    t = events_table(spark, d).withColumn("raw", F.col("flag").cast("binary"))
+    return t.select("id", *[Q.cursor_column(t, c).alias(n) for c, n in (("ref", "ref_cursor"), ("raw", "raw_cursor"), ("active", "bool_cursor"))])
 
 
 @query("""SELECT CAST(id AS VARCHAR) AS id, CAST(value AS VARCHAR) AS value, tx_index, active, '0x' || lower(hex(flag)) AS raw FROM tbl""")

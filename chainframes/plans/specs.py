@@ -122,6 +122,15 @@ def column_metadata(solidity: str) -> dict:
     return NUMERIC if sql_kind(solidity) == "numeric" else {}
 
 
+def key_name(column: str) -> str:
+    """The sortable key that stands beside a column of numbers beyond 64 bits."""
+    return f"{column}_w"
+
+
+def key_metadata(column: str, solidity: str = "uint256") -> dict:
+    return {"key_of": column, "signed": solidity.startswith("int")}
+
+
 # -- entries -----------------------------------------------------------------
 
 
@@ -262,20 +271,30 @@ def context_fields(entry: EventSpec | CallSpec | TransferSpec) -> tuple[str, ...
 
 
 def table_schema(entry: EventSpec | CallSpec | TransferSpec) -> T.StructType:
-    """The columns of an entry's table."""
+    """The columns of an entry's table.  Numbers beyond 64 bits are decimal text
+    with a 32-byte key behind it, by which they are filtered and sorted."""
     fields = [("id", "bigint"), ("block_number", "bigint"), ("tx_hash", "string"), ("tx_index", "int")]
     if isinstance(entry, EventSpec):
         fields += [("log_index", "int"), ("contract_address", "string")]
     fields += [(name, CONTEXT_FIELDS[name]) for name in context_fields(entry)]
     if isinstance(entry, TransferSpec):
         fields += [("from_address", "string"), ("to_address", "string"), ("value", "string")]
-    numeric = ("tx_value", "value")
-    schema = T.StructType([T.StructField(name, _DDL[kind], name == "tx_to", NUMERIC if name in numeric else None) for name, kind in fields])
-    if isinstance(entry, TransferSpec):
-        return schema
-    column_names([p.name for p in entry.params if not p.column])
-    for p in entry.params:
-        schema = schema.add(p.out, T.BinaryType() if p.hashed else spark_type(p.type), False, {} if p.hashed else column_metadata(p.type))
+    schema = T.StructType()
+
+    def add(name: str, kind: T.DataType, solidity: str | None, nullable: bool = False) -> None:
+        nonlocal schema
+        schema = schema.add(name, kind, nullable, NUMERIC if solidity else None)
+        if solidity:
+            schema = schema.add(key_name(name), T.BinaryType(), nullable, key_metadata(name, solidity))
+
+    for name, kind in fields:
+        add(name, _DDL[kind], "uint256" if name in ("tx_value", "value") else None, name == "tx_to")
+    if not isinstance(entry, TransferSpec):
+        column_names([p.name for p in entry.params if not p.column])
+        for p in entry.params:
+            add(p.out, T.BinaryType() if p.hashed else spark_type(p.type), p.type if column_metadata(p.type) and not p.hashed else None)
+    if len(set(schema.fieldNames())) < len(schema):
+        raise SpecError(f"two columns of {entry.table!r} have one name: {schema.fieldNames()}")
     return schema
 
 

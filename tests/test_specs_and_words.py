@@ -53,7 +53,7 @@ def event(**more):
 
 def test_schemas_and_context():
     schema = S.table_schema(event(context=("block_timestamp",), include_receipts=True))
-    assert schema.fieldNames() == ["id", "block_number", "tx_hash", "tx_index", "log_index", "contract_address", "block_timestamp", "tx_gas_used", "tx_nonce", "cumulative_gas_used", "tx_status", "from", "value"]
+    assert schema.fieldNames() == ["id", "block_number", "tx_hash", "tx_index", "log_index", "contract_address", "block_timestamp", "tx_gas_used", "tx_nonce", "cumulative_gas_used", "tx_status", "from", "value", "value_w"]
     assert S.table_key(event()) == ("contract_address", "block_number", "tx_index", "log_index") and S.table_key(S.TransferSpec("t")) == ("block_number", "tx_index")
     with pytest.raises(S.SpecError):
         S.context_fields(event(context=("nope",)))
