@@ -139,7 +139,7 @@ def number_word(number: Column) -> Column:
     """A non-negative whole number of up to 38 digits (or its decimal text) as a
     32-byte word."""
     exact = number.cast("decimal(38,0)")
-    half, quarter = F.lit(1 << 64).cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(10,0)")
+    half, quarter = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(10,0)")
     high = F.call_function("div", exact, half)
     low = (exact % half).cast("decimal(20,0)")
     parts = (high, 16), (F.call_function("div", low, quarter), 8), ((low % quarter).cast("bigint"), 8)

@@ -6,11 +6,12 @@ check; discovered children grow with the chain and never are by force.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainframes.functions import words as W
 from chainframes.plans.specs import CallSpec, EventSpec, FactorySpec, TransferSpec, bare
 
 #: Spec tables up to so many rows are sent to every executor.
@@ -54,6 +55,35 @@ def event_logs(logs: DataFrame, registry: DataFrame, spec: EventSpec, rows: int
     return log_contracts(found, registry.where(F.col("contract") == spec.contract), rows)
 
 
+def entry_logs(logs: DataFrame, registry: DataFrame, entries: Sequence[EventSpec]) -> DataFrame:
+    """Logs of all entries in one pass, once per ``table`` that wants them.
+
+    ``registry`` (``address, contract, created_block``) may have as many children
+    as the chain; entries are few.  A child's logs count from its creation on.
+    Topic filters are each entry's own."""
+    spark = logs.sparkSession
+    selectors = sorted({e.selector for e in entries})
+    wanted = logs.where(F.col("topic0").isin(selectors)) if len(selectors) <= LONG_LIST else logs.where(F.col("topic0").isNotNull())
+    routing = spark.createDataFrame([(e.contract, e.selector, e.table) for e in entries], "contract string, topic0 string, table string")
+    own = wanted.join(registry, "address").where(F.col("block_number") >= F.col("created_block"))
+    rows = own.join(small(routing, len(entries)), ["contract", "topic0"])
+    for e in entries:
+        if e.topic_filters:
+            rows = rows.where((F.col("table") != e.table) | topic_filter(e))
+    return rows
+
+
+def entry_calls(txs: DataFrame, registry: DataFrame, entries: Sequence[CallSpec]) -> DataFrame:
+    """As ``entry_logs``, for successful calls."""
+    spark = txs.sparkSession
+    routing = spark.createDataFrame([(e.contract, e.selector, e.table) for e in entries], "contract string, selector string, table string")
+    wanted = txs.where((F.length("input") >= 8) & F.col("tx_to").isNotNull() & F.col("success")).withColumn("selector", F.substring("input", 1, 8))
+    selectors = sorted({e.selector for e in entries})
+    wanted = wanted.where(F.col("selector").isin(selectors)) if len(selectors) <= LONG_LIST else wanted
+    own = wanted.join(registry.withColumnRenamed("address", "tx_to"), "tx_to").where(F.col("block_number") >= F.col("created_block"))
+    return own.join(small(routing, len(entries)), ["contract", "selector"]).withColumn("address", F.col("tx_to"))
+
+
 # -- blooms ------------------------------------------------------------------
 
 
@@ -89,15 +119,21 @@ def prune_logs(logs: DataFrame, kept_blocks: DataFrame) -> DataFrame:
 
 def factory_children(logs: DataFrame, specs: Iterable[FactorySpec]) -> DataFrame:
     """Announced children, first announcement per address:
-    ``contract, address, created_block``."""
-    found = None
+    ``contract, address, created_block``.  All factories are met in one join."""
+    specs = list(specs)
     for spec in specs:
-        one = logs.where((F.col("address") == bare(spec.address)) & (F.col("topic0") == spec.selector)).select(
-            F.lit(spec.child).alias("contract"), F.right(spec.word(), F.lit(40)).alias("address"), "block_number", "tx_index", "log_index"
-        )
-        found = one if found is None else found.unionByName(one)
+        spec.word()  # an address
+    rows = [(bare(s.address), s.selector, s.child, *s.place()) for s in specs]
+    factories = logs.sparkSession.createDataFrame(rows, "address string, topic0 string, __child string, __topic int, __word int")
+    made = logs.where(F.col("topic0").isin([*{s.selector for s in specs}])).join(small(factories, len(rows)), ["address", "topic0"])
+    places = sorted({s.place() for s in specs})
+    word = F.lit(None).cast("string")
+    for topic, at in places:
+        own = F.col(f"topic{topic}") if topic else W.word_at(F.col("data"), at)
+        word = F.when((F.col("__topic") == topic) & (F.col("__word") == at), own).otherwise(word)
+    found = made.select(F.col("__child").alias("contract"), F.right(word, F.lit(40)).alias("address"), "block_number", "tx_index", "log_index")
     first = F.min(F.struct("block_number", "tx_index", "log_index", "contract")).alias("first")
-    return found.groupBy("address").agg(first).select("first.contract", "address", F.col("first.block_number").alias("created_block"))
+    return found.where(F.length("address") == 40).groupBy("address").agg(first).select("first.contract", "address", F.col("first.block_number").alias("created_block"))
 
 
 def registry_union(static: DataFrame, children: DataFrame) -> DataFrame:

@@ -1,9 +1,7 @@
 """Append-only output tables that survive replays and reorganisations.
 
-A batch writes ``epoch=<n>`` directories in overwrite mode, so replaying it
-changes nothing; a progress row written last makes the epoch visible.  A
-rollback is a row ``(epoch, ancestor)`` that hides older rows above the
-ancestor; compaction rewrites what is visible.
+Progress rows ``(epoch, max_block)`` say what is done; a rollback is a row
+``(epoch, ancestor)`` that hides older rows above the ancestor.
 """
 
 from __future__ import annotations
@@ -16,7 +14,6 @@ from pyspark.sql import types as T
 
 from chainframes.operators.flatten import first_per_key
 from chainframes.operators.match import small
-from chainframes.sources.scan import bucket
 
 
 def new_rows(new: DataFrame, existing: DataFrame, key: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -50,9 +47,22 @@ def current_hashes(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("block_number").agg(F.max_by("block_hash", "epoch").alias("block_hash"))
 
 
-def checkpoint(progress: DataFrame) -> DataFrame:
-    """The checkpoint never goes back: the largest block of any progress row."""
-    return progress.agg(F.max("max_block").alias("checkpoint"))
+def left_of(progress: DataFrame, rollbacks: DataFrame | None) -> DataFrame:
+    """Progress rows with ``max_block`` lowered to what later rollbacks have left;
+    one row per epoch, so that a window over them is small."""
+    if rollbacks is None:
+        return progress
+    marks = progress.select("epoch", "max_block", F.lit(None).cast("bigint").alias("ancestor")).unionByName(
+        rollbacks.select(F.col("epoch").cast("bigint").alias("epoch"), F.lit(None).cast("bigint").alias("max_block"), "ancestor")
+    )
+    later = Window.orderBy(F.desc("epoch")).rangeBetween(Window.unboundedPreceding, -1)
+    limited = marks.withColumn("limit", F.min("ancestor").over(later)).where("max_block is not null")
+    return limited.select("epoch", F.least("max_block", "limit").alias("max_block"))
+
+
+def checkpoint(progress: DataFrame, rollbacks: DataFrame | None = None) -> DataFrame:
+    """The largest block of any progress row; after a rollback, of what it left."""
+    return left_of(progress, rollbacks).agg(F.max("max_block").alias("checkpoint"))
 
 
 def fan_out(rows: DataFrame, routing: DataFrame, routes: int | None = None) -> DataFrame:
@@ -70,27 +80,3 @@ def create_table(spark: SparkSession, name: str, schema: T.StructType) -> None:
 def recreate_table(spark: SparkSession, name: str, schema: T.StructType) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     create_table(spark, name, schema)
-
-
-class EpochTable:
-    """One output table as a folder of epochs."""
-
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str]):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), list(key)
-
-    def write(self, rows: DataFrame, epoch: int) -> None:
-        out = rows.withColumn("block_bucket", bucket(F.col("block_number")))
-        out.write.mode("overwrite").partitionBy("block_bucket").parquet(f"{self.path}/epoch={epoch}")
-
-    def read(self, schema: T.StructType, progress: DataFrame, rollbacks: DataFrame) -> DataFrame:
-        """Visible rows; of rows with one key the earliest epoch's."""
-        full = T.StructType([*schema, T.StructField("block_bucket", T.LongType()), T.StructField("epoch", T.LongType())])
-        rows = self.spark.read.schema(full).option("basePath", self.path).parquet(self.path)
-        done = rows.join(progress.select("epoch").distinct(), "epoch", "left_semi")
-        shown = visible(done, rollbacks, progress)
-        return first_per_key(shown, self.key, ["epoch"]).select(*[f.name for f in schema])
-
-    def compact(self, schema: T.StructType, progress: DataFrame, rollbacks: DataFrame, path: str) -> None:
-        """Rewrites the visible rows as one epoch, clustered by block."""
-        rows = self.read(schema, progress, rollbacks).withColumn("block_bucket", bucket(F.col("block_number")))
-        rows.repartition("block_bucket").sortWithinPartitions("block_number").write.mode("overwrite").partitionBy("block_bucket").parquet(f"{path}/epoch=0")

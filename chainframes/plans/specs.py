@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainframes.functions import words as W
+from chainframes.functions.keccak import bloom_positions
 
 #: Columns of the output tables that a parameter may not be called (fixed values).
 RESERVED_COLUMNS = (
@@ -210,6 +211,15 @@ class FactorySpec:
             topic, body = topic + p.indexed, body + (not p.indexed)
         raise SpecError(f"no parameter {self.child_param!r}")
 
+    def place(self) -> tuple[int, int]:
+        """The topic that holds the announced address, or 0 and the word in the data."""
+        topic, body = 1, 0
+        for p in self.params:
+            if p.name == self.child_param:
+                return (topic, 0) if p.indexed else (0, body)
+            topic, body = topic + p.indexed, body + (not p.indexed)
+        raise SpecError(f"no parameter {self.child_param!r}")
+
 
 @dataclass(frozen=True)
 class ContractSpec:
@@ -233,7 +243,12 @@ class IndexSpec:
     def bloom_usable(self) -> bool:
         """Blocks may be skipped by their bloom only if nothing but events of
         contracts with known addresses is wanted."""
-        return not (self.transfers or self.calls or self.factories) and any(c.address for c in self.contracts)
+        return not (self.transfers or self.calls or self.factories) and bool(self.bloom_bits())
+
+    def bloom_bits(self) -> list[tuple[int, int, int]]:
+        """What the configured addresses set in a block's bloom; the zero address
+        is no contract."""
+        return [bloom_positions(c.address) for c in self.contracts if c.address and set(bare(c.address)) != {"0"}]
 
     def registry(self, spark: SparkSession) -> DataFrame:
         """address -> contract, of the configured contracts."""

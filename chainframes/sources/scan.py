@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainframes.operators.tables import left_of
+
 #: Blocks per partition directory of the chain tables and output tables.
 BUCKET_BLOCKS = 100_000
 
@@ -26,18 +28,20 @@ def read_range(spark: SparkSession, path: str, start: int, end: int) -> DataFram
     return block_range(spark.read.parquet(path), start, end)
 
 
-def resume_range(progress: DataFrame, start: int, end: int) -> DataFrame:
+def resume_range(progress: DataFrame, start: int, end: int, rollbacks: DataFrame | None = None) -> DataFrame:
     """One row ``from_block, to_block``: what is left of a run after the largest
-    block in ``progress(max_block)``.  No row if nothing is left; a checkpoint
-    of 0 (or none) means nothing was done yet."""
+    block in ``progress(epoch, max_block)`` that no later rollback ``(epoch,
+    ancestor)`` has undone.  No row if nothing is left; a checkpoint of 0 (or
+    none) means nothing was done yet."""
     done = F.coalesce(F.max("max_block"), F.lit(0))
     return (
-        progress.agg(done.alias("done"))
+        left_of(progress, rollbacks)
+        .agg(done.alias("done"))
         .select(F.when(F.col("done") >= start, F.col("done") + 1).otherwise(F.lit(start)).cast("bigint").alias("from_block"), F.lit(end).cast("bigint").alias("to_block"))
         .where("from_block <= to_block")
     )
 
 
-def meta_block(progress: DataFrame) -> DataFrame:
+def meta_block(progress: DataFrame, rollbacks: DataFrame | None = None) -> DataFrame:
     """The current checkpoint as text."""
-    return progress.agg(F.max("max_block").cast("string").alias("block"))
+    return left_of(progress, rollbacks).agg(F.max("max_block").cast("string").alias("block"))

@@ -80,23 +80,6 @@ def test_append_twice_adds_once(spark):
     assert T.new_rows(rows, once, ["block_number", "tx_index"], ["v"]).count() == 0
 
 
-def test_epoch_table(spark, tmp_path):
-    schema = S.T.StructType.fromDDL("block_number bigint, v string")
-    store = T.EpochTable(spark, str(tmp_path / "t"), ("block_number",))
-    frame = lambda *rows: spark.createDataFrame(list(rows), "block_number long, v string")
-    for epoch, rows in enumerate([[(1, "a"), (2, "a")], [(2, "b"), (3, "b")], [(3, "c")], [(9, "unfinished")]]):
-        store.write(frame(*rows), epoch)
-    store.write(frame((1, "a"), (2, "a")), 0)  # a replay
-    done = spark.createDataFrame([(0,), (1,), (2,)], "epoch long")
-    none = spark.createDataFrame([], "epoch long, ancestor long")
-    read = lambda back: sorted((r.block_number, r.v) for r in store.read(schema, done, back).collect())
-    assert read(none) == [(1, "a"), (2, "a"), (3, "b")]
-    back = spark.createDataFrame([(2, 2)], "epoch long, ancestor long")
-    assert read(back) == [(1, "a"), (2, "a"), (3, "c")]
-    store.compact(schema, done, back, str(tmp_path / "compact"))
-    assert T.EpochTable(spark, str(tmp_path / "compact"), ("block_number",)).read(schema, done, none).count() == 3
-
-
 def test_hidden_rows_are_found_without_a_nested_loop(spark):
     rows = spark.createDataFrame([(e, b) for e in range(6) for b in range(8)], "epoch long, block_number long")
     back = spark.createDataFrame([(2, 5), (4, 3), (4, 3), (5, 6), (9, 7)], "epoch long, ancestor long")
@@ -118,11 +101,15 @@ def test_tables_are_made_and_made_anew(spark):
 
 
 def test_resume(spark):
-    rows = lambda *b: spark.createDataFrame([(x,) for x in b], "max_block long")
+    rows = lambda *b: spark.createDataFrame([(i, x) for i, x in enumerate(b)], "epoch long, max_block long")
     left = lambda p, a, b: [tuple(r) for r in SC.resume_range(p, a, b).collect()]
     assert left(rows(), 10, 20) == [(10, 20)] and left(rows(5), 10, 20) == [(10, 20)]
     assert left(rows(15, 12), 10, 20) == [(16, 20)] and left(rows(20), 10, 20) == [] and left(rows(0), 0, 3) == [(1, 3)]
     assert T.checkpoint(rows(100, 50)).first()[0] == 100
+    back = spark.createDataFrame([(2, 12)], "epoch long, ancestor long")
+    assert T.checkpoint(rows(10, 15), back).first()[0] == 12 and T.checkpoint(rows(10, 15, 14), back).first()[0] == 14
+    assert [tuple(r) for r in SC.resume_range(rows(10, 15), 0, 20, back).collect()] == [(13, 20)]
+    assert SC.meta_block(rows(9, 5), back).first()[0] == "9" and SC.meta_block(rows(), back).first()[0] is None
 
 
 def test_reorg_operators(spark):
