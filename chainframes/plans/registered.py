@@ -128,8 +128,11 @@ def block_range_scan(spark, d):
 
 @query("SELECT min(block_number) AS effective_start FROM txs WHERE tx_to IN (SELECT lpad(lower(hex(8192 + i)), 40, '0') FROM range(10) r(i))")
 def effective_start(spark, d):
+    """The contracts' start blocks are those of the first transactions to them."""
     first = O.txs(spark, d).where(M.address_in("tx_to", [c.address for c in CONTRACTS])).groupBy("tx_to").agg(F.min("block_number").alias("start_block"))
-    return first.agg(F.min("start_block").alias("effective_start"))
+    starts = {r["tx_to"]: r["start_block"] for r in first.collect()}  # a row per contract of the spec
+    spec = S.IndexSpec(tuple(S.ContractSpec(c.name, c.address, starts[c.address]) for c in CONTRACTS if c.address in starts))
+    return spark.createDataFrame([(spec.effective_start(),)], "effective_start bigint")
 
 
 @query(f"SELECT max(max_block) + 1 AS from_block, CAST(21003000 AS BIGINT) AS to_block FROM {PROGRESS_SQL} HAVING max(max_block) + 1 <= 21003000")
@@ -147,6 +150,33 @@ def meta_block(spark, d):
     return SC.meta_block(progress(spark, d))
 
 
+#: After the epoch of block 21001000 the chain went back to 21000450, after that of 21001600 to 21000910.
+BACK = [(210010, 21_000_450), (210016, 21_000_910)]
+BACK_SQL = f"""(SELECT max(CASE WHEN epoch < 210010 THEN least(max_block, 21000450) WHEN epoch < 210016 THEN least(max_block, 21000910) ELSE max_block END) AS done
+  FROM {PROGRESS_SQL} WHERE epoch < 210017)"""
+
+
+def undone(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Progress up to the second rollback, and the rollbacks."""
+    return progress(spark, d).where("epoch < 210017"), spark.createDataFrame(BACK, "epoch bigint, ancestor bigint")
+
+
+@query(f"SELECT done + 1 AS from_block, CAST(21003000 AS BIGINT) AS to_block FROM {BACK_SQL}")
+def resume_after_rollback(spark, d):
+    rows, back = undone(spark, d)
+    return SC.resume_range(rows, 21_000_000, 21_003_000, back)
+
+
+@query(f"SELECT CAST(done AS VARCHAR) AS block FROM {BACK_SQL}")
+def meta_after_rollback(spark, d):
+    return SC.meta_block(*undone(spark, d))
+
+
+@query(f"SELECT done AS checkpoint FROM {BACK_SQL}")
+def checkpoint_after_rollback(spark, d):
+    return T.checkpoint(*undone(spark, d))
+
+
 @query("SELECT max(block_number) AS block_number, max(block_timestamp) AS block_timestamp FROM blocks")
 def latest_block(spark, d):
     return O.blocks(spark, d).agg(F.max("block_number").alias("block_number"), F.max_by("block_timestamp", "block_number").alias("block_timestamp"))
@@ -201,27 +231,10 @@ def reorg_status(spark, d):
 # -- flatten and positions --------------------------------------------------------
 
 
-def nested_blocks(spark: SparkSession, d: str) -> DataFrame:
-    entry = F.struct("log_index", "l_partkey", "l_suppkey", "cents", "l_returnflag")
-    per_tx = O.logs(spark, d).groupBy("tx_hash").agg(F.sort_array(F.collect_list(entry)).alias("logs"))
-    t = O.txs(spark, d).select("block_number", "tx_index", "tx_hash", "success", "cumulative_gas_used").join(per_tx, "tx_hash", "left")
-    body = F.transform(
-        F.coalesce("logs", F.array().cast("array<struct<log_index:int,l_partkey:bigint,l_suppkey:bigint,cents:bigint,l_returnflag:string>>")),
-        lambda x: F.struct(x["l_partkey"].alias("l_partkey"), x["l_suppkey"].alias("l_suppkey"), x["cents"].alias("cents")),
-    )
-    t = t.withColumn("receipt", F.struct("success", "cumulative_gas_used", body.alias("logs")))
-    blocks = t.groupBy("block_number").agg(F.sort_array(F.collect_list(F.struct("tx_index", "tx_hash", "receipt"))).alias("all"))
-    return blocks.select(
-        "block_number",
-        F.transform("all", lambda x: F.struct(x["tx_hash"].alias("tx_hash"))).alias("transactions"),
-        F.transform("all", lambda x: x["receipt"]).alias("receipts"),
-    )
-
-
 @query("""SELECT block_number, tx_hash, tx_index, CAST(row_number() OVER (PARTITION BY block_number, tx_index
             ORDER BY log_index, l_partkey, l_suppkey, cents, l_returnflag) - 1 AS INT) AS log_index, l_partkey, l_suppkey, cents FROM logs""")
 def flatten_logs(spark, d):
-    return FL.flatten_logs(nested_blocks(spark, d))
+    return FL.flatten_logs(O.nested_blocks(spark, d))
 
 
 @query("SELECT block_number, count(*) AS n FROM logs WHERE block_number % 50 <> 0 GROUP BY 1")
@@ -296,28 +309,13 @@ def topic_encode(spark, d):
     ).distinct()
 
 
-def bloom_bits(address):
-    """A stand-in for the three bit positions of an address."""
-    h = F.sha2(address, 256)
-    return [F.conv(F.substring(h, 1 + 4 * i, 4), 16, 10).cast("int") % 2048 for i in range(3)]
-
-
-def with_bloom(blocks: DataFrame, logs: DataFrame) -> DataFrame:
-    bits = logs.select("block_number", "address").distinct().select("block_number", F.explode(F.array(*bloom_bits(F.col("address")))).alias("bit"))
-    masks = bits.groupBy("block_number", (255 - F.floor(F.col("bit") / 8)).cast("int").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("bit") % 8).cast("int")).alias("mask"))
-    rows = masks.groupBy("block_number").agg(F.map_from_entries(F.collect_list(F.struct("byte", "mask"))).alias("m"))
-    bloom = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0))), 2, "0")), ""))
-    return blocks.join(rows, "block_number", "left").withColumn("logs_bloom", bloom).drop("m")
-
-
 @query("SELECT block_number, count(*) AS n FROM logs WHERE contract IN ('c1', 'c4') GROUP BY 1")
 def bloom_prune(spark, d):
+    """Real bit positions: blooms are built from every log's address."""
     logs = O.logs(spark, d)
-    wanted = [CONTRACTS[1], CONTRACTS[4]]
-    literal = spark.createDataFrame([(c.address,) for c in wanted], "address string").select(*bloom_bits(F.col("address"))).collect()
-    kept = M.bloom_blocks(with_bloom(O.blocks(spark, d), logs), [tuple(r) for r in literal])
-    registry = SPEC.registry(spark).where(F.col("contract").isin([c.name for c in wanted]))
-    return M.log_contracts(M.prune_logs(logs, kept), registry, 2).groupBy("block_number").agg(F.count("*").alias("n"))
+    spec = S.IndexSpec((CONTRACTS[1], CONTRACTS[4]), tuple(e for e in EVENTS if e.contract in ("c1", "c4")))
+    kept = M.bloom_blocks(O.with_bloom(O.blocks(spark, d), logs), spec.bloom_bits())
+    return M.log_contracts(M.prune_logs(logs, kept), spec.registry(spark), 2).groupBy("block_number").agg(F.count("*").alias("n"))
 
 
 @query("SELECT contract, block_number, tx_index, log_index, l_partkey, l_suppkey, cents FROM logs WHERE contract IS NOT NULL")
@@ -608,11 +606,11 @@ def idempotent_append(spark, d):
     return added.select(*KEY, F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("cents").alias("value"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM logs WHERE l_orderkey % 5 <> 0")
+@query("""SELECT count(*) AS n, CAST(sum(value) AS BIGINT) AS cents FROM tbl t
+WHERE (block_number, tx_index) NOT IN (SELECT (block_number, tx_index) FROM txs WHERE o_orderkey % 5 = 0)""")
 def conflict_skip(spark, d):
-    rows = O.logs(spark, d)
-    stored = rows.where("l_orderkey % 5 = 0").select(*KEY).distinct()
-    return rows.join(stored, KEY, "left_anti").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    stored = O.logs(spark, d).where("l_orderkey % 5 = 0").select(*KEY).distinct()
+    return T.new_rows(keyed_logs(spark, d), stored, KEY, ORDER).agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
 @query(f"SELECT block_number, tx_index, value FROM txs WHERE {MOVED} AND block_number % 4 <> 0")
@@ -917,3 +915,84 @@ def cursor_kinds(spark, d):
 @query("""SELECT CAST(id AS VARCHAR) AS id, CAST(value AS VARCHAR) AS value, tx_index, active, '0x' || lower(hex(flag)) AS raw FROM tbl""")
 def api_projection(spark, d):
     return Q.api_projection(events_table(spark, d).select("id", "value", "tx_index", "active", F.col("flag").cast("binary").alias("raw")))
+
+
+# -- the whole index -----------------------------------------------------------------------------
+
+TOLD = tuple(
+    S.EventSpec(e.contract, e.event, e.selector, e.params, e.table, context=("tx_from", "tx_value") if e.event == "Transfer" else (), include_receipts=e.event == "Approval") for e in EVENTS
+)
+CHILD = S.EventSpec("child", "Transfer", O.TRANSFER, PARAMS, "child_transfers")
+WHOLE = S.IndexSpec(CONTRACTS, (*TOLD, CHILD), (CALL,), (S.TransferSpec("moves", context=("block_timestamp",)),), (FACTORY,))
+
+
+def followed(spark: SparkSession, d: str):
+    """An index of all blocks in four stretches, the second of them delivered
+    twice, and after that another fork of the last three blocks, without logs."""
+    from chainframes.streaming.follow import Index
+
+    index = Index(spark, SC.working_dir(spark), WHOLE)
+    blocks, logs, txs = O.blocks(spark, d).persist(), O.logs(spark, d).persist(), O.txs(spark, d).persist()
+    span = blocks.agg(F.min("block_number").alias("a"), F.max("block_number").alias("b")).first()
+    step = (span["b"] - span["a"]) // 4 + 1
+    stretch = lambda df, i: df.where(F.col("block_number").between(span["a"] + i * step, span["a"] + (i + 1) * step - 1))
+    try:
+        for epoch, i in enumerate((0, 1, 1, 2, 3)):
+            index.process(stretch(blocks, i), stretch(logs, i), epoch, True, stretch(txs, i))
+        top = [r["block_number"] for r in blocks.orderBy(F.desc("block_number")).limit(3).collect()]
+        fork = blocks.where(F.col("block_number").isin(top)).withColumn("block_hash", F.concat(F.lit("x"), "block_hash"))
+        fork = fork.withColumn("parent_hash", F.when(F.col("block_number") == min(top), F.col("parent_hash")).otherwise(F.concat(F.lit("x"), "parent_hash")))
+        index.process(fork, logs.limit(0), 5, False, txs.limit(0))
+    finally:
+        for df in (blocks, logs, txs):
+            df.unpersist()
+    return index
+
+
+STAYS = "block_number < (SELECT min(block_number) FROM (SELECT block_number FROM blocks ORDER BY 1 DESC LIMIT 3))"
+INDEXED = f"""(SELECT l.*, t.tx_from, t.value AS moved, t.gas, '0x' || lpad(lower(hex(l_partkey)), 40, '0') AS source, '0x' || lpad(lower(hex(l_suppkey)), 40, '0') AS target
+ FROM (SELECT l.*, CASE WHEN contract IS NOT NULL THEN contract WHEN created_block IS NOT NULL THEN 'child' END AS owner, coalesce(contract, CAST(l_partkey AS VARCHAR)) AS address
+       FROM logs l LEFT JOIN made ON l.contract IS NULL AND child = 65536 + l_partkey AND l_returnflag = 'A' AND l_suppkey % 10 >= 8 AND l.block_number >= created_block) l
+ JOIN txs t ON l_orderkey = o_orderkey WHERE event IS NOT NULL AND owner IS NOT NULL AND (owner <> 'child' OR event = 'Transfer') AND l.{STAYS}
+ QUALIFY row_number() OVER (PARTITION BY address, l.block_number, l.tx_index, log_index, event ORDER BY source, target, CAST(cents AS VARCHAR)) = 1)"""
+
+
+@query(f"""SELECT owner || '_' || lower(event) || 's' AS "table", block_number * 4294967296 + tx_index * 65536 + log_index AS id, source AS "from", target AS "to", CAST(cents AS VARCHAR) AS value,
+ CASE WHEN event = 'Transfer' AND owner <> 'child' THEN tx_from END AS tx_from, CASE WHEN event = 'Transfer' AND owner <> 'child' THEN CAST(moved AS VARCHAR) END AS tx_value,
+ CASE WHEN event = 'Approval' THEN CAST(gas AS BIGINT) END AS tx_gas_used FROM {INDEXED}
+UNION ALL SELECT 'moves', block_number * 4294967296 + tx_index * 65536, '0x' || tx_from, '0x' || tx_to, CAST(value AS VARCHAR), NULL, NULL, NULL FROM txs WHERE {MOVED} AND {STAYS}
+UNION ALL SELECT 'c0_calls', block_number * 4294967296 + tx_index * 65536, NULL, '0x' || lpad(lower(hex(o_custkey)), 40, '0'), CAST(total_cents AS VARCHAR), NULL, NULL, NULL
+ FROM txs WHERE {CALLED} AND o_orderkey % 12 = 0 AND {STAYS}""")
+def index_rows(spark, d):
+    """All tables of an index after batches, a redelivered one and a reorganisation."""
+    index = followed(spark, d)
+    out = None
+    for e in index.entries():
+        rows = index.table(e.table).withColumn("table", F.lit(e.table))
+        if isinstance(e, S.TransferSpec):
+            rows = rows.select("*", F.concat(F.lit("0x"), "from_address").alias("from"), F.concat(F.lit("0x"), "to_address").alias("to"))
+        elif isinstance(e, S.CallSpec):
+            rows = rows.withColumnRenamed("amount", "value")
+        wanted = {"from": "string", "tx_from": "string", "tx_value": "string", "tx_gas_used": "bigint"}
+        rows = rows.select("table", "id", *[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in wanted.items()], "to", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT block_number, CASE WHEN " + STAYS + " THEN '' ELSE 'x' END || block_hash AS block_hash FROM blocks")
+def index_hashes(spark, d):
+    """The stored hashes after a reorganisation."""
+    return followed(spark, d).hashes()
+
+
+@query(f"""SELECT 'blocks' AS counter, CAST((SELECT count(*) FROM blocks) + n + 3 AS BIGINT) AS n FROM second
+UNION ALL SELECT 'checkpoint', max(block_number) FROM blocks UNION ALL SELECT 'rollbacks', 1
+UNION ALL SELECT 'transfers_stored', count(*) FROM txs WHERE {MOVED} UNION ALL SELECT 'calls_stored', count(*) FROM txs WHERE {CALLED} AND o_orderkey % 12 = 0
+UNION ALL SELECT 'events_stored', count(*) FROM {INDEXED.replace(f"AND l.{STAYS}", "")} UNION ALL SELECT 'undecodable', 0""".replace("FROM second", """FROM (SELECT count(*) AS n FROM blocks,
+ (SELECT min(block_number) AS a, (max(block_number) - min(block_number)) // 4 + 1 AS step FROM blocks) WHERE block_number BETWEEN a + step AND a + 2 * step - 1)"""))
+def index_totals(spark, d):
+    """What an index observed while its batches ran."""
+    index = followed(spark, d)
+    c = index.counters
+    rows = [(k, getattr(c, k)) for k in ("blocks", "rollbacks", "transfers_stored", "calls_stored", "events_stored")]
+    return spark.createDataFrame([*rows, ("checkpoint", index.checkpoint()), ("undecodable", sum(c.undecodable.values()))], "counter string, n bigint")

@@ -6,9 +6,14 @@ in FIXTURES.md, section 2.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainframes.functions.keccak import bloom_positions
+
 TRANSFER = "ddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
 APPROVAL = "8c" * 32
 CREATED = "fc" * 32
@@ -90,3 +95,40 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag",
         cents.alias("cents"),
     )
+
+
+def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        bits = [bloom_positions(a) for a in batch["address"]]
+        yield pd.DataFrame({"address": batch["address"], "bits": [list(b) for b in bits]})
+
+
+def with_bloom(of: DataFrame, of_logs: DataFrame) -> DataFrame:
+    """Blocks with the 2048-bit bloom of the addresses of their logs, as a chain
+    would deliver it."""
+    pairs = of_logs.select("block_number", "address").distinct()
+    hashed = pairs.select("address").distinct().mapInPandas(_positions, "address string, bits array<int>")
+    bits = pairs.join(hashed, "address").select("block_number", F.explode("bits").alias("bit"))
+    byte = (255 - F.floor(F.col("bit") / 8)).cast("int").alias("byte")
+    masks = bits.groupBy("block_number", byte).agg(F.bit_or(F.pow(F.lit(2), F.col("bit") % 8).cast("int")).alias("mask"))
+    rows = masks.groupBy("block_number").agg(F.map_from_entries(F.collect_list(F.struct("byte", "mask"))).alias("m"))
+    bloom = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("m", i), F.lit(0))), 2, "0")), ""))
+    return of.join(rows, "block_number", "left").withColumn("logs_bloom", bloom).drop("m")
+
+
+def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their transactions and receipts as nested lists."""
+    entry = F.struct("log_index", "l_partkey", "l_suppkey", "cents", "l_returnflag")
+    per_tx = logs(spark, sf_dir).groupBy("tx_hash").agg(F.sort_array(F.collect_list(entry)).alias("logs"))
+    t = txs(spark, sf_dir).select("block_number", "tx_index", "tx_hash", "success", "cumulative_gas_used").join(per_tx, "tx_hash", "left")
+    body = F.transform(
+        F.coalesce("logs", F.array().cast("array<struct<log_index:int,l_partkey:bigint,l_suppkey:bigint,cents:bigint,l_returnflag:string>>")),
+        lambda x: F.struct(x["l_partkey"].alias("l_partkey"), x["l_suppkey"].alias("l_suppkey"), x["cents"].alias("cents")),
+    )
+    t = t.withColumn("receipt", F.struct("success", "cumulative_gas_used", body.alias("logs")))
+    by_block = t.groupBy("block_number").agg(F.sort_array(F.collect_list(F.struct("tx_index", "tx_hash", "receipt"))).alias("all"))
+    return by_block.select(
+        "block_number",
+        F.transform("all", lambda x: F.struct(x["tx_hash"].alias("tx_hash"))).alias("transactions"),
+        F.transform("all", lambda x: x["receipt"]).alias("receipts"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,20 @@ from chainframes.operators.tables import left_of
 BUCKET_BLOCKS = 100_000
 
 
+def working_dir(spark: SparkSession) -> str:
+    """A fresh folder under the one that the cluster shares
+    (``spark.checkpoint.dir``).  Only a session on one machine may have none; it
+    gets a temporary one."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def bucket(block: Column) -> Column:
     return F.floor(block / BUCKET_BLOCKS).cast("bigint")
 

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -495,7 +496,10 @@ class _Seen:
 
     def add_to(self, c: Counters) -> None:
         for kind, tables, watch in self.parts:
-            got = watch.get
+            try:
+                got = watch.get
+            except Py4JJavaError:  # a job that was found to have no rows observes nothing
+                continue
             if kind == "event":
                 c.events_matched += got.get("rows", 0)
             counts = c.stored if kind.startswith("stored") else c.undecodable
