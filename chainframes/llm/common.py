@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +32,22 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
+def refuse_clashes(keep: Iterable[str], added: Iterable[str]) -> None:
+    """Kept columns may not be called like those that an operator adds, nor twice
+    alike."""
+    keep = list(keep)
+    if clash := sorted({c for c in keep if keep.count(c) > 1} | set(keep) & set(added)):
+        raise ValueError(f"keep holds a name twice, or names of added columns: {clash}")
+
+
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    """A column name that the caller's table does not have (in any case of letters)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import mix64
-from .common import documents, dropping_shuffles, materialize
+from .common import documents, dropping_shuffles, fresh_name, materialize
 from .components import connected_components
 from .shingles import similar_pairs, word_runs
 
@@ -111,16 +111,27 @@ def _variants() -> list[tuple[int, int]]:
 
 
 #: Fingerprints of one bucket that are compared all with all; larger buckets are split.
-_COMPARED = 512
-#: Bit ranges of a split: two words that differ in three bits agree in one of the four.
-_PARTS = ((0, 16), (16, 32), (32, 48), (48, 64))
+_COMPARED = 1024
+#: Two words that differ in three bits or fewer agree in one of four sets of bits.
+_PARTS = RADIUS + 1
+
+
+def _parts(fps: np.ndarray) -> list[np.ndarray]:
+    """The bits in which members differ, dealt to four masks so that each gets its
+    share of those that tell most members apart.  (The members of a bucket agree
+    in most bits: a split by those would leave them together.)"""
+    ones = np.array([np.count_nonzero(fps >> np.uint64(b) & np.uint64(1)) for b in range(_BITS)])
+    told = np.minimum(ones, len(fps) - ones)
+    order = [b for b in np.argsort(-told, kind="stable") if told[b]]
+    return [np.bitwise_or.reduce(np.array([1 << int(b) for b in order[i::_PARTS]], dtype=np.uint64), initial=np.uint64(0)) for i in range(_PARTS)]
 
 
 def _linked_stars(fps: np.ndarray, radius: int, names: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect what links within one bucket: the names of (member,
     smallest of its part).  Members of one name are one part from the start; without
-    names each goes by its fingerprint.  Of a large bucket, those that agree in one
-    of four bit ranges are compared, in strips of a bounded size."""
+    names each goes by its fingerprint.  A large bucket is split, and split again,
+    by sets of bits of which any two that link agree in one; what is small enough is
+    compared all with all."""
     n = len(fps)
     names = fps if names is None else names
     _, first, same = np.unique(names, return_index=True, return_inverse=True)
@@ -129,24 +140,43 @@ def _linked_stars(fps: np.ndarray, radius: int, names: np.ndarray | None = None)
     label = first[same]
 
     def join(members: np.ndarray) -> None:
-        nonlocal label
+        found, own = fps[members], label[members]
+        least = own.copy()
         for at in range(0, len(members), _COMPARED):
-            near = np.bitwise_count(fps[members[at : at + _COMPARED], None] ^ fps[None, members]) <= radius
-            for row in near:
-                met = np.unique(label[members[row]])
-                if len(met) > 1:
-                    label[np.isin(label, met)] = met[0]
-
-    if n <= _COMPARED:
-        join(np.arange(n))
-    else:
-        for low, high in _PARTS:
-            part = (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+            near = np.bitwise_count(found[at : at + _COMPARED, None] ^ found[None, :]) <= radius
+            i, j = np.nonzero(near)
+            keep = own[at + i] != own[j]
+            i, j = at + i[keep], j[keep]
+            while len(i):  # smaller labels spread until both ends of every link have one
+                low = np.minimum(least[i], least[j])
+                before = least.copy()
+                np.minimum.at(least, i, low)
+                np.minimum.at(least, j, low)
+                for old in np.flatnonzero(least != before):
+                    least[own == own[old]] = np.minimum(least[own == own[old]], least[old])
+                if (least == before).all():
+                    break
+        for old, new in {(int(a), int(b)) for a, b in zip(own, least, strict=True) if a != b}:
+            label[label == old] = new
+
+    def settle(members: np.ndarray) -> None:
+        if label[members].min() == label[members].max():
+            return
+        if len(members) <= _COMPARED:
+            join(members)
+            return
+        for mask in _parts(fps[members]):
+            part = fps[members] & mask
             order = np.argsort(part, kind="stable")
             begins = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
-            for group in np.split(order, begins[1:]):
+            if len(begins) == 1:  # nothing is told apart: compared in strips
+                join(members)
+                return
+            for group in np.split(members[order], begins[1:]):
                 if len(group) > 1:
-                    join(np.sort(group))
+                    settle(np.sort(group))
+
+    settle(np.arange(n))
     return [(int(names[i]), int(names[r])) for i, r in zip(first, label[first], strict=True) if names[r] != names[i]]
 
 
@@ -203,37 +233,21 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met_pairs(nodes, radius).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", schemes: tuple[Scheme, ...] = (SHINGLES,)) -> DataFrame:
-    """One row per document: ``id_col, fp0 .., component`` with the component's
-    smallest id.  With several schemes, documents link if one of them links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SHINGLES) -> DataFrame:
+    """One row per document: ``id_col, fp0, component`` with the component's
+    smallest id.
 
     Null and word-free texts have fingerprint zero and link like any other.
     Copies share one node, so a text repeated without end costs one row.  Rows
     with a null id get a component like any other; a component of null ids only
-    has a null name.  An empty table gives no rows."""
-    names = [f"fp{i}" for i in range(len(schemes))]
-    fps = materialize(fingerprints(docs, id_col, text_col, schemes))
-    texts = materialize(fps.groupBy(*names).agg(F.min("id").alias("least_id")))
-    if len(names) == 1:
-        first = F.col("fp0")
-        edges = links(texts.select(F.col("fp0").alias("fp")))
-    else:
-        # a node per scheme and fingerprint; a text ties its own together
-        node = {c: F.xxhash64(F.lit(c), F.col(c)) for c in names}
-        first = node["fp0"]
-        edges = None
-        for c in names:
-            found = links(texts.select(F.col(c).alias("fp")).distinct())
-            found = found.select(*[F.xxhash64(F.lit(c), F.col(x)).alias(x) for x in ("u", "v")])
-            edges = found if edges is None else edges.unionByName(found)
-        for c in names[1:]:
-            edges = edges.unionByName(texts.select(first.alias("u"), node[c].alias("v")))
-    roots = connected_components(edges)
-    texts = texts.withColumn("first", first)
-    named = texts.join(roots, texts["first"] == roots["node"], "left").withColumn("root", F.coalesce("root", "first")).select(*names, "least_id", "root")
+    has a null name.  Further columns are not read; an empty table gives no rows."""
+    fps = materialize(fingerprints(docs, id_col, text_col, (scheme,)))
+    texts = materialize(fps.groupBy("fp0").agg(F.min("id").alias("least_id")))
+    roots = connected_components(links(texts.select(F.col("fp0").alias("fp"))))
+    named = texts.join(roots, texts["fp0"] == roots["node"], "left").select("fp0", "least_id", F.coalesce("root", "fp0").alias("root"))
     components = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    by_text = materialize(named.join(components, "root").select(*names, "component"))
-    return fps.join(by_text, names).select(F.col("id").alias(id_col), *names, "component")
+    by_text = materialize(named.join(components, "root").select("fp0", "component"))
+    return fps.join(by_text, "fp0").select(F.col("id").alias(id_col), "fp0", "component")
 
 
 def proposed_groups(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
@@ -266,17 +280,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     Fingerprints only propose: texts link if their sets of runs of five words
     have a Jaccard similarity of 0.8 or more.  A row without an id goes by a
     negative number made from its text's hash, so of such rows with one text one
-    stays; before rows with ids it is the one."""
+    stays; before rows with ids it is the one.  All columns of ``docs`` come back,
+    whatever their names.  Repeated rows are copies; an empty table stays empty."""
+    key, node = (fresh_name(c, docs.columns) for c in ("__key", "__node"))
     own = F.coalesce(F.col(id_col), -1 - F.xxhash64(text_col).bitwiseAND((1 << 62) - 1))
-    keyed = docs.withColumn("__key", own).withColumn("__node", F.xxhash64(text_col))
+    keyed = docs.withColumn(key, own).withColumn(node, F.xxhash64(text_col))
     names = [f"fp{i}" for i in range(len(schemes))]
     # a node per distinct text
-    fps = materialize(fingerprints(keyed.select(F.struct("__key", "__node").alias("__row"), text_col), "__row", text_col, schemes))
+    fps = materialize(fingerprints(keyed.select(F.struct(F.col(key).alias("__key"), F.col(node).alias("__node")).alias("__row"), F.col(text_col).alias("text")), "__row", "text", schemes))
     texts = materialize(fps.groupBy(F.col("id.__node").alias("node"), *names).agg(F.min("id.__key").alias("least_id")))
     groups = proposed_groups(texts, schemes).where("node <> root")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     asked = materialize(groups.join(texts.select("node", "least_id"), "node"))
-    rows = keyed.select("__key", "__node", F.col(text_col).alias("text"))
+    rows = keyed.select(F.col(key).alias("__key"), F.col(node).alias("__node"), F.col(text_col).alias("text"))
     rows = rows.join(asked, (rows["__node"] == asked["node"]) & (rows["__key"] == asked["least_id"])).select("node", "root", "text")
     roots = connected_components(similar_pairs(rows))
     named = texts.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -285,10 +301,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     copies = fps.select("id.*").groupBy("__key", "__node").agg(F.count("*").alias("n"))
     first = materialize(first.join(copies, ["__key", "__node"]))
     # One plan at every size: texts are dealt by id and text once and not sorted.
-    kept = keyed.join(first.select("__key", "__node").hint("shuffle_hash"), ["__key", "__node"], "left_semi")
+    kept = keyed.join(first.select(F.col("__key").alias(key), F.col("__node").alias(node)).hint("shuffle_hash"), [key, node], "left_semi")
     if not first.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["__key", "__node"])
-    return kept.drop("__key", "__node")
+        kept = kept.dropDuplicates([key, node])
+    return kept.drop(key, node)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
