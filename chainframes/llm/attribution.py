@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, refuse_clashes, text_or_empty
 from .packing import worker_tokenizer
 
 RULES = ("first", "last", "most", "share")
@@ -86,7 +86,9 @@ def token_counts(
     starts and ends with each section's ``tokens``.
     Null texts count as empty and have no tokens; null or missing sections leave
     all tokens outside; empty sections have none.  Repeated rows are counted
-    each; an empty table gives no rows."""
+    each; an empty table gives no rows.  ``keep`` may not hold a name of the added
+    columns."""
+    refuse_clashes(keep, ("n_tokens", "n_crossing", "outside", "sections"))
     if rule not in RULES:
         raise ValueError(f"no rule {rule!r}")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.float64())]))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import utf8
-from .common import counted_broadcast, documents, materialize
+from .common import counted_broadcast, documents, materialize, refuse_clashes
 
 #: Hash buckets of n-grams (orders 1 to 3 together).
 BUCKETS = 8192
@@ -287,8 +287,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
     ambiguous.  Repeated rows are judged alike; an empty table
     gives no rows.  Texts are read whole, in Arrow batches.  ``keep`` may not hold
     a name of the added columns."""
-    if clash := set(keep) & {"lang_pred", "score", "fit", "ambiguous"}:
-        raise ValueError(f"keep holds names of added columns: {sorted(clash)}")
+    refuse_clashes(keep, ("lang_pred", "score", "fit", "ambiguous"))
     rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("__text"))
     text_at = keep.index(text_col) if text_col in keep else len(keep)
     kinds = dict(docs.select(*keep).dtypes)

@@ -113,7 +113,9 @@ def mix_sources(
     often the mix holds the document, ``taken = size * copies``.  Null texts
     have size 0; null sources form one source, last in order; null ids share
     one hash.  Repeated rows of one id are taken or left together.  An empty
-    table gives an empty result.  ``keep`` names further columns to return."""
+    table gives an empty result.  ``keep`` names further columns, which come back
+    as fields of one struct ``kept``, so that their names clash with none; all
+    other columns are not read."""
     base = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, refuse_clashes
 
 CAPACITY = 2048
 END_ID = 0
@@ -387,9 +387,11 @@ def pack_documents(
     sequence_id, offset``.
 
     Only documents longer than ``capacity`` ids are cut.  Repeated rows are
-    packed as often as they occur; null ids are kept.  An empty table gives no
-    rows.  The driver holds the length histogram (``capacity`` numbers) and the
+    packed as often as they occur; null ids are kept; further columns, also of
+    clashing names, are not read, and the id may not be called like an added one.
+    Null texts are empty and texts are read whole.  An empty table gives no rows.  The driver holds the length histogram (``capacity`` numbers) and the
     plan, whose size depends on ``capacity`` alone."""
+    refuse_clashes([id_col], ("piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
     pieces = materialize(tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = slots_by_length(pack_histogram(counts, capacity))

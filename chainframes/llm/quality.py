@@ -40,8 +40,8 @@ CORE_SHARE = 0.75
 CONSISTENCY = 1.484
 #: Concentration ends when no logarithm of a determinant moves by more than this.
 SETTLED = 0.05
-#: Steps after which it ends in any case.
-MAX_STEPS = 8
+#: Steps after which estimates that have not settled are an error.
+MAX_STEPS = 60
 #: The key of the group of all documents.
 ALL = "*"
 #: Rows' worth of the level above that each estimate takes in.
@@ -263,6 +263,8 @@ def mcd_estimates(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
         current = materialize(fitted.join(hint(before), [key, "start"]).select(key, "start", "logdet", "before", *ESTIMATE))
         if current.where(F.coalesce(F.abs(F.col("logdet") - F.col("before")) > SETTLED, F.lit(True))).isEmpty():
             break
+    else:
+        raise RuntimeError(f"estimates have not settled after {MAX_STEPS} steps")
     best = F.min_by(F.struct(*ESTIMATE), F.struct("logdet", "start")).alias("best")
     return current.groupBy(key).agg(best).select(key, "best.*")
 

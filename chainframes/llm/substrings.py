@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import run_hashes, span_hashes, utf8, word_spans
-from .common import documents, text_or_empty, words
+from .common import documents, refuse_clashes, text_or_empty, words
 
 WINDOW = 35
 PHRASE = 8
@@ -261,7 +261,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...
     nothing come back as they are (null: empty); in others, stretches that stay
     keep their own white space and are joined by one blank.  Texts of fewer
     than ``WINDOW`` words lose nothing.  Repeated rows are copies of each other
-    and lose all their windows.  An empty table gives no rows."""
+    and lose all their windows.  An empty table gives no rows.  Further columns are
+    not read, and ``keep`` may not hold a name of the added ones."""
+    refuse_clashes(keep, ("kept_text", "n_words", "n_removed"))
     n_chunks = max(1, -(-docs.count() // DOCS_PER_CHUNK))
     names = [f"k{i}" for i in range(len(keep))]
     rid = F.xxhash64(*[F.col(c) for c in keep], F.col(text_col))

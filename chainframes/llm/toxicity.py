@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
+from .common import documents, fresh_name, materialize, refuse_clashes, text_or_empty
 from .fingerprint import shingle_hashes, word_hashes
 from .language import held_out
 
@@ -290,8 +290,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     ``segments`` are the significant passages in order of place: start and end
     (code points of the lower-cased text), score and E value.  Null and empty
     texts have no segment and the score of no evidence.  Texts are read whole;
-    repeated rows are judged alike; an empty table gives no rows."""
-    rows = docs.select(F.col(text_col).alias("__text"), *keep)
+    repeated rows are judged alike; an empty table gives no rows.  ``keep`` may not
+    hold a name of the added columns."""
+    refuse_clashes(keep, ("n_tokens", "evidence", "score", "segments"))
+    rows = docs.select(F.col(text_col).alias(fresh_name("__text", keep)), *keep)
     kinds = dict(docs.select(*keep).dtypes)
     schema = ", ".join(
         [f"`{c}` {kinds[c]}" for c in keep]
