@@ -269,7 +269,7 @@ class Index:
             tables |= self.store.write(name, "_children", fresh.select(*CHILDREN.fieldNames()))
             known = known.unionByName(self.spark.read.schema(CHILDREN).parquet(f"{self.store.folder(name)}/_children"))
         registry = match.registry_union(self.spec.registry(self.spark), known)
-        attributes = context(blocks, with_gas_used(txs)) if txs is not None else None
+        attributes = self._attributes(blocks, txs, kept)
         overlap = after.overlapping(low, high)
         seen = _Seen()
         if self.spec.events:
@@ -297,6 +297,14 @@ class Index:
         self.store.merge(done, schemas, {t: b for t, (_, b) in STATE.items()})
         return unit
 
+    def _attributes(self, blocks: DataFrame, txs: DataFrame | None, kept: list[DataFrame]) -> DataFrame | None:
+        """A batch's context, made once for all entries that ask for it."""
+        if txs is None or not any(context_fields(e) for e in self.entries()):
+            return None
+        found = context(blocks, with_gas_used(txs)).persist()
+        kept.append(found)
+        return found
+
     def _reorganised(self, blocks: DataFrame, low: int, before: Manifest) -> tuple[Manifest, int | None]:
         """The state without what the batch contradicts (the same block with
         another hash, or a parent that is not there), and the common ancestor."""
@@ -369,11 +377,13 @@ class Index:
         read, and only if there are any."""
         key = ["table", *table_key(entries[0])]
         new = first_per_key(rows, key, ["id"])
-        if after is not None:
-            for e in entries:
-                there = self.store.read(e.table, table_schema(e), after, low=low, high=high)
-                part = there.select(F.lit(e.table).alias("table"), *table_key(e))
-                new = new.join(part, key, "left_anti") if any(e.table in u.tables for u in after.units) else new
+        there = None
+        for e in entries if after is not None else ():
+            if any(e.table in u.tables and u.low <= high and u.top >= low for u in after.units):
+                part = self.store.read(e.table, table_schema(e), after, low=low, high=high).select(F.lit(e.table).alias("table"), *table_key(e))
+                there = part if there is None else there.unionByName(part)
+        if there is not None:
+            new = new.join(there, key, "left_anti")
         new = seen.stored(new.sortWithinPartitions("table", "block_number", "id"), [e.table for e in entries], type(entries[0]))
         return self.store.write_many(name, folder, new)
 
@@ -429,7 +439,7 @@ class Index:
 
     # -- messages ----------------------------------------------------------------
 
-    def _messages(self, e: Entry, written: DataFrame, blocks: DataFrame, txs: DataFrame | None) -> DataFrame:
+    def _messages(self, e: Entry, written: DataFrame, attributes: DataFrame | None) -> DataFrame:
         """The messages of an entry's rows."""
         contract, event = _name_of(e)
         if isinstance(e, TransferSpec):
@@ -438,8 +448,8 @@ class Index:
             address = F.col("contract_address") if isinstance(e, EventSpec) else F.lit(None).cast("string")
         out = written.withColumns({"table": F.lit(e.table), "event": F.lit(event), "contract": F.lit(contract), "contract_address": address})
         have = [c for c in ("block_timestamp", "tx_from", "tx_to", *messages.RECEIPT_PAYLOAD) if c not in context_fields(e)]
-        if txs is not None:
-            out = with_context(out, context(blocks, with_gas_used(txs)), have)
+        if attributes is not None:
+            out = with_context(out, attributes, have)
             if isinstance(e, CallSpec):
                 out = out.withColumn("contract_address", F.col("tx_to"))
         else:
@@ -457,7 +467,8 @@ class Index:
         sink that wants it."""
         sinks = [s for s in self.sinks if s.wants_backfill or not is_backfill]
         written = [(e, self._written(unit.name, unit.tables, e)) for e in self.entries()] if sinks else []
-        told = [self._messages(e, rows, blocks, txs) for e, rows in written if rows is not None]
+        attributes = context(blocks, with_gas_used(txs)) if txs is not None else None
+        told = [self._messages(e, rows, attributes) for e, rows in written if rows is not None]
         if not told:
             return
         rows = told[0]
