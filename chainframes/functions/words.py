@@ -46,13 +46,25 @@ def _limb(word: Column, index: int, digits: int) -> Column:
     return F.conv(F.substring(word, index * digits + 1, digits), 16, 10).cast("bigint")
 
 
+def _limbs_120(word: Column) -> tuple[Column, Column]:
+    """The last 30 digits of a word as two limbs of 60 bits."""
+    return tuple(F.conv(F.substring(word, at, 15), 16, 10).cast("decimal(19,0)") for at in (35, 50))
+
+
 def _decimal_120(word: Column) -> Column:
-    """Words below 2**120: two limbs of 15 hex digits."""
-    high = F.conv(F.substring(word, 35, 15), 16, 10).cast("decimal(19,0)")
-    low = F.conv(F.substring(word, 50, 15), 16, 10).cast("decimal(19,0)")
+    """Words below 2**120."""
+    high, low = _limbs_120(word)
     return high * F.lit(1 << 60).cast("decimal(19,0)") + low
 
 
+def _negative_120(word: Column) -> Column:
+    """What to take away from zero for words above -2**120: each limb's complement,
+    and one."""
+    high, low = _limbs_120(word)
+    most = F.lit((1 << 60) - 1).cast("decimal(19,0)")
+    return (most - high) * F.lit(1 << 60).cast("decimal(19,0)") + ((most - low) + F.lit(1).cast("decimal(1,0)"))
+
+
 def _long_division(word: Column) -> Column:
     """Any word, by schoolbook division of eight 32-bit limbs by 10**9, nine
     digits at a time.  Interpreted, so it stands behind the 120-bit test."""
@@ -96,12 +108,11 @@ def int_text(word: Column) -> Column:
     stay in generated code; only longer ones are divided out."""
     negative = F.left(word, F.lit(1)) >= "8"
     flipped = F.translate(word, "0123456789abcdef", "fedcba9876543210")  # -x - 1
-    one = F.lit(1).cast("decimal(1,0)")
     # the magnitude is read through a one-element array so that it is made once
     long = F.transform(F.array(F.when(negative, _plus_one(flipped)).otherwise(word)), _long_division)[0]
     return (
         F.when(F.left(word, F.lit(34)) == "0" * 34, _decimal_120(word).cast("string"))
-        .when(F.left(word, F.lit(34)) == "f" * 34, F.concat(F.lit("-"), (_decimal_120(flipped) + one).cast("string")))
+        .when(F.left(word, F.lit(34)) == "f" * 34, F.concat(F.lit("-"), _negative_120(word).cast("string")))
         .otherwise(F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), long))
     )
 

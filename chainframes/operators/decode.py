@@ -111,21 +111,40 @@ def _members(solidity: str) -> list[tuple[str, int]]:
 UNROLLED = 16
 
 
-def static_value(solidity: str, word: Callable[[Column | int], Column], at: Column | int) -> Column:
-    """A value without offsets inside, ``word(n)`` being the n-th word."""
+#: Reads hex digits of a value: its number of the word, bytes before, bytes.
+Part = Callable[[Column | int, int, int], Column]
+
+
+def read_word(solidity: str, part: Part, at: Column | int) -> Column:
+    """A one-word value, of which only the bytes that count are read."""
+    if solidity == "address":
+        return F.concat(F.lit("0x"), F.lower(part(at, 12, 20)))
+    if solidity == "bool":
+        return F.right(part(at, 31, 1), F.lit(1)) == "1"
+    if (m := re.fullmatch(r"u?int(\d*)", solidity)) and int(m[1] or 256) <= 64:
+        return F.conv(part(at, 24, 8), 16, -10).cast("bigint")
+    return word_value(solidity, F.lower(part(at, 0, BYTES)))
+
+
+def static_value(solidity: str, part: Part, at: Column | int) -> Column:
+    """A value without offsets inside, from its ``at``-th word on."""
     if found := array_of(solidity):
         element, n = found
         step = head_words(element)
         if n > UNROLLED:
-            return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: static_value(element, word, F.lit(at) + i * step if isinstance(at, int) else at + i * step))
-        return F.array(*[static_value(element, word, at + i * step) for i in range(n)]).cast(spark_type(solidity))
+            return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: static_value(element, part, F.lit(at) + i * step if isinstance(at, int) else at + i * step))
+        return F.array(*[static_value(element, part, at + i * step) for i in range(n)]).cast(spark_type(solidity))
     if solidity.startswith("("):
-        return F.struct(*[static_value(t, word, at + d).alias(f"f{i}") for i, (t, d) in enumerate(_members(solidity))])
-    return word_value(solidity, word(at))
+        return F.struct(*[static_value(t, part, at + d).alias(f"f{i}") for i, (t, d) in enumerate(_members(solidity))])
+    return read_word(solidity, part, at)
 
 
 def _read_static(solidity: str, raw: Column, at: Column) -> Column:
-    return static_value(solidity, lambda n: F.lower(F.hex(_cut(raw, at + n * BYTES, BYTES))), 0)
+    return static_value(solidity, lambda n, skip, size: F.hex(_cut(raw, at + (n * BYTES + skip), size)), 0)
+
+
+def _hex_part(data: Column) -> Part:
+    return lambda n, skip, size: F.substring(data, n * W.WORD + (1 + 2 * skip) if isinstance(n, Column) else F.lit(n * W.WORD + 1 + 2 * skip), F.lit(2 * size))
 
 
 def dynamic_value(solidity: str, raw: Column, block: Column, head: Column) -> Column:
@@ -264,12 +283,12 @@ def _plain_value(p: Param, data: Column, head: int, topic: int) -> Column:
     if p.hashed:
         return F.unhex(F.col(f"topic{topic}"))
     if p.indexed:
-        return word_value(p.type, F.col(f"topic{topic}"))
+        return read_word(p.type, _hex_part(F.col(f"topic{topic}")), 0)
     if p.type in ("string", "bytes"):
         at = _text_place(data, head)
         raw = F.unhex(F.substring(data, _int(at) + 1 + W.WORD, _int(W.offset_of(_hex_word(data, at)) * 2)))
         return _text(raw) if p.type == "string" else raw
-    return static_value(p.type, lambda n: W.word_at(data, n), head)
+    return static_value(p.type, _hex_part(data), head)
 
 
 def _described(params: Sequence[Param], names: dict[str, str] | None) -> list[tuple[Param, str, int, int]]:

@@ -931,18 +931,19 @@ def followed(spark: SparkSession, d: str):
     twice, and after that another fork of the last three blocks, without logs."""
     from chainframes.streaming.follow import Index
 
-    index = Index(spark, SC.working_dir(spark), WHOLE)
     blocks, logs, txs = O.blocks(spark, d).persist(), O.logs(spark, d).persist(), O.txs(spark, d).persist()
     span = blocks.agg(F.min("block_number").alias("a"), F.max("block_number").alias("b")).first()
+    top = [r["block_number"] for r in blocks.orderBy(F.desc("block_number")).limit(3).collect()]
+    forked = lambda c, has: F.when(has, F.concat(F.lit("x"), c)).otherwise(F.col(c))
+    now = blocks.withColumns({"block_hash": forked("block_hash", F.col("block_number").isin(top)), "parent_hash": forked("parent_hash", (F.col("block_number") - 1).isin(top))})
+    # where days without orders part the fork from the chain, the chain is asked
+    index = Index(spark, SC.working_dir(spark), WHOLE, canonical=lambda: now.select("block_number", "block_hash"))
     step = (span["b"] - span["a"]) // 4 + 1
     stretch = lambda df, i: df.where(F.col("block_number").between(span["a"] + i * step, span["a"] + (i + 1) * step - 1))
     try:
         for epoch, i in enumerate((0, 1, 1, 2, 3)):
             index.process(stretch(blocks, i), stretch(logs, i), epoch, True, stretch(txs, i))
-        top = [r["block_number"] for r in blocks.orderBy(F.desc("block_number")).limit(3).collect()]
-        fork = blocks.where(F.col("block_number").isin(top)).withColumn("block_hash", F.concat(F.lit("x"), "block_hash"))
-        fork = fork.withColumn("parent_hash", F.when(F.col("block_number") == min(top), F.col("parent_hash")).otherwise(F.concat(F.lit("x"), "parent_hash")))
-        index.process(fork, logs.limit(0), 5, False, txs.limit(0))
+        index.process(now.where(F.col("block_number").isin(top)), logs.limit(0), 5, False, txs.limit(0))
     finally:
         for df in (blocks, logs, txs):
             df.unpersist()
@@ -962,29 +963,26 @@ INDEXED = f"""(SELECT l.*, t.tx_from, t.value AS moved, t.gas, '0x' || lpad(lowe
  CASE WHEN event = 'Approval' THEN CAST(gas AS BIGINT) END AS tx_gas_used FROM {INDEXED}
 UNION ALL SELECT 'moves', block_number * 4294967296 + tx_index * 65536, '0x' || tx_from, '0x' || tx_to, CAST(value AS VARCHAR), NULL, NULL, NULL FROM txs WHERE {MOVED} AND {STAYS}
 UNION ALL SELECT 'c0_calls', block_number * 4294967296 + tx_index * 65536, NULL, '0x' || lpad(lower(hex(o_custkey)), 40, '0'), CAST(total_cents AS VARCHAR), NULL, NULL, NULL
- FROM txs WHERE {CALLED} AND o_orderkey % 12 = 0 AND {STAYS}""")
+ FROM txs WHERE {CALLED} AND o_orderkey % 12 = 0 AND {STAYS}
+UNION ALL SELECT '_hashes', block_number, NULL, CASE WHEN {STAYS} THEN '' ELSE 'x' END || block_hash, NULL, NULL, NULL, NULL FROM blocks""")
 def index_rows(spark, d):
-    """All tables of an index after batches, a redelivered one and a reorganisation."""
+    """All tables of an index, and its block hashes, after batches, a redelivered
+    one and a reorganisation."""
     index = followed(spark, d)
-    out = None
+    none = {c: F.lit(None).cast(k) for c, k in (("from", "string"), ("tx_from", "string"), ("tx_value", "string"), ("tx_gas_used", "bigint"))}
+    hashes = index.hashes().select(F.lit("_hashes").alias("table"), F.col("block_number").alias("id"), *[v.alias(c) for c, v in none.items()], F.col("block_hash").alias("to"), F.lit(None).cast("string").alias("value"))
+    out = hashes
     for e in index.entries():
         rows = index.table(e.table).withColumn("table", F.lit(e.table))
         if isinstance(e, S.TransferSpec):
             rows = rows.select("*", F.concat(F.lit("0x"), "from_address").alias("from"), F.concat(F.lit("0x"), "to_address").alias("to"))
         elif isinstance(e, S.CallSpec):
             rows = rows.withColumnRenamed("amount", "value")
-        wanted = {"from": "string", "tx_from": "string", "tx_value": "string", "tx_gas_used": "bigint"}
-        rows = rows.select("table", "id", *[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in wanted.items()], "to", "value")
-        out = rows if out is None else out.unionByName(rows)
+        rows = rows.select("table", "id", *[F.col(c) if c in rows.columns else v.alias(c) for c, v in none.items()], "to", "value")
+        out = out.unionByName(rows)
     return out
 
 
-@query("SELECT block_number, CASE WHEN " + STAYS + " THEN '' ELSE 'x' END || block_hash AS block_hash FROM blocks")
-def index_hashes(spark, d):
-    """The stored hashes after a reorganisation."""
-    return followed(spark, d).hashes()
-
-
 @query(f"""SELECT 'blocks' AS counter, CAST((SELECT count(*) FROM blocks) + n + 3 AS BIGINT) AS n FROM second
 UNION ALL SELECT 'checkpoint', max(block_number) FROM blocks UNION ALL SELECT 'rollbacks', 1
 UNION ALL SELECT 'transfers_stored', count(*) FROM txs WHERE {MOVED} UNION ALL SELECT 'calls_stored', count(*) FROM txs WHERE {CALLED} AND o_orderkey % 12 = 0

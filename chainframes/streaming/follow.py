@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,8 @@ Batch = tuple[DataFrame, DataFrame, DataFrame | None]
 
 HASHES = T.StructType().add("block_number", T.LongType()).add("block_hash", T.StringType())
 CHILDREN = T.StructType().add("contract", T.StringType()).add("address", T.StringType()).add("created_block", T.LongType())
+#: Writes of one batch that run at a time.
+WRITERS = 4
 #: State tables and the column that holds their block.
 STATE = {"_hashes": (HASHES, "block_number"), "_children": (CHILDREN, "created_block")}
 
@@ -270,29 +274,26 @@ class Index:
             known = known.unionByName(self.spark.read.schema(CHILDREN).parquet(f"{self.store.folder(name)}/_children"))
         registry = match.registry_union(self.spec.registry(self.spark), known)
         attributes = self._attributes(blocks, txs, kept)
-        overlap = after.overlapping(low, high)
-        seen = _Seen()
+        into = _Into(name, after if after.overlapping(low, high) else None, low, high, _Seen())
+        writes: list[Callable[[], dict[str, str]]] = [lambda: self._write_hashes(into, blocks)]
         if self.spec.events:
             found = match.entry_logs(logs, registry, self.spec.events).persist()
             kept.append(found)
-            tables |= self._write_shapes(name, self.spec.events, found, F.col("data"), attributes, after if overlap else None, low, high, seen)
+            writes += self._shape_writes(into, self.spec.events, found, F.col("data"), attributes)
         if self.spec.calls:
             called = match.entry_calls(txs, registry, self.spec.calls).persist()
             kept.append(called)
-            tables |= self._write_shapes(name, self.spec.calls, called, calldata_body(), attributes, after if overlap else None, low, high, seen)
-        for e in self.spec.transfers:
-            tables |= self._write_transfers(name, e, txs, attributes, after if overlap else None, low, high, seen)
-        stored = blocks.select(*HASHES.fieldNames())
-        if overlap:
-            there = self.store.read("_hashes", HASHES, after, low=low, high=high)
-            stored = stored.join(there.select("block_number"), "block_number", "left_anti")
-        tables |= self.store.write(name, "_hashes", stored)
+            writes += self._shape_writes(into, self.spec.calls, called, calldata_body(), attributes)
+        writes += [lambda e=e: self._write_transfers(into, e, txs, attributes) for e in self.spec.transfers]
+        with ThreadPoolExecutor(WRITERS) as pool:  # small jobs that do not depend on each other
+            for written in list(pool.map(inheritable_thread_target(self.spark)(lambda write: write()), writes)):
+                tables |= written
         tables |= self._handled(name, tables, epoch)
         unit = Unit(name, low, high, span["n"], tables)
         holes = before.holes or span["n"] != high - low + 1 or (bool(after.units) and (low > after.checkpoint + 1 or high < min(u.low for u in after.units) - 1))
         done = self.store.commit(replace(after.with_epoch(str(epoch)), units=(*after.units, unit), holes=holes))
         n_pruned = span["n"] - wanted.count() if pruned else 0
-        self._count(seen, span, n_pruned, ancestor is not None, done)
+        self._count(into.seen, span, n_pruned, ancestor is not None, done)
         schemas = self._schemas()
         self.store.merge(done, schemas, {t: b for t, (_, b) in STATE.items()})
         return unit
@@ -330,31 +331,35 @@ class Index:
 
     # -- rows --------------------------------------------------------------------
 
-    def _write_shapes(self, name: str, entries: Sequence[EventSpec | CallSpec], found: DataFrame, data: Column, attributes: DataFrame | None, after: Manifest | None, low: int, high: int, seen: _Seen) -> dict[str, str]:
-        """Entries of like parameters and context are decoded and written together."""
+    def _write_hashes(self, into: _Into, blocks: DataFrame) -> dict[str, str]:
+        stored = blocks.select(*HASHES.fieldNames())
+        if into.after is not None:
+            there = self.store.read("_hashes", HASHES, into.after, low=into.low, high=into.high)
+            stored = stored.join(there.select("block_number"), "block_number", "left_anti")
+        return self.store.write(into.unit, "_hashes", stored.coalesce(1))
+
+    def _shape_writes(self, into: _Into, entries: Sequence[EventSpec | CallSpec], found: DataFrame, data: Column, attributes: DataFrame | None) -> list[Callable[[], dict[str, str]]]:
+        """Entries of like parameters and context are decoded and written together:
+        one write for each likeness."""
         shapes: dict[tuple, list[EventSpec | CallSpec]] = {}
         for e in entries:
             shapes.setdefault((tuple((p.type, p.indexed, p.out) for p in e.params), context_fields(e), type(e)), []).append(e)
-        tables: dict[str, str] = {}
-        for alike in shapes.values():
-            e = alike[0]
-            own = [x.table for x in alike]
-            is_event = isinstance(e, EventSpec)
-            rows = found.where(F.col("table").isin(own)) if len(shapes) > 1 else found
-            params = e.params if is_event else plain_params(e.params)
-            rows = with_row_id(rows).withColumn("contract_address", F.col("address") if is_event else F.lit(None).cast("string"))
-            fixed = ["table", "id", "block_number", "tx_hash", "tx_index", *(["log_index", "contract_address"] if is_event else [])]
-            names = {p.name: f"__p{i}" for i, p in enumerate(params)}  # a parameter may be called like a column of the log
-            decoded = with_decoded(rows, params, data, fixed, names, keys=True)
-            decoded = seen.matched(decoded, own, is_event)
-            decoded = decoded.where("decoded").drop("decoded")
-            back = {f"__p{i}": p.out for i, p in enumerate(params)}
-            back |= {key_name(k): key_name(v) for k, v in back.items() if key_name(k) in decoded.columns}
-            if context_fields(e):
-                decoded = with_context(decoded, attributes, context_fields(e))
-            shaped = self._with_keys(decoded.withColumnsRenamed(back), e)
-            tables |= self._write_rows(name, f"{'events' if is_event else 'calls'}-{len(tables)}-{own[0]}", shaped, alike, after, low, high, seen)
-        return tables
+        return [lambda a=alike: self._write_shape(into, a, found if len(shapes) == 1 else found.where(F.col("table").isin([x.table for x in a])), data, attributes) for alike in shapes.values()]
+
+    def _write_shape(self, into: _Into, alike: Sequence[EventSpec | CallSpec], rows: DataFrame, data: Column, attributes: DataFrame | None) -> dict[str, str]:
+        e = alike[0]
+        is_event = isinstance(e, EventSpec)
+        params = e.params if is_event else plain_params(e.params)
+        rows = with_row_id(rows).withColumn("contract_address", F.col("address") if is_event else F.lit(None).cast("string"))
+        fixed = ["table", "id", "block_number", "tx_hash", "tx_index", *(["log_index", "contract_address"] if is_event else [])]
+        names = {p.name: f"__p{i}" for i, p in enumerate(params)}  # a parameter may be called like a column of the log
+        decoded = into.seen.matched(with_decoded(rows, params, data, fixed, names, keys=True), [x.table for x in alike], is_event)
+        decoded = decoded.where("decoded").drop("decoded")
+        back = {f"__p{i}": p.out for i, p in enumerate(params)}
+        back |= {key_name(k): key_name(v) for k, v in back.items() if key_name(k) in decoded.columns}
+        if context_fields(e):
+            decoded = with_context(decoded, attributes, context_fields(e))
+        return self._write_rows(into, f"{'events' if is_event else 'calls'}-{e.table}", self._with_keys(decoded.withColumnsRenamed(back), e), alike)
 
     def _with_keys(self, rows: DataFrame, e: Entry) -> DataFrame:
         """Adds the sortable keys of numbers that do not come from a word."""
@@ -363,29 +368,29 @@ class Index:
         rows = rows.withColumns({f.name: W.number_key(W.number_word(F.col(f.metadata["key_of"]))) for f in missing}) if missing else rows
         return rows.select("table", *schema.fieldNames())
 
-    def _write_transfers(self, name: str, e: TransferSpec, txs: DataFrame, attributes: DataFrame, after: Manifest | None, low: int, high: int, seen: _Seen) -> dict[str, str]:
+    def _write_transfers(self, into: _Into, e: TransferSpec, txs: DataFrame, attributes: DataFrame | None) -> dict[str, str]:
         moved = with_row_id(match.transfer_filter(match.native_transfers(txs), e)).select(
             F.lit(e.table).alias("table"), "id", "block_number", "tx_hash", "tx_index", F.col("tx_from").alias("from_address"), F.col("tx_to").alias("to_address"), F.col("value").cast("string").alias("value")
         )
         fields = context_fields(e)
         moved = self._with_keys(with_context(moved, attributes, fields) if fields else moved, e)
-        return self._write_rows(name, f"transfers-{e.table}", moved, [e], after, low, high, seen)
+        return self._write_rows(into, f"transfers-{e.table}", moved, [e])
 
-    def _write_rows(self, name: str, folder: str, rows: DataFrame, entries: Sequence[Entry], after: Manifest | None, low: int, high: int, seen: _Seen) -> dict[str, str]:
+    def _write_rows(self, into: _Into, folder: str, rows: DataFrame, entries: Sequence[Entry]) -> dict[str, str]:
         """Writes the rows that are new: one of each key in the batch, and of keys
         that are not stored, for which stored rows of the batch's blocks alone are
         read, and only if there are any."""
         key = ["table", *table_key(entries[0])]
         new = first_per_key(rows, key, ["id"])
         there = None
-        for e in entries if after is not None else ():
-            if any(e.table in u.tables and u.low <= high and u.top >= low for u in after.units):
-                part = self.store.read(e.table, table_schema(e), after, low=low, high=high).select(F.lit(e.table).alias("table"), *table_key(e))
+        for e in entries if into.after is not None else ():
+            if any(e.table in u.tables and u.low <= into.high and u.top >= into.low for u in into.after.units):
+                part = self.store.read(e.table, table_schema(e), into.after, low=into.low, high=into.high).select(F.lit(e.table).alias("table"), *table_key(e))
                 there = part if there is None else there.unionByName(part)
         if there is not None:
             new = new.join(there, key, "left_anti")
-        new = seen.stored(new.sortWithinPartitions("table", "block_number", "id"), [e.table for e in entries], type(entries[0]))
-        return self.store.write_many(name, folder, new)
+        new = into.seen.stored(new.sortWithinPartitions("table", "block_number", "id"), [e.table for e in entries], type(entries[0]))
+        return self.store.write_many(into.unit, folder, new)
 
     def _written(self, unit: str, tables: dict[str, str], e: Entry) -> DataFrame | None:
         if e.table not in tables:
@@ -488,6 +493,18 @@ class Index:
             rows.unpersist()
 
 
+@dataclass(frozen=True)
+class _Into:
+    """Where a batch's rows go: its unit, and the state to test them against if
+    there are blocks of the batch's in it."""
+
+    unit: str
+    after: Manifest | None
+    low: int
+    high: int
+    seen: _Seen
+
+
 class _Seen:
     """Counts that Spark observes while a batch's jobs run."""
 
