@@ -151,6 +151,14 @@ class Index:
         ``high`` if given."""
         return self.store.read(name, self._schemas()[name], self.manifest(), low=low, high=high)
 
+    def register(self, prefix: str = "") -> list[str]:
+        """Makes every table, also one without rows yet, a view for SQL, as of now;
+        returns the views' names."""
+        names = [e.table for e in self.entries()] + [h.name for h in self.handlers if h.derive]
+        for name in names:
+            self.table(name).createOrReplaceTempView(f"{prefix}{name}")
+        return [f"{prefix}{n}" for n in names]
+
     def hashes(self) -> DataFrame:
         return self.store.read("_hashes", HASHES, self.manifest())
 

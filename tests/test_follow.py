@@ -302,6 +302,15 @@ def test_gaps_are_refilled(spark, tmp_path):
     assert asked == [] and index.repair() == 0
 
 
+def test_tables_are_views(spark, index):
+    assert index.register("ix_") == ["ix_moves", "ix_pools"] and spark.table("ix_moves").count() == 0
+    run(index, spark, [block(1), block(2)], 0)
+    index.register("ix_")
+    assert [r.v for r in spark.sql("SELECT sum(value) AS v FROM ix_moves").collect()] == [3] and spark.table("ix_pools").count() == 0
+    for name in ("ix_moves", "ix_pools"):
+        spark.catalog.dropTempView(name)
+
+
 def test_reset(spark, index):
     run(index, spark, [block(1), block(2)], 0)
     index.reset()
