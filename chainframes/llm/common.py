@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,16 +70,47 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders written by the innermost ``scratch`` that is open.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back.
 
     Used where a result is read by several jobs, so that a lost executor costs
     a reread and not a recomputation of everything before."""
     path = shared_dir(df.sparkSession)
+    if (folders := _written.get()) is not None:
+        folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized inside go when it ends, but for those written
+    by the function it gives; those belong to the surrounding ``scratch``, if any.
+
+    For steps whose outcome no longer reads what led to it."""
+    outer, mine = _written.get(), []
+
+    def result(df: DataFrame) -> DataFrame:
+        token = _written.set(outer)
+        try:
+            return materialize(df)
+        finally:
+            _written.reset(token)
+
+    token = _written.set(mine)
+    try:
+        yield result
+    finally:
+        _written.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for folder in map(hadoop, mine):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Tables of one narrow row per group are sent to every executor up to so many rows.
 SMALL_ROWS = 20_000
 

@@ -5,8 +5,9 @@ third of the bits that holds one of the differing ones: at most two differ in
 what is left, so both fingerprints lie within one bit of a common value.  Every
 distinct fingerprint therefore emits, for each third left out, all values
 within half that radius (itself and its one-bit variants, 131 rows in all);
-rows are shuffled on the variant, and fingerprints that meet are verified by
-their full distance.  A random meeting needs 42 equal bits, so false candidates
+rows are shuffled on the variant (by bits of it, so that variants which share
+them travel as one row), and fingerprints that meet are verified by their full
+distance.  A random meeting needs 42 equal bits, so false candidates
 stay rare at any size, and no row count depends on how alike the documents are.
 """
 
@@ -18,11 +19,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import mix64
-from .common import documents, dropping_shuffles, fresh_name, materialize
+from .common import documents, dropping_shuffles, fresh_name, materialize, scratch
 from .components import connected_components
 from .shingles import similar_pairs, word_runs
 
@@ -99,17 +100,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, " + ", ".join(f"{c} long" for c in names))
 
 
-def _variants() -> list[tuple[int, int]]:
-    """(and-mask, xor-value) pairs: the bits left out hold a constant."""
-    out = []
+def _variants(home_bits: int) -> list[list[tuple[int, int]]]:
+    """All 131 (and-mask, xor-value) pairs; the bits left out hold a constant.
+
+    A group holds the pairs that give a fingerprint's variants one *home*: the
+    lowest ``home_bits`` of each third (see ``_home_mask``)."""
+    home, out = _home_mask(home_bits), []
     for q, (low, high) in enumerate(zip(_CUTS, _CUTS[1:], strict=False)):
         hole = ((1 << (high - low)) - 1) << low
         keep, tag = ~hole & ((1 << 64) - 1), (q + 1) << low
-        flips = [0] + [1 << b for b in range(_BITS) if not hole >> b & 1]
-        out += [(_signed(keep), _signed(tag ^ f)) for f in flips]
+        flips = [1 << b for b in range(_BITS) if not hole >> b & 1]
+        own = [[0] + [f for f in flips if not f & home]] + [[f] for f in flips if f & home]
+        out += [[(_signed(keep), _signed(tag ^ f)) for f in group] for group in own]
     return out
 
 
+def _home_mask(home_bits: int) -> int:
+    return _signed(sum(((1 << home_bits) - 1) << low for low in _CUTS[:-1]))
+
+
 #: Fingerprints of one bucket that are compared all with all; larger buckets are split.
 _COMPARED = 1024
 #: Two words that differ in three bits or fewer agree in one of four sets of bits.
@@ -218,13 +227,29 @@ def _meet(radius: int):
 def met_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``(u, v)`` as the buckets give them (one of several buckets repeats)
     among distinct fingerprints ``fp``, or among their long ``name`` where there is
-    one: then fingerprints of one name are connected already and give no edge."""
+    one: then fingerprints of one name are connected already and give no edge.
+
+    A fingerprint's variants are dealt by their homes, and those of one home travel
+    as one row, which is written out where it arrives: about 40 rows instead of
+    131.  Homes are at least 96 times as many as partitions."""
     assert radius == RADIUS, "the variants are laid out for three bits"
     own = [c for c in ("fp", "name") if c in nodes.columns]
-    masks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(x).alias("x")) for a, x in _variants()])
-    emitted = nodes.select(*own, F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m["a"]).bitwiseXOR(m["x"]))).alias("key"))
-    met = emitted.repartition("key").sortWithinPartitions("key", "fp").select("key", *own)
-    return met.mapInArrow(_meet(radius), "u long, v long")
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    home_bits = min(20, -(-(partitions.bit_length() + 5) // 2))
+    groups = _variants(home_bits)
+
+    def pair(a: int, x: int) -> Column:
+        return F.struct(F.lit(a).alias("a"), F.lit(x).alias("x"))
+
+    def flipped(m: Column) -> Column:
+        return F.col("fp").bitwiseAND(m["a"]).bitwiseXOR(m["x"])
+
+    first = F.array(*[pair(*g[0]) for g in groups])
+    every = F.array(*[F.array(*[pair(*p) for p in g]) for g in groups])
+    emitted = nodes.select(*own, F.explode(F.array(*map(F.lit, range(len(groups))))).alias("group"))
+    dealt = emitted.repartition(flipped(F.get(first, F.col("group"))).bitwiseAND(F.lit(_home_mask(home_bits))))
+    keyed = dealt.select(F.explode(F.transform(F.get(every, F.col("group")), flipped)).alias("key"), *own)
+    return keyed.sortWithinPartitions("key", "fp").mapInArrow(_meet(radius), "u long, v long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -241,12 +266,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies share one node, so a text repeated without end costs one row.  Rows
     with a null id get a component like any other; a component of null ids only
     has a null name.  Further columns are not read; an empty table gives no rows."""
-    fps = materialize(fingerprints(docs, id_col, text_col, (scheme,)))
-    texts = materialize(fps.groupBy("fp0").agg(F.min("id").alias("least_id")))
-    roots = connected_components(links(texts.select(F.col("fp0").alias("fp"))))
-    named = texts.join(roots, texts["fp0"] == roots["node"], "left").select("fp0", "least_id", F.coalesce("root", "fp0").alias("root"))
-    components = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    by_text = materialize(named.join(components, "root").select("fp0", "component"))
+    with scratch(docs.sparkSession) as result:
+        fps = result(fingerprints(docs, id_col, text_col, (scheme,)))
+        texts = materialize(fps.groupBy("fp0").agg(F.min("id").alias("least_id")))
+        roots = connected_components(links(texts.select(F.col("fp0").alias("fp"))))
+        named = texts.join(roots, texts["fp0"] == roots["node"], "left").select("fp0", "least_id", F.coalesce("root", "fp0").alias("root"))
+        components = named.groupBy("root").agg(F.min("least_id").alias("component"))
+        by_text = result(named.join(components, "root").select("fp0", "component"))
     return fps.join(by_text, "fp0").select(F.col("id").alias(id_col), "fp0", "component")
 
 
@@ -260,16 +286,17 @@ def proposed_groups(texts: DataFrame, schemes: tuple[Scheme, ...]) -> DataFrame:
     so that the disk never holds those of all."""
     named = texts.withColumn("root", F.col("node"))
     for batch in filter(len, (range(1), range(1, len(schemes)))):
-        made = [F.struct(F.lit(i).alias("scheme"), F.col(f"fp{i}").alias("fp")) for i in batch]
-        each = named.select("root", F.explode(F.array(*made)).alias("f")).select("root", "f.*").distinct()
-        lows = materialize(each.groupBy("scheme", "fp").agg(F.min("root").alias("name"), F.count("*").alias("n")))
-        # groups that share a fingerprint are tied to the least of them
-        edges = each.join(lows.where("n > 1"), ["scheme", "fp"]).where("root <> name").select(F.col("root").alias("u"), F.col("name").alias("v"))
-        for i in batch:
-            with dropping_shuffles(texts.sparkSession):
-                edges = edges.unionByName(materialize(met_pairs(lows.where(F.col("scheme") == i).select("fp", "name")).distinct()))
-        merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        named = materialize(named.join(merged, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
+        with scratch(texts.sparkSession) as result:
+            made = [F.struct(F.lit(i).alias("scheme"), F.col(f"fp{i}").alias("fp")) for i in batch]
+            each = named.select("root", F.explode(F.array(*made)).alias("f")).select("root", "f.*").distinct()
+            lows = materialize(each.groupBy("scheme", "fp").agg(F.min("root").alias("name"), F.count("*").alias("n")))
+            # groups that share a fingerprint are tied to the least of them
+            edges = each.join(lows.where("n > 1"), ["scheme", "fp"]).where("root <> name").select(F.col("root").alias("u"), F.col("name").alias("v"))
+            for i in batch:
+                with dropping_shuffles(texts.sparkSession):
+                    edges = edges.unionByName(materialize(met_pairs(lows.where(F.col("scheme") == i).select("fp", "name")).distinct()))
+            merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            named = result(named.join(merged, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
     return named.select("node", "root")
 
 
@@ -286,20 +313,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     own = F.coalesce(F.col(id_col), -1 - F.xxhash64(text_col).bitwiseAND((1 << 62) - 1))
     keyed = docs.withColumn(key, own).withColumn(node, F.xxhash64(text_col))
     names = [f"fp{i}" for i in range(len(schemes))]
-    # a node per distinct text
-    fps = materialize(fingerprints(keyed.select(F.struct(F.col(key).alias("__key"), F.col(node).alias("__node")).alias("__row"), F.col(text_col).alias("text")), "__row", "text", schemes))
-    texts = materialize(fps.groupBy(F.col("id.__node").alias("node"), *names).agg(F.min("id.__key").alias("least_id")))
-    groups = proposed_groups(texts, schemes).where("node <> root")
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    asked = materialize(groups.join(texts.select("node", "least_id"), "node"))
-    rows = keyed.select(F.col(key).alias("__key"), F.col(node).alias("__node"), F.col(text_col).alias("text"))
-    rows = rows.join(asked, (rows["__node"] == asked["node"]) & (rows["__key"] == asked["least_id"])).select("node", "root", "text")
-    roots = connected_components(similar_pairs(rows))
-    named = texts.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("row"))
-    first = first.select(F.col("row.least_id").alias("__key"), F.col("row.node").alias("__node"))
-    copies = fps.select("id.*").groupBy("__key", "__node").agg(F.count("*").alias("n"))
-    first = materialize(first.join(copies, ["__key", "__node"]))
+    with dropping_shuffles(docs.sparkSession), scratch(docs.sparkSession) as result:
+        # a node per distinct text
+        fps = materialize(fingerprints(keyed.select(F.struct(F.col(key).alias("__key"), F.col(node).alias("__node")).alias("__row"), F.col(text_col).alias("text")), "__row", "text", schemes))
+        texts = materialize(fps.groupBy(F.col("id.__node").alias("node"), *names).agg(F.min("id.__key").alias("least_id")))
+        groups = proposed_groups(texts, schemes).where("node <> root")
+        groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+        asked = materialize(groups.join(texts.select("node", "least_id"), "node"))
+        rows = keyed.select(F.col(key).alias("__key"), F.col(node).alias("__node"), F.col(text_col).alias("text"))
+        rows = rows.join(asked, (rows["__node"] == asked["node"]) & (rows["__key"] == asked["least_id"])).select("node", "root", "text")
+        roots = connected_components(similar_pairs(rows))
+        named = texts.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        first = named.groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("row"))
+        first = first.select(F.col("row.least_id").alias("__key"), F.col("row.node").alias("__node"))
+        copies = fps.select("id.*").groupBy("__key", "__node").agg(F.count("*").alias("n"))
+        first = result(first.join(copies, ["__key", "__node"]))
     # One plan at every size: texts are dealt by id and text once and not sorted.
     kept = keyed.join(first.select(F.col("__key").alias(key), F.col("__node").alias(node)).hint("shuffle_hash"), [key, node], "left_semi")
     if not first.where("n > 1").isEmpty():

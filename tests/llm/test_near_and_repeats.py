@@ -1,6 +1,7 @@
 import time
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -110,7 +111,7 @@ def test_alike_fingerprints_of_one_bucket_take_no_square():
 
 def test_every_close_pair_meets():
     rng = np.random.default_rng(1)
-    masks = np.array(_variants(), dtype=np.int64)
+    masks = np.array([pair for group in _variants(6) for pair in group], dtype=np.int64)
     keys = lambda fp: set(((np.int64(fp) & masks[:, 0]) ^ masks[:, 1]).tolist())
     for _ in range(300):
         a = int(rng.integers(-(2**63), 2**63 - 1))
@@ -121,6 +122,40 @@ def test_every_close_pair_meets():
         assert keys(a) & keys(b)
 
 
+@pytest.mark.parametrize("home_bits", [1, 6, 20])
+def test_variants_of_one_row_share_their_home(home_bits):
+    home, groups = simhash_module._home_mask(home_bits), _variants(home_bits)
+    flat = [pair for group in groups for pair in group]
+    assert len(flat) == len(set(flat)) == 131
+    for fp in (0, -1, 0x123456789ABCDEF, -(2**63)):
+        homes = [{((fp & a) ^ x) & home for a, x in group} for group in groups]
+        assert all(len(h) == 1 for h in homes)
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    from chainframes.llm.common import materialize, scratch
+
+    exists = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file:"))
+    with scratch(spark) as outer:
+        with scratch(spark) as result:
+            passing, kept = materialize(spark.range(3)), result(spark.range(4))
+            places = passing.inputFiles()
+        assert not os.path.exists(places[0].removeprefix("file:"))
+        assert exists(kept) and kept.count() == 4
+        last, places = outer(kept), kept.inputFiles()
+    assert not os.path.exists(places[0].removeprefix("file:"))
+    assert exists(last) and last.count() == 4
+
+
+def test_scratch_tables_go_when_a_step_fails(spark):
+    from chainframes.llm.common import materialize, scratch
+
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        places = materialize(spark.range(3)).inputFiles()
+        raise ZeroDivisionError
+    assert not os.path.exists(places[0].removeprefix("file:"))
+
+
 def test_bucket_stars():
     fps = np.array([0, 1, 3, 7, 0xFF, 0x1FF, 0xF << 40], dtype=np.uint64)
     edges = {(u, v) for u, v in _linked_stars(fps, 3)}
