@@ -133,3 +133,20 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+#: Whole texts travel to and from Python in batches of so many rows.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches hold BATCH_ROWS rows at most; a
+    smaller limit of the caller's stays.
+
+    A batch is held outside the heap in the executor and once more in Python, and
+    at Spark's 10 000 rows of whole texts or run sets that is tens of MB for each
+    task.  No result depends on it.  It is not set back: a query that is returned
+    reads it when it runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

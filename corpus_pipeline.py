@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainframes.llm.common import materialize
+from chainframes.llm.common import materialize, small_batches
 from chainframes.llm.language import UNKNOWN, identify_languages, learn_languages
 from chainframes.llm.mixing import mix_sources
 from chainframes.llm.packing import pack_documents
@@ -27,6 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     learned language fits; a missing language is filled in with the predicted
     one.  Repeated rows stay; an empty table stays empty.  Of further columns
     none comes back."""
+    small_batches(spark)
     model = learn_languages(docs)
     found = identify_languages(docs, model, keep=COLUMNS)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= MIN_FIT)).select(
@@ -38,6 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies stays, the one of smallest id.
     Of repeated rows one stays; null texts count as one empty text; of rows
     without an id those with one text count as copies."""
+    small_batches(spark)
     return keep_one(docs.select(*COLUMNS))
 
 
@@ -46,6 +48,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without a word stay, null ones as empty texts.  Repeated rows are copies of each
     other: long ones lose all their words and go.  An empty table stays empty; of
     further columns none comes back."""
+    small_batches(spark)
     found = remove_repeats(docs, keep=("doc_id", "lang", "source"))
     return found.where((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words"))).select(
         "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars")
@@ -69,6 +72,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     occur, null texts as empty ones; an empty table gives no rows."""
     import public_tokenizers
 
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
