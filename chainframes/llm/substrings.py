@@ -7,7 +7,8 @@ texts are reused by every step.
 1. Every window has a *phrase*: the run of ``PHRASE`` of its words whose hash is
    smallest.  Equal windows have equal phrases, and neighbouring windows mostly
    share theirs, so only one in fourteen positions is a phrase.  Phrases are
-   counted over the corpus; those seen once are dropped.
+   counted over the corpus; those seen once are dropped.  The others are written
+   to the shared folder, and the shuffles of the count go before texts are dealt.
 2. Windows whose phrase recurs are hashed (95 bits), summed inside a chunk, and
    counted over the corpus.  This confirms the recurring windows; each chunk is
    told which of its windows they are, by the place of one occurrence.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import run_hashes, span_hashes, utf8, word_spans
-from .common import documents, refuse_clashes, text_or_empty, words
+from .common import documents, dropping_shuffles, materialize, refuse_clashes, text_or_empty, words
 
 WINDOW = 35
 PHRASE = 8
@@ -276,7 +277,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...
     phrases = dealt.select("chunk", "text").mapInArrow(_phrase_rows, "chunk int, phrase long, n int")
     phrases = phrases.groupBy("phrase", "chunk").agg(F.sum("n").alias("n"))
     seen = Window.partitionBy("phrase")
-    recurring = phrases.withColumn("all", F.sum("n").over(seen)).where("all > 1").select("chunk", "phrase")
+    with dropping_shuffles(docs.sparkSession):
+        recurring = materialize(phrases.withColumn("all", F.sum("n").over(seen)).where("all > 1").select("chunk", "phrase"))
     chunks = dealt.groupBy("chunk")
     windows = chunks.cogroup(recurring.groupBy("chunk")).applyInArrow(_window_rows, _WINDOW_SCHEMA)
     same = Window.partitionBy("h1", "h2")
